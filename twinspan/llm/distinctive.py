@@ -57,4 +57,4 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
 def p1_scores(spark, sf_dir: str) -> DataFrame:
     """Every digest of every entry with its score."""
     scores = term_scores(entry_sets(spark, sf_dir), "entry_id", "digests", Workspace(spark, "p1"))
-    return scores.select("entry_id", digest_text("term").alias("digest"), "df", "set_size", F.round("z", 9).alias("z"))
+    return scores.select("entry_id", digest_text("term").alias("digest"), "df", "set_size", F.round("z", 6).alias("z"))

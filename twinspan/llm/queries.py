@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinspan.llm import components, distinctive
+from twinspan.llm import components, distinctive, packing, tokens
 
 #: Distinct digests of an array of spellings, as DuckDB text.
 _SET = """list_distinct(list_transform(list_filter(fp_set, lambda x: trim(coalesce(x, ''), ' ' || chr(9)) <> ''),
@@ -15,6 +15,9 @@ QUERIES = {
     "p1_found": distinctive.p1_found,
     "p1_scores": distinctive.p1_scores,
     "p3_found": components.p3_found,
+    "p6_ids": tokens.p6_ids,
+    "p7_containers": packing.p7_containers,
+    "p7_fill": packing.p7_fill,
 }
 
 ORACLES = {
@@ -25,5 +28,5 @@ ORACLES = {
     "p1_scores": f"""WITH {_ENTRIES}, held AS (SELECT entry_id, len(s) AS n, unnest(s) AS digest FROM counted),
     df AS (SELECT digest, count(*)::DOUBLE AS df FROM held GROUP BY digest), total AS (SELECT sum(df) AS t FROM df)
     SELECT entry_id, digest, df::BIGINT AS df, n::INT AS set_size, round(((ln((1 + df) / (n + t - 1 - df)) - ln((2 * df - 1) / (2 * t - n - 2 * df + 1)))
-    / sqrt(1 / (1 + df) + 1 / (2 * df - 1))), 9) AS z FROM held JOIN df USING (digest), total""",
+    / sqrt(1 / (1 + df) + 1 / (2 * df - 1))), 6) AS z FROM held JOIN df USING (digest), total""",
 }
