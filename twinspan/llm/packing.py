@@ -8,7 +8,7 @@ until one shard is left, so the space lost doesn't grow with the number of shard
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -79,6 +79,17 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def _packer(capacity: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["size", "_key", "_row", "piece"], ascending=[False, True, True, True], kind="stable")
+        at = best_fit_decreasing(group["size"].to_numpy(), capacity)
+        filled = np.bincount(at, weights=group["size"].to_numpy(), minlength=1).astype(np.int64)[at]
+        prefix = f"{level}-{int(group['_shard'].iloc[0])}-"
+        return group.assign(container=[prefix + str(x) for x in at], filled=filled)[["container", "_row", "_key", "piece", "start", "size", "filled"]]
+
+    return pack
+
+
 def token_counts(documents: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """(key, size): tokens of each row's text; null and empty texts have none."""
 
@@ -113,17 +124,10 @@ def packed(items: DataFrame, key: str, size: str, work: Workspace, capacity: int
     key_type = items.schema[key].dataType.simpleString()
     schema = f"container string, _row bigint, _key {key_type}, piece bigint, start bigint, size bigint, filled bigint"
     while count := left.count():
-        shards, level = -(-count // shard), rounds
-
-        def pack(group: pd.DataFrame, shards=shards, level=level) -> pd.DataFrame:
-            group = group.sort_values(["size", "_key", "_row", "piece"], ascending=[False, True, True, True], kind="stable")
-            at = best_fit_decreasing(group["size"].to_numpy(), capacity)
-            filled = np.bincount(at, weights=group["size"].to_numpy(), minlength=1).astype(np.int64)[at]
-            prefix = f"{level}-{int(group['_shard'].iloc[0])}-"
-            return group.assign(container=[prefix + str(x) for x in at], filled=filled)[["container", "_row", "_key", "piece", "start", "size", "filled"]]
+        shards = -(-count // shard)
 
-        dealt = left.withColumn("_shard", F.pmod(F.xxhash64("_row", "piece", F.lit(level)), F.lit(shards)))
-        result = work.write(dealt.groupBy("_shard").applyInPandas(pack, schema), "packed")
+        dealt = left.withColumn("_shard", F.pmod(F.xxhash64("_row", "piece", F.lit(rounds)), F.lit(shards)))
+        result = work.write(dealt.groupBy("_shard").applyInPandas(_packer(capacity, rounds), schema), "packed")
         final = shards == 1
         done.append((result if final else result.where(F.col("filled") >= FULL * capacity)).select("container", "_key", "piece", "start", "size"))
         if final:
