@@ -39,7 +39,7 @@ def _numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flipped numbers of spellings and which of them are valid."""
     texts = pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())))
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-    odd = np.flatnonzero(size != 16)
+    odd = np.flatnonzero((size != 16) | pc.starts_with(texts, "0x").to_numpy(zero_copy_only=False))
     if len(odd):
         some = pc.replace_substring_regex(texts.take(pa.array(odd)), r"^0x", "")
         blank = pc.equal(some, "")
