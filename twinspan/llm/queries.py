@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinspan.llm import components, distinctive, packing, tokens
+from twinspan.llm import components, distinctive, nearcopies, packing, setjoin, tokens
 
 #: Distinct digests of an array of spellings, as DuckDB text.
 _SET = """list_distinct(list_transform(list_filter(fp_set, lambda x: trim(coalesce(x, ''), ' ' || chr(9)) <> ''),
@@ -15,6 +15,8 @@ QUERIES = {
     "p1_found": distinctive.p1_found,
     "p1_scores": distinctive.p1_scores,
     "p3_found": components.p3_found,
+    "p4_found": setjoin.p4_found,
+    "p5_found": nearcopies.p5_found,
     "p6_ids": tokens.p6_ids,
     "p7_containers": packing.p7_containers,
     "p7_fill": packing.p7_fill,
