@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinspan.llm import components, distinctive, nearcopies, packing, setjoin, tokens
+from twinspan.llm import components, distinctive, languages, nearcopies, packing, setjoin, tokens
 
 #: Distinct digests of an array of spellings, as DuckDB text.
 _SET = """list_distinct(list_transform(list_filter(fp_set, lambda x: trim(coalesce(x, ''), ' ' || chr(9)) <> ''),
@@ -20,6 +20,9 @@ QUERIES = {
     "p6_ids": tokens.p6_ids,
     "p7_containers": packing.p7_containers,
     "p7_fill": packing.p7_fill,
+    "p8_found": languages.p8_found,
+    "p8_documents": languages.p8_documents,
+    "p8_segments": languages.p8_segments,
 }
 
 ORACLES = {
