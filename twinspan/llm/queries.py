@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinspan.llm import components, distinctive, languages, nearcopies, packing, setjoin, tokens
+from twinspan.llm import components, distinctive, languages, nearcopies, packing, parsing, setjoin, tokens
 
 #: Distinct digests of an array of spellings, as DuckDB text.
 _SET = """list_distinct(list_transform(list_filter(fp_set, lambda x: trim(coalesce(x, ''), ' ' || chr(9)) <> ''),
@@ -14,6 +14,9 @@ _ENTRIES = f"""counted AS (SELECT entry_id, {_SET} AS s FROM (SELECT *, row_numb
 QUERIES = {
     "p1_found": distinctive.p1_found,
     "p1_scores": distinctive.p1_scores,
+    "p2_found": parsing.p2_found,
+    "p2_errors": parsing.p2_errors,
+    "p2_rates": parsing.p2_rates,
     "p3_found": components.p3_found,
     "p4_found": setjoin.p4_found,
     "p5_found": nearcopies.p5_found,
