@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def reference_kind(text: Column) -> Column:
@@ -90,7 +91,7 @@ def template_pattern(text: str) -> re.Pattern:
     return re.compile("".join(out))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def glob_depth(reference: pd.Series, namespace: pd.Series) -> pd.Series:
     """Segments of the longest prefix of a namespace that a constant glob matches; null where it matches none."""
 
@@ -109,7 +110,7 @@ def glob_depth(reference: pd.Series, namespace: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int32")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def template_matches(reference: pd.Series, identity: pd.Series) -> pd.Series:
     """Does a template glob match an identity?"""
     return pd.Series([bool(r is not None and i is not None and template_pattern(r).fullmatch(i)) for r, i in zip(reference, identity, strict=True)])

@@ -6,6 +6,8 @@ that people write, so they are few next to units; they are broadcast only while
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +32,26 @@ def reference_hits(refs: DataFrame, units: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "::"))
     constants = known.where("kind = 'constant'").select("ref_id", F.col("text").alias("name"))
     hit = hit.unionByName(named.select("entry_id", F.explode(above).alias("name")).join(small(constants), "name").select("ref_id", "entry_id"))
-    globs = known.where("kind = 'const_glob'").select("ref_id", "text")
     spaces = named.select("namespace").distinct()
-    met = spaces.join(small(globs), F.lit(True)).where(glob_depth("text", "namespace").isNotNull()).select("ref_id", "namespace")
+    globs = known.where("kind = 'const_glob'").select("ref_id", "text")
+    met = _by_first(spaces, globs, "namespace", "::", small).where(glob_depth("text", "namespace").isNotNull()).select("ref_id", "namespace")
     hit = hit.unionByName(named.join(met, "namespace").select("ref_id", "entry_id"))
     templates = units.where("kind = 'template'").select("entry_id", "identity")
     shapes = known.where("kind = 'template_glob'").select("ref_id", "text")
-    wide = templates.join(small(shapes), F.lit(True)).where(template_matches("text", "identity")).select("ref_id", "entry_id")
+    wide = _by_first(templates, shapes, "identity", "/", small).where(template_matches("text", "identity")).select("ref_id", "entry_id")
     return hit.unionByName(wide).distinct()
 
 
+def _by_first(names: DataFrame, globs: DataFrame, name: str, mark: str, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Names with the globs that may match them: those whose literal first segment they share, by an equality join, and the
+    few that begin with a wildcard, against all."""
+    first = lambda c: F.element_at(F.split(c, mark), 1)
+    fixed = globs.where(~first("text").contains("*") & ~first("text").contains("?") & ~first("text").contains("["))
+    open_ended = globs.join(fixed.select("ref_id"), "ref_id", "left_anti")
+    keyed = names.withColumn("_first", first(name)).join(small(fixed.withColumn("_first", first("text"))), "_first").drop("_first")
+    return keyed.unionByName(names.join(small(open_ended), F.lit(True)).select(*keyed.columns))
+
+
 def unknown_references(refs: DataFrame, hits: DataFrame) -> DataFrame:
     """References that name no unit."""
     return refs.join(hits, "ref_id", "left_anti")
