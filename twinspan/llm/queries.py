@@ -11,6 +11,10 @@ _SET = """list_distinct(list_transform(list_filter(fp_set, lambda x: trim(coales
 _ENTRIES = f"""counted AS (SELECT entry_id, {_SET} AS s FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY rev DESC) AS r
     FROM entries) WHERE r = 1 AND fp_set IS NOT NULL)"""
 
+_LIVE = """live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY rev DESC) AS r FROM matches)
+    WHERE r = 1 AND NOT coalesce(withdrawn, false) AND a IS NOT NULL AND b IS NOT NULL AND a <> b)"""
+_REACH = """edge AS (SELECT a AS u, b AS v FROM link UNION SELECT b, a FROM link), reach(id, seen) AS (SELECT u, u FROM edge UNION SELECT u, v FROM edge UNION SELECT reach.id, edge.v FROM reach JOIN edge ON edge.u = reach.seen)"""
+
 QUERIES = {
     "p1_found": distinctive.p1_found,
     "p1_scores": distinctive.p1_scores,
@@ -37,4 +41,19 @@ ORACLES = {
     df AS (SELECT digest, count(*)::DOUBLE AS df FROM held GROUP BY digest), total AS (SELECT sum(df) AS t FROM df)
     SELECT entry_id, digest, df::BIGINT AS df, n::INT AS set_size, round(((ln((1 + df) / (n + t - 1 - df)) - ln((2 * df - 1) / (2 * t - n - 2 * df + 1)))
     / sqrt(1 / (1 + df) + 1 / (2 * df - 1))), 6) AS z FROM held JOIN df USING (digest), total""",
+    "p3_found": f"""WITH RECURSIVE {_LIVE}, member AS (SELECT DISTINCT cluster_id, loc_id FROM base_clusters JOIN locations USING (repo, loc_key)),
+    link AS (SELECT a, b FROM live UNION SELECT x.loc_id, y.loc_id FROM member x JOIN member y ON x.cluster_id = y.cluster_id AND x.loc_id < y.loc_id), {_REACH}
+    SELECT id AS loc_id, min(seen) AS group_id FROM reach GROUP BY id""",
+    "p4_found": f"""WITH {_ENTRIES}, record AS (SELECT entry_id AS id, entry_id AS own, s FROM counted UNION ALL SELECT DISTINCT ON (loc_id) loc_id, entry_id, {_SET} FROM locations WHERE fp_set IS NOT NULL),
+    token AS (SELECT id, own, len(s) AS n, unnest(s) AS d FROM record WHERE len(s) >= 5)
+    SELECT x.id AS id_a, y.id AS id_b FROM token x JOIN token y ON x.d = y.d AND x.id < y.id WHERE x.own <> y.own GROUP BY x.id, y.id, x.n, y.n HAVING count(*) * 5 >= (x.n + y.n - count(*)) * 4""",
+    "p5_found": f"""WITH RECURSIVE {_ENTRIES}, {_LIVE}, token AS (SELECT entry_id AS id, len(s) AS n, unnest(s) AS d FROM counted WHERE len(s) >= 5),
+    unset AS (SELECT entry_id, fp_set IS NULL AS bare FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY rev DESC) AS r FROM entries) WHERE r = 1),
+    whole AS (SELECT DISTINCT loc_id, entry_id, bare FROM locations JOIN unset USING (entry_id) WHERE is_whole),
+    strong AS (SELECT a, b FROM live WHERE match_kind = 'unit' AND CASE WHEN score IS NULL OR trim(score) = '' THEN shared_w * 10 >= union_w * 7 AND union_w > 0
+        WHEN contains(score, '/') THEN split_part(score, '/', 1)::DECIMAL(19, 0) * 10 >= split_part(score, '/', 2)::DECIMAL(19, 0) * 7
+        WHEN suffix(score, '%') THEN rtrim(score, '%')::DECIMAL(24, 15) >= 70 ELSE score::DECIMAL(24, 15) >= 0.7 END),
+    link AS (SELECT x.id AS a, y.id AS b FROM token x JOIN token y ON x.d = y.d AND x.id < y.id GROUP BY x.id, y.id, x.n, y.n HAVING count(*) * 10 >= (x.n + y.n - count(*)) * 7
+        UNION SELECT p.entry_id, q.entry_id FROM strong JOIN whole p ON p.loc_id = a JOIN whole q ON q.loc_id = b WHERE (p.bare OR q.bare) AND p.entry_id <> q.entry_id), {_REACH}
+    SELECT id AS entry_id, min(seen) AS group_id FROM reach GROUP BY id""",
 }
