@@ -212,7 +212,8 @@ def training_model(documents: DataFrame, codes: dict[str, str], docs: int = TRAI
             out = [(c, " ".join(own)) for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, _, own in sentences(text)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["code", "words"])
 
-    rows = chosen.select("_code", "text").mapInArrow(split, "code string, words string").distinct().collect()
+    counts = chosen.select("_code", "text").mapInArrow(split, "code string, words string").groupBy("words", "code").agg(F.count("*").alias("n"))
+    rows = counts.groupBy("words").agg(F.max_by("code", F.struct("n", "code")).alias("code")).collect()  # of equal sentences the label most have
     samples = sorted((r["code"], r["words"].split(" ")) for r in rows)
     return fitted_twice(samples, sorted(set(codes.values()))) if samples else None
 
