@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from twinspan.llm.grammars import lr
+from twinspan.grammars import lr
 from twinspan.llm.parsing import first_error, parse_errors
 
 GOOD_RUBY = '''

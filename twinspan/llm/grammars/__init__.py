@@ -1 +1 @@
-"""Bundled grammars, a table generator for them, and the lexers that feed the tables."""
+"""Grammars and lexers of JSON and Python; those of Ruby and ERB are shared with the front ends."""

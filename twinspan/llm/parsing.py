@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinspan.llm.grammars import erb_text, json_text, lr, python_text
+from twinspan.grammars import erb_text, lr
+from twinspan.llm.grammars import json_text, python_text
 from twinspan.sources.tables import counting_rows, table
 
 #: Extensions and their languages.
