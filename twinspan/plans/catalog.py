@@ -11,7 +11,8 @@ from twinspan.functions import paths
 from twinspan.functions.digests import digest_text
 from twinspan.operators import clusters, contract, findings, fingerprints, fragments, identical, similarity
 from twinspan.plans import inputs, oracles, report
-from twinspan.sources import documents, frontends
+from twinspan.plans.sweep import sweep
+from twinspan.sources import documents, frontends, units
 from twinspan.sources.files import source_files
 from twinspan.sources.tables import counting_rows, table
 from twinspan.work import Workspace
@@ -66,10 +67,10 @@ def unit_sim_pairs_65(spark: SparkSession, folder: str) -> DataFrame:
 def mixed_threshold_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs that reach the lower of their two thresholds, with both sides at or above the lower floors, not overlapping."""
     work = Workspace(spark, "mixed")
-    units = work.write(inputs.units(spark, folder), "units")
+    own = work.write(inputs.units(spark, folder), "units")
     floor = contract.floors(inputs.repo_settings(spark, folder)).first()
     pairs = similarity.similar_units(_weighted(spark, folder, work), "entry_id", floor["threshold"], 1_000_000, work)
-    side = lambda x: units.select(*(F.col(c).alias(f"{x}_{c}") for c in ("entry_id", "path", "start_line", "end_line", "node_count", "threshold", "min_lines", "min_nodes"))).withColumnRenamed(f"{x}_entry_id", x)
+    side = lambda x: own.select(*(F.col(c).alias(f"{x}_{c}") for c in ("entry_id", "path", "start_line", "end_line", "node_count", "threshold", "min_lines", "min_nodes"))).withColumnRenamed(f"{x}_entry_id", x)
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     lines = lambda x: F.col(f"{x}_end_line") - F.col(f"{x}_start_line") + 1
     floors = (F.least(lines("a"), lines("b")) >= F.least("a_min_lines", "b_min_lines")) & (F.least("a_node_count", "b_node_count") >= F.least("a_min_nodes", "b_min_nodes"))
@@ -108,8 +109,8 @@ def bucket_representatives(spark: SparkSession, folder: str) -> DataFrame:
 
 def stand_in_pairs(spark: SparkSession, folder: str) -> DataFrame:
     work = Workspace(spark, "standins")
-    units = work.write(inputs.units(spark, folder), "units")
-    reps, star = work.write(identical.representatives(units), "reps"), work.write(identical.identical_stars(units), "star")
+    own = work.write(inputs.units(spark, folder), "units")
+    reps, star = work.write(identical.representatives(own), "reps"), work.write(identical.identical_stars(own), "star")
     first = reps.where("entry_id = rep_id").select("entry_id")
     rows = similarity.weighted_sets(inputs.unit_sets(spark, folder), "entry_id", work).join(first, "entry_id", "left_semi")
     return identical.stood_in(similarity.similar_units(rows, "entry_id", 4, 5, work), reps, star)
@@ -175,8 +176,8 @@ def _clustered(spark: SparkSession, folder: str, work: Workspace) -> tuple[DataF
     """Locations of clusters with all that findings are told from, and the edges between them."""
     edges = work.write(inputs.existing(spark, folder), "edges")
     members = clusters.components(edges, "a", "b", work).withColumnRenamed("id", "loc_id")
-    units = inputs.units(spark, folder).select("entry_id", "kind", "namespace", "identity", "language")
-    placed = members.join(inputs.places(spark, folder), "loc_id").join(units, "entry_id", "left")
+    own = inputs.units(spark, folder).select("entry_id", "kind", "namespace", "identity", "language")
+    placed = members.join(inputs.places(spark, folder), "loc_id").join(own, "entry_id", "left")
     placed = placed.withColumn("structural", F.concat_ws("#", "signature", "ordinal"))
     placed = work.write(findings.touched(placed, inputs.changed(spark, folder)), "touched")
     return work.write(findings.aged(placed, inputs.line_ages(spark, folder)), "locations"), edges
@@ -259,11 +260,11 @@ def settings_floors(spark: SparkSession, folder: str) -> DataFrame:
 
 def _references(spark: SparkSession, folder: str) -> DataFrame:
     """References to units of every kind, made from the units: methods, outer namespaces, globs over both sorts of names."""
-    units = inputs.units(spark, folder)
+    own = inputs.units(spark, folder)
     outer = F.element_at(F.split("namespace", "::"), 1)
-    texts = units.where("kind = 'method'").select(F.col("identity").alias("text"))
-    texts = texts.union(units.where("namespace is not null").select(outer)).union(units.where("namespace like '%::%'").select(F.concat(outer, F.lit("::*"))))
-    texts = texts.union(units.where("kind = 'template'").select(F.concat(F.substring_index("identity", "/", 2), F.lit("/*"))))
+    texts = own.where("kind = 'method'").select(F.col("identity").alias("text"))
+    texts = texts.union(own.where("namespace is not null").select(outer)).union(own.where("namespace like '%::%'").select(F.concat(outer, F.lit("::*"))))
+    texts = texts.union(own.where("kind = 'template'").select(F.concat(F.substring_index("identity", "/", 2), F.lit("/*"))))
     return texts.distinct().select(F.xxhash64("text").alias("ref_id"), "text")
 
 
@@ -313,6 +314,26 @@ def tree_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return _trees(spark, folder).groupBy("entry_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.count_distinct("digest").alias("digests"), F.max(F.when(F.col("parent") < 0, F.col("digest"))).alias("root"))
 
 
+def _snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of the Ruby and ERB files, each repository a folder."""
+    rows = counting_rows(table(spark, folder, "source_files").select("file_id", "repo", "file_path", "content", "rev"), "file_id").where("content is not null")
+    return rows.select(F.concat_ws("/", "repo", "file_path").alias("path"), F.col("content").cast("binary").alias("content")).dropDuplicates(["path"])
+
+
+def source_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Units of the Ruby and ERB files, or the line of a file's error."""
+    rows = _snapshot(spark, folder).select("path", paths.language(F.col("path")).alias("language"), F.col("content").cast("string").alias("text"))
+    return units.read_units(rows, "path", "path", "language", "text").select(F.col("file_key").alias("path"), "kind", "identity", "start_line", "end_line", "error_line", F.size("nodes").alias("nodes"))
+
+
+def sweep_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Matches of whole units, fragments and runs in the Ruby and ERB files, from their text alone."""
+    swept = sweep(spark, _snapshot(spark, folder), documents.Contract(), Workspace(spark, "sweep"))
+    keys = swept.locations.select("loc_id", "key")
+    both = swept.matches.join(keys.withColumnsRenamed({"loc_id": "a", "key": "ka"}), "a").join(keys.withColumnsRenamed({"loc_id": "b", "key": "kb"}), "b")
+    return both.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), "kind", "shared_w", "union_w")
+
+
 def report_json(spark: SparkSession, folder: str) -> DataFrame:
     """The report's rows as JSON objects, in the engine."""
     rows = findings_ranked(spark, folder)
@@ -325,7 +346,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         src_filter, src_flags, generated_files, digest_weights, entry_totals, prefix_digests, unit_sim_pairs, unit_sim_pairs_65, mixed_threshold_pairs, basket_sim_pairs, document_sim_pairs,
         explain_pair, identical_groups, identical_star, bucket_representatives, stand_in_pairs, fragment_groups, fragment_pairs, fragment_ordinals, subtree_pairs, run_seeds, run_islands, run_extended, match_pruned,
         match_clusters, finding_locations, finding_ends, finding_kinds, base_labels, label_counts, findings_ranked, contracted_pairs, top20_contracted, settings_per_unit, settings_floors, ref_hits,
-        most_specific_ref, kept_matches, unknown_refs, markdown_blocks, tree_nodes, report_json,
+        most_specific_ref, kept_matches, unknown_refs, markdown_blocks, tree_nodes, source_units, sweep_matches, report_json,
     )
 }
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -47,16 +47,17 @@ def read_units(files: DataFrame, key: str, path: str, language: str, text: str)
     return files.select(F.col(key).cast("string").alias("_k"), F.col(path).alias("_p"), F.col(language).alias("_l"), F.col(text).alias("_t")).mapInArrow(read, UNITS)
 
 
-def numbered_units(rows: DataFrame, paths: DataFrame) -> DataFrame:
-    """(entry_id, path, ...): units numbered in the order of path, line and place in the file. paths: (file_key, path).
+#: A file's units are numbered within its own range of so many bits.
+_BITS = 20
+
 
-    Numbers come from per-path counts, so no task sorts all units: only the files' counts are summed up.
-    """
+def numbered_units(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """(entry_id, path, ...): units numbered in the order of path and place in the file, with gaps between files. paths:
+    (file_key, path). Files are ranked by a distributed sort and counts per partition; no task sees all of them."""
     good = rows.where("error is null").join(paths, "file_key")
-    counts = good.groupBy("path").agg(F.count("*").alias("n"))
-    before = counts.withColumn("_before", F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = good.select("path").distinct().sort("path").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("path string, _rank bigint")
     order = F.row_number().over(Window.partitionBy("path").orderBy("unit_no"))
-    return good.withColumn("_own", order).join(before.select("path", F.coalesce("_before", F.lit(0)).alias("_before")), "path").withColumn("entry_id", F.col("_before") + F.col("_own")).drop("_own", "_before")
+    return good.withColumn("_own", order).join(ranked, "path").withColumn("entry_id", F.shiftleft("_rank", _BITS) + F.col("_own")).drop("_own", "_rank")
 
 
 def unit_nodes(units: DataFrame) -> DataFrame:
