@@ -244,7 +244,7 @@ def near_classes(classes: DataFrame, work: Workspace, num: int, den: int) -> Dat
     total = sums.agg(F.sum("m")).first()[0] or 0
     info = lookup_by_count(index.where("own").select("key", "less", "c", "part"), sums, "key", "m", total)
     info = info.groupBy("c").agg(F.collect_list(F.struct("part", "less", "key", "n0", "n1")).alias("info"))
-    shapes = work.write(part_sizes(classes, line, num, den), "shapes")
+    shapes = part_sizes(classes, line, num, den)
     looked = work.write(probes(shapes.join(info, "c", "left").select("c", "n", "level", "filled", "info"), count, num, den), "probes")
     target = index.select("key", F.col("less"), F.col("c").alias("d"), F.col("n").alias("m"))
     fits = (F.col("c") != F.col("d")) & (F.col("m") <= F.col("n")) & (F.col("m") * den >= F.col("n") * num)
@@ -252,8 +252,7 @@ def near_classes(classes: DataFrame, work: Workspace, num: int, den: int) -> Dat
     met = looked.join(target, "key").where(fits & kind).select("c", "d")
     if not looked.where("void").isEmpty():
         met = met.unionByName(looked.where("void").join(_void_rows(classes, line, num, den), "key").where(fits).select("c", "d"))
-    pairs = work.write(met.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct(), "candidates")
-    return verified(pairs, classes, num, den)
+    return verified(met.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct(), classes, num, den)
 
 
 def _void_rows(classes: DataFrame, line: Line, num: int, den: int) -> DataFrame:
@@ -315,7 +314,7 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
     strong = matches.where(score_reaches(F.col("score"), F.col("shared_w"), F.col("union_w"), 7, 10)).select("a", "b")
     whole = table(spark, sf_dir, "locations").where("is_whole and entry_id is not null").select("loc_id", "entry_id").distinct()
     null = sets.select("entry_id", F.col("digests").isNull().alias("null_set"))
-    side = work.write(whole.join(null, "entry_id"), "whole")
+    side = whole.join(null, "entry_id")
     x = side.select(F.col("loc_id").alias("a"), F.col("entry_id").alias("ea"), F.col("null_set").alias("na"))
     y = side.select(F.col("loc_id").alias("b"), F.col("entry_id").alias("eb"), F.col("null_set").alias("nb"))
     links = strong.join(x, "a").join(y, "b").where("na or nb").select(F.col("ea").alias("a"), F.col("eb").alias("b"))

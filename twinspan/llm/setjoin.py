@@ -113,18 +113,18 @@ def similar_classes(classes: DataFrame, work: Workspace, num: int, den: int, rec
         little = active if large.isEmpty() else active.join(large, "node", "left_anti")
         node = little.select("node", "c", "n", "s0", "s1")
         pairs = node.alias("a").join(node.alias("b"), (F.col("a.node") == F.col("b.node")) & _alike(limit, num, den))
-        found.append(work.write(pairs.select(F.col("a.c").alias("c"), F.col("b.c").alias("d")).distinct(), "pairs"))
+        found.append(pairs.select(F.col("a.c").alias("c"), F.col("b.c").alias("d")))
         if large.isEmpty():
             break
         rest = active.join(large, "node")
         if last:
-            found.append(work.write(_blocks(rest, small, limit, num, den), "pairs"))
+            found.append(_blocks(rest, small, limit, num, den))
         else:
             active = work.write(rest.select("c", "n", "s0", "s1", "path", F.expr(f"path[{level + 1}]").alias("node")), "active")
     pairs = found[0]
     for part in found[1:]:
         pairs = pairs.unionByName(part)
-    return verified(work.write(pairs.distinct(), "candidates"), classes, num, den)
+    return verified(pairs.distinct(), classes, num, den)
 
 
 def _blocks(rest: DataFrame, small: int, limit: int, num: int, den: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _blocks(rest: DataFrame, small: int, limit: int, num: int, den: int) -> Data
     met = (F.col("a.node") == F.col("b.node")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
     swapped = _alike(limit, num, den) | _alike_swapped(limit, num, den)
     pairs = left.alias("a").join(right.alias("b"), met & swapped)
-    return pairs.select(F.least("a.c", "b.c").alias("c"), F.greatest("a.c", "b.c").alias("d")).distinct()
+    return pairs.select(F.least("a.c", "b.c").alias("c"), F.greatest("a.c", "b.c").alias("d"))
 
 
 def _alike_swapped(limit: int, num: int, den: int) -> Column:
@@ -178,7 +178,7 @@ def similar_pairs(records: DataFrame, key: str, owner: str, array: str, work: Wo
     """
     rows = records.where(F.size(array) >= max(least, 1)).select(F.col(key).alias("id"), F.col(owner).alias("own"), array)
     classes, members = classes_of(rows.dropDuplicates(["id", "own"]) if repeated else rows, "id", array, work)
-    pairs = work.write(similar_classes(classes, work, num, den, recall), "class_pairs")
+    pairs = similar_classes(classes, work, num, den, recall)
     m1 = members.select("c", F.col("id").alias("a"), F.col("own").alias("oa"))
     m2 = members.select(F.col("c").alias("d"), F.col("id").alias("b"), F.col("own").alias("ob"))
     across = pairs.join(m1, "c").join(m2, "d")
