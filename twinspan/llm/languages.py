@@ -190,7 +190,7 @@ def fitted_twice(samples: list[tuple[str, list[str]]], languages: list[str]) ->
 
 def label_code(label: Column, codes: dict[str, str]) -> Column:
     """The code that a label names, by code, three-letter code or English name; null where it names none."""
-    head = F.regexp_extract(F.lower(F.trim(F.regexp_replace(label, r"\s", " "))), r"^([^-_ ]+)(?:[-_ ].*)?$", 1)
+    head = F.regexp_extract(F.lower(F.trim(F.regexp_replace(label, r"[\s\x{00A0}\x{200B}\x{FEFF}]", " "))), r"^([^-_ ]+)(?:[-_ ].*)?$", 1)
     pairs = F.create_map(*(F.lit(x) for pair in sorted(codes.items()) for x in pair))
     return F.try_element_at(pairs, head)
 

@@ -54,9 +54,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def embedded(sets: DataFrame, array: str, trees: int, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """Add s0, s1 (the sketch) and nodes (for each tree, its node at every level) to rows of non-empty BIGINT sets."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sets.schema) + ", s0 bigint, s1 bigint, nodes array<bigint>"
-    names = [*sets.columns, "s0", "s1", "nodes"]
+    """Add s0, s1 (the sketch) and drawn (for each tree, the hash that it draws at every level) to rows of non-empty BIGINT
+    sets. A node is the tree and the hashes drawn so far."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sets.schema) + ", s0 bigint, s1 bigint, drawn array<int>"
+    names = [*sets.columns, "s0", "s1", "drawn"]
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -73,14 +74,9 @@ def embedded(sets: DataFrame, array: str, trees: int, levels: int = LEVELS, seed
                 least = np.stack([_mixed(np.minimum.reduceat(tokens * factors[i] + terms[i], starts)) for i in range(HASHES)])
                 bits = (least & np.uint64(1)) << (np.arange(HASHES, dtype=np.uint64) % np.uint64(64))[:, None]
                 halves = [np.bitwise_or.reduce(bits[k : k + 64]).view(np.int64) for k in (0, 64)]
-                nodes = np.empty((batch.num_rows, trees, levels), dtype=np.uint64)
-                for t in range(trees):
-                    path = np.full(batch.num_rows, t + 1, dtype=np.uint64)
-                    for d in range(levels):
-                        path = _mixed(path * np.uint64(0x9E3779B97F4A7C15) + least[chosen[t, d]])
-                        nodes[:, t, d] = path
+                drawn = (least[chosen.reshape(-1)] >> np.uint64(32)).astype(np.uint32).view(np.int32).T
                 offsets = np.arange(0, batch.num_rows + 1, dtype=np.int32) * (trees * levels)
-                columns = [pa.array(h) for h in halves] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes.reshape(-1).view(np.int64)))]
+                columns = [pa.array(h) for h in halves] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(drawn).reshape(-1)))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
 
     return sets.mapInArrow(embed, schema)
@@ -102,9 +98,8 @@ def similar_classes(classes: DataFrame, work: Workspace, num: int, den: int, rec
     threshold = num / den
     trees, limit = tree_count(threshold, recall), sketch_limit(threshold)
     rows = work.write(embedded(classes.select("c", "digests"), "digests", trees).withColumn("n", F.size("digests")), "embedded")
-    slim = rows.select("c", "n", "s0", "s1", "nodes")
-    active = slim.select("c", "n", "s0", "s1", F.posexplode(F.expr(f"transform(sequence(0, {trees - 1}), t -> slice(nodes, t * {LEVELS} + 1, {LEVELS}))")).alias("t", "path"))
-    active = active.select("c", "n", "s0", "s1", "path", F.expr("path[0]").alias("node"))
+    active = rows.select("c", "n", "s0", "s1", F.posexplode(F.expr(f"transform(sequence(0, {trees - 1}), t -> slice(drawn, t * {LEVELS} + 1, {LEVELS}))")).alias("t", "path"))
+    active = active.select("c", "n", "s0", "s1", "t", "path", F.expr("xxhash64(t, path[0])").alias("node"))
     found: list[DataFrame] = []
     for level in range(LEVELS):
         counts = active.groupBy("node").agg(F.count("*").alias("m"))
@@ -113,14 +108,14 @@ def similar_classes(classes: DataFrame, work: Workspace, num: int, den: int, rec
         little = active if large.isEmpty() else active.join(large, "node", "left_anti")
         node = little.select("node", "c", "n", "s0", "s1")
         pairs = node.alias("a").join(node.alias("b"), (F.col("a.node") == F.col("b.node")) & _alike(limit, num, den))
-        found.append(pairs.select(F.col("a.c").alias("c"), F.col("b.c").alias("d")))
+        found.append(work.write(pairs.select(F.col("a.c").alias("c"), F.col("b.c").alias("d")).distinct(), "pairs"))
         if large.isEmpty():
             break
         rest = active.join(large, "node")
         if last:
-            found.append(_blocks(rest, small, limit, num, den))
+            found.append(work.write(_blocks(rest, small, limit, num, den).distinct(), "pairs"))
         else:
-            active = work.write(rest.select("c", "n", "s0", "s1", "path", F.expr(f"path[{level + 1}]").alias("node")), "active")
+            active = work.write(rest.select("c", "n", "s0", "s1", "t", "path", F.expr(f"xxhash64(t, slice(path, 1, {level + 2}))").alias("node")), "active")
     pairs = found[0]
     for part in found[1:]:
         pairs = pairs.unionByName(part)
@@ -178,7 +173,7 @@ def similar_pairs(records: DataFrame, key: str, owner: str, array: str, work: Wo
     """
     rows = records.where(F.size(array) >= max(least, 1)).select(F.col(key).alias("id"), F.col(owner).alias("own"), array)
     classes, members = classes_of(rows.dropDuplicates(["id", "own"]) if repeated else rows, "id", array, work)
-    pairs = similar_classes(classes, work, num, den, recall)
+    pairs = work.write(similar_classes(classes, work, num, den, recall), "class_pairs")
     m1 = members.select("c", F.col("id").alias("a"), F.col("own").alias("oa"))
     m2 = members.select(F.col("c").alias("d"), F.col("id").alias("b"), F.col("own").alias("ob"))
     across = pairs.join(m1, "c").join(m2, "d")
