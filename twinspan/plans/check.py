@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspan.functions import paths as path_rules
-from twinspan.operators import clusters, contract, findings
+from twinspan.operators import clusters, contract, findings, similarity
 from twinspan.plans import cache, report
 from twinspan.plans.sweep import Sweep, sweep
 from twinspan.sources import files, git
@@ -130,7 +130,7 @@ def _verdict(spark, root, options, head: Sweep, declared: Contract, base, old, v
     labelled = findings.labels(placed, old["clusters"], old["structures"]) if old else placed.select("component", F.lit("found").alias("label")).distinct()
     shown = findings.narrowed(placed, options.paths)
     ends = work.write(findings.originals(placed).join(shown, "component"), "ends")
-    told = _told(placed, unkept, ends, labelled, bool(old))
+    told = _told(placed, _edges(head, placed, unkept, ends, work), ends, labelled, bool(old))
     result = report.Result(base=base, notes=findings.notes(bool(old), bool(options.overrides), options.paths, options.introduced_only))
     result.findings = [_finding(r) for r in told.collect()]  # a report's findings
     result.kept = _kept(head, keeping, declared, old)
@@ -145,6 +145,17 @@ def _verdict(spark, root, options, head: Sweep, declared: Contract, base, old, v
     return result
 
 
+def _edges(head: Sweep, placed: DataFrame, unkept: DataFrame, ends: DataFrame, work: Workspace) -> DataFrame:
+    """Scores of matches, and of each copy with the places of its cluster that it wasn't matched with."""
+
+    def score(pairs: DataFrame) -> DataFrame:
+        named = work.write(pairs, "unscored")
+        some = named.select(F.explode(F.array("a", "b")).alias("loc_id")).distinct()
+        return similarity.scored(named, work.write(head.tokens(placed.join(some, "loc_id", "left_semi")), "tokens"), "loc_id")
+
+    return work.write(findings.completed(placed, unkept, ends, score), "scores")
+
+
 def _told(placed: DataFrame, edges: DataFrame, ends: DataFrame, labelled: DataFrame, based: bool) -> DataFrame:
     """A row per finding, in the order of a report, its other places in an array."""
     scores = findings.scores_with(placed, edges, ends, "copy").withColumn("score", F.coalesce("score", F.lit(0.0)))

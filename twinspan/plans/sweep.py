@@ -16,6 +16,8 @@ from twinspan.work import Workspace
 
 DEFAULTS = (800_000, 4, 20)
 LOCATION = ["entry_id", "start_line", "end_line"]
+#: A pair's columns: of each side entry, lines, size, whole, signature, first and last node.
+PAIR = [*(c + x for x in "ab" for c in "estzwg"), "fa", "la", "fb", "lb", "kind", "shared_w", "union_w"]
 
 
 @dataclass
@@ -28,6 +30,13 @@ class Sweep:
     locations: DataFrame
     hits: DataFrame | None
     weighted: DataFrame
+    nodes: DataFrame
+
+    def tokens(self, locations: DataFrame) -> DataFrame:
+        """(loc_id, digest, w): the set of each location: the digests of the subtrees between its first and last node."""
+        x = locations.select("loc_id", "entry_id", "from_at", "to_at")
+        inside = x.join(self.nodes.select("entry_id", "preorder", "digest"), "entry_id").where("preorder between from_at and to_at")
+        return inside.select("loc_id", "entry_id", "digest").distinct().join(self.weighted.select("entry_id", "digest", "w"), ["entry_id", "digest"]).select("loc_id", "digest", "w")
 
 
 def sweep(spark, read: DataFrame, contract: Contract, work: Workspace, include_tests: bool = False, overrides: dict | None = None) -> Sweep:
@@ -45,7 +54,7 @@ def sweep(spark, read: DataFrame, contract: Contract, work: Workspace, include_t
     sets = work.write(nodes.groupBy("entry_id").agg(F.collect_set("digest").alias("digests")), "sets")
     weighted = similarity.weighted_sets(sets, "entry_id", work)
     found = _matches(table, nodes, weighted, work)
-    return Sweep(table, errors, *found, hits, weighted)
+    return Sweep(table, errors, *found, hits, weighted, nodes)
 
 
 def _settings(spark, table: DataFrame, contract: Contract, overrides: dict | None, work: Workspace) -> tuple[DataFrame | None, DataFrame]:
@@ -71,8 +80,8 @@ def _settings(spark, table: DataFrame, contract: Contract, overrides: dict | Non
 
 def _pair_settings(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """Add the lower threshold and floors of the two entries ea and eb."""
-    x = table.select(F.col("entry_id").alias("ea"), F.col("path").alias("pa"), *(F.col(c).alias(f"a_{c}") for c in ("threshold", "min_lines", "min_nodes")))
-    y = table.select(F.col("entry_id").alias("eb"), F.col("path").alias("pb"), *(F.col(c).alias(f"b_{c}") for c in ("threshold", "min_lines", "min_nodes")))
+    x = table.select(F.col("entry_id").alias("ea"), F.col("path").alias("_pa"), *(F.col(c).alias(f"a_{c}") for c in ("threshold", "min_lines", "min_nodes")))
+    y = table.select(F.col("entry_id").alias("eb"), F.col("path").alias("_pb"), *(F.col(c).alias(f"b_{c}") for c in ("threshold", "min_lines", "min_nodes")))
     both = pairs.join(x, "ea").join(y, "eb")
     for c in ("threshold", "min_lines", "min_nodes"):
         both = both.withColumn(c, F.least(f"a_{c}", f"b_{c}")).drop(f"a_{c}", f"b_{c}")
@@ -82,15 +91,15 @@ def _pair_settings(pairs: DataFrame, table: DataFrame) -> DataFrame:
 def _judged(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """Candidate pairs (ea, sa, ta, za, eb, sb, tb, zb, kind, shared_w, union_w) that don't overlap and meet their settings."""
     told = _pair_settings(pairs, table)
-    clash = (F.col("pa") == F.col("pb")) & (F.col("sa") <= F.col("tb")) & (F.col("sb") <= F.col("ta"))
+    clash = (F.col("_pa") == F.col("_pb")) & (F.col("sa") <= F.col("tb")) & (F.col("sb") <= F.col("ta"))
     lines = F.least(F.col("ta") - F.col("sa"), F.col("tb") - F.col("sb")) + 1 >= F.col("min_lines")
     nodes = F.least("za", "zb") >= F.col("min_nodes")
-    return told.where(~clash & lines & nodes & reaches(F.col("shared_w"), F.col("union_w"), F.col("threshold"), 1_000_000)).select("ea", "sa", "ta", "za", "wa", "ga", "eb", "sb", "tb", "zb", "wb", "gb", "kind", "shared_w", "union_w")
+    return told.where(~clash & lines & nodes & reaches(F.col("shared_w"), F.col("union_w"), F.col("threshold"), 1_000_000)).select(*PAIR)
 
 
 def _side(table: DataFrame, x: str) -> DataFrame:
     """A whole unit as one side of a pair."""
-    return table.select(F.col("entry_id").alias(f"e{x}"), F.col("start_line").alias(f"s{x}"), F.col("end_line").alias(f"t{x}"), F.col("node_count").alias(f"z{x}"), F.lit(True).alias(f"w{x}"), F.lit(None).cast("string").alias(f"g{x}"))
+    return table.select(F.col("entry_id").alias(f"e{x}"), F.col("start_line").alias(f"s{x}"), F.col("end_line").alias(f"t{x}"), F.col("node_count").alias(f"z{x}"), F.lit(True).alias(f"w{x}"), F.lit(None).cast("string").alias(f"g{x}"), F.lit(0).alias(f"f{x}"), (F.col("node_count") - 1).alias(f"l{x}"))
 
 
 def _matches(table: DataFrame, nodes: DataFrame, weighted: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -110,18 +119,17 @@ def _matches(table: DataFrame, nodes: DataFrame, weighted: DataFrame, work: Work
     # copied subtrees
     inside = nodes.join(eligible.select("entry_id", "path"), "entry_id")
     trees = inside.where((F.col("parent") >= 0) & (F.col("size") >= min_nodes) & (F.col("end_line") - F.col("start_line") + 1 >= min_lines))
-    trees = work.write(trees.select(F.xxhash64("entry_id", "preorder").alias("loc_id"), "entry_id", "preorder", "path", "start_line", "end_line", "size", F.col("digest").alias("signature")), "subtrees")
+    trees = work.write(trees.select(F.xxhash64("entry_id", "preorder").alias("loc_id"), "entry_id", "preorder", "subtree_end", "path", "start_line", "end_line", "size", F.col("digest").alias("signature")), "subtrees")
     copied = fragments.fragment_pairs(trees)
-    cut = lambda x, k: trees.select(F.col("loc_id").alias(k), F.col("entry_id").alias(f"e{x}"), F.col("start_line").alias(f"s{x}"), F.col("end_line").alias(f"t{x}"), F.col("size").alias(f"z{x}"), F.lit(False).alias(f"w{x}"), F.col("signature").alias(f"g{x}"))
+    cut = lambda x, k: trees.select(F.col("loc_id").alias(k), F.col("entry_id").alias(f"e{x}"), F.col("start_line").alias(f"s{x}"), F.col("end_line").alias(f"t{x}"), F.col("size").alias(f"z{x}"), F.lit(False).alias(f"w{x}"), F.col("signature").alias(f"g{x}"), F.col("preorder").alias(f"f{x}"), F.col("subtree_end").alias(f"l{x}"))
     subtree = copied.join(cut("a", "a"), "a").join(cut("b", "b"), "b").withColumn("kind", F.lit("subtree")).withColumn("shared_w", F.lit(1).cast("bigint")).withColumn("union_w", F.lit(1).cast("bigint"))
-    columns = ["ea", "sa", "ta", "za", "wa", "ga", "eb", "sb", "tb", "zb", "wb", "gb", "kind", "shared_w", "union_w"]
-    every = whole.select(*columns).unionByName(subtree.select(*columns)).unionByName(_runs(inside, weighted, work).select(*columns))
+    every = whole.select(*PAIR).unionByName(subtree.select(*PAIR)).unionByName(_runs(inside, weighted, work).select(*PAIR))
     told = work.write(_judged(every, table), "judged")
     marked = told.select(F.xxhash64("ea", "sa", "ta", "eb", "sb", "tb", "kind").alias("match_id"), "*").dropDuplicates(["match_id"])
     marked = marked.withColumn("whole", F.col("wa") & F.col("wb")).withColumn("size", F.greatest("za", "zb")).withColumn("ka", F.concat_ws("@", "ea", "sa", "ta")).withColumn("kb", F.concat_ws("@", "eb", "sb", "tb"))
     kept = fragments.pruned(work.write(fragments.without_twins(marked, eligible.select("entry_id", F.col("root_digest").alias("group"))), "marked"))
     loc = lambda x: F.xxhash64(f"e{x}", f"s{x}", f"t{x}")
-    ends = kept.select("match_id", loc("a").alias("a"), loc("b").alias("b"), *columns)
+    ends = kept.select("match_id", loc("a").alias("a"), loc("b").alias("b"), *PAIR)
     ends = work.write(ends.withColumn("score", F.col("shared_w") / F.col("union_w")), "matches")
     return ends, work.write(_locations(ends, table), "locations")
 
@@ -144,18 +152,18 @@ def _runs(inside: DataFrame, weighted: DataFrame, work: Workspace) -> DataFrame:
     sets = held.select("seq_id", "entry_id", "lo", "hi", "from_at", "to_at").join(inside.select("entry_id", F.col("preorder").alias("p"), "digest"), "entry_id").where("p between from_at and to_at").select("seq_id", "lo", "hi", "entry_id", "digest").distinct()
     key = F.struct("seq_id", "lo", "hi").alias("run")
     tokens = work.write(sets.join(weighted, ["entry_id", "digest"]).select(key, "digest", "w"), "run_tokens")
-    packed = held.select(key, F.col("entry_id").alias("e"), "s", "t", "z", F.lit(False).alias("w"), "g")
+    packed = held.select(key, F.col("entry_id").alias("e"), "s", "t", "z", F.lit(False).alias("w"), "g", F.col("from_at").alias("f"), F.col("to_at").alias("l"))
     pair = long.select(F.struct(F.col("a").alias("seq_id"), F.col("first").alias("lo"), F.col("last").alias("hi")).alias("a"), F.struct(F.col("b").alias("seq_id"), (F.col("first") - F.col("diagonal")).alias("lo"), (F.col("last") - F.col("diagonal")).alias("hi")).alias("b"))
     scored = similarity.scored(pair.distinct(), tokens, "run")
-    side = lambda x: packed.select(F.col("run").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("e", "s", "t", "z", "w", "g")))
+    side = lambda x: packed.select(F.col("run").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("e", "s", "t", "z", "w", "g", "f", "l")))
     return scored.join(side("a"), "a").join(side("b"), "b").withColumn("kind", F.lit("run"))
 
 
 def _locations(matches: DataFrame, table: DataFrame) -> DataFrame:
     """The sides of matches, each once, with their units and keys."""
-    side = lambda x: matches.select(F.col(x).alias("loc_id"), F.col(f"e{x}").alias("entry_id"), F.col(f"s{x}").alias("start_line"), F.col(f"t{x}").alias("end_line"), F.col(f"z{x}").alias("size"), F.col(f"w{x}").alias("whole"), F.col(f"g{x}").alias("signature"))
+    side = lambda x: matches.select(F.col(x).alias("loc_id"), F.col(f"e{x}").alias("entry_id"), F.col(f"s{x}").alias("start_line"), F.col(f"t{x}").alias("end_line"), F.col(f"z{x}").alias("size"), F.col(f"w{x}").alias("whole"), F.col(f"g{x}").alias("signature"), F.col(f"f{x}").alias("from_at"), F.col(f"l{x}").alias("to_at"))
     sides = side("a").unionByName(side("b"))
-    each = sides.groupBy("loc_id", *LOCATION).agg(F.max("size").alias("size"), F.some("whole").alias("whole"), F.min("signature").alias("signature"))
+    each = sides.groupBy("loc_id", *LOCATION).agg(F.max("size").alias("size"), F.some("whole").alias("whole"), F.min("signature").alias("signature"), F.min("from_at").alias("from_at"), F.max("to_at").alias("to_at"))
     told = each.join(table.select("entry_id", "path", "kind", "identity", "namespace", "language", "root_digest", "primitive"), "entry_id")
     numbered = fingerprints.ordinals(told, ["entry_id", "signature"], ["start_line", "end_line"])
     unpadded = F.regexp_replace("signature", "^0+(?=.)", "")
