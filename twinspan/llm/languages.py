@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from twinspan.sources.tables import table
 
-TRAIN_DOCS = 400
+TRAIN_DOCS = 200
 DIMENSIONS = 1 << 16
 EPOCHS = 4
 LEAST_WORDS = 3
