@@ -94,6 +94,10 @@ def test_base_contract_and_cache(spark, tmp_path):
     code, said = call(spark, root, "--introduced-only")
     assert said["findings"] == [] and len(said["kept"]) == 2 and said["kept"][0]["new_clause"] and code == 1
     assert {e["message"].split(":")[0] for e in said["contract_errors"]} == {"Nope#x names no unit", "stale clause"}
+    put(root, "lib/fourth.rb", klass("Fourth", "hidden"))
+    code, said = call(spark, root)
+    places = {p["identity"] for f in said["findings"] for p in (f["copy"], *f["existing"])}
+    assert code == 1 and places == {"Invoice#settle", "Receipt#close", "Ticket#end_it", "Fourth#hidden"}
 
 
 def test_eight_hundred_copies(spark, tmp_path):

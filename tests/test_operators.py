@@ -248,6 +248,20 @@ def test_contract_operators(spark):
     assert {tuple(r)[-3:] for r in got.collect()} == {(600000, 4, 50), (800000, 4, 20)}
 
 
+def test_kept_matches_hide_no_twins(spark):
+    """Pairs joined through hubs are exactly those that no clause keeps."""
+    names = {1: "A", 2: "A", 3: "B", 4: None, 5: "B", 6: None, 7: "C"}
+    members = spark.createDataFrame([("g", k) for k in names] + [("other", 9)], "group string, entry_id bigint")
+    assignment = spark.createDataFrame([(1, k, t) for k, t in names.items() if t], "clause_id int, entry_id bigint, text string")
+    kept = spark.createDataFrame([("g", "g"), ("g", "g")], "ga string, gb string")
+    edges = {(r["ea"], r["eb"]) for r in contract.unkept_twins(kept, members, assignment).collect()}
+    keeps = lambda a, b: names[a] and names[b] and names[a] != names[b]
+    assert edges and not any(keeps(a, b) for a, b in edges) and all(a < b for a, b in edges)
+    assert set(joined(edges).values()) == {1} and len(joined(edges)) == 7
+    alone = spark.createDataFrame([("g", k) for k in (1, 3, 7)], "group string, entry_id bigint")
+    assert contract.unkept_twins(kept, alone, assignment).count() == 0
+
+
 def test_trees(spark):
     texts = spark.createDataFrame([(1, "<div data-action='go'><p>a</p><br></div>", "html"), (2, '{"a": [1, 2]}', "json"), (3, "def f(x):\n    return g(x) + 1\n", "python"), (4, "def f(", "python"), (5, None, "json"), (6, "x", None)], "id bigint, c string, l string")
     nodes = fingerprints.digested(frontends.tree_nodes(texts, "id", "c", "l"))

@@ -83,6 +83,29 @@ def kept(matches: DataFrame, assignment: DataFrame, clauses: DataFrame) -> DataF
     return both.join(clauses.select("clause_id", "path", "line"), "clause_id").groupBy("match_id").agg(first.alias("clause_id"))
 
 
+def unkept_twins(kept_pairs: DataFrame, members: DataFrame, assignment: DataFrame) -> DataFrame:
+    """(ea, eb): pairs of units that a kept match between members of groups of identical units leaves unkept.
+
+    kept_pairs: (ga, gb), the groups of kept matches of whole units; members: (group, entry_id). A kept match says nothing of
+    the other members of its groups: those pairs of them that no clause keeps are duplication. Members that clauses name
+    alike are one class. Two of one class are never kept, and two classes are kept or not as wholes, so hubs of classes
+    stand for all pairs: each unkept pair is joined through them, with edges linear in the members.
+    """
+    groups = kept_pairs.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct()
+    named = assignment.groupBy("entry_id").agg(F.array_sort(F.collect_set(F.struct("clause_id", "text"))).alias("names"))
+    own = members.distinct().join(named, "entry_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<struct<clause_id:int,text:string>>")))
+    classes = own.groupBy("group", "names").agg(F.min("entry_id").alias("hub"))
+    own = own.join(classes, ["group", "names"])
+    x = classes.select(F.col("group").alias("ga"), F.col("names").alias("na"), F.col("hub").alias("ha"))
+    y = classes.select(F.col("group").alias("gb"), F.col("names").alias("nb"), F.col("hub").alias("hb"))
+    apart = F.exists("na", lambda i: F.exists("nb", lambda j: (i["clause_id"] == j["clause_id"]) & (i["text"] != j["text"])))
+    across = groups.join(x, "ga").join(y, "gb").where(~apart)
+    left = own.select(F.col("group").alias("ga"), F.col("hub").alias("ha"), F.col("entry_id").alias("ea"))
+    right = own.select(F.col("group").alias("gb"), F.col("hub").alias("hb"), F.col("entry_id").alias("eb"))
+    edges = across.join(right, ["gb", "hb"]).select(F.col("ha").alias("ea"), "eb").unionByName(across.join(left, ["ga", "ha"]).select("ea", F.col("hb").alias("eb")))
+    return edges.where("ea <> eb").select(F.least("ea", "eb").alias("ea"), F.greatest("ea", "eb").alias("eb")).distinct()
+
+
 def stale(clauses: DataFrame, keeping: DataFrame) -> DataFrame:
     """Clauses that keep nothing."""
     return clauses.join(keeping, "clause_id", "left_anti")

@@ -120,7 +120,10 @@ def _verdict(spark, root, options, head: Sweep, declared: Contract, base, old, v
         named = {(r["path"], r["line"]) for r in head.hits.select("path", "line").distinct().collect()}  # references people wrote
         written = [(p, n, t) for _, t, p, n in declared.covers] + [(c["path"], n, t) for c in declared.clauses for t, n in c["references"]]
         unnamed = [(p, n, f"{t} names no unit") for p, n, t in sorted(set(written)) if (p, n) not in named]
-    unkept = work.write(head.matches.join(keeping, "match_id", "left_anti"), "unkept")
+    unkept = head.matches.join(keeping, "match_id", "left_anti").select("match_id", "a", "b", "score")
+    if head.hits is not None:
+        unkept = unkept.unionByName(_twins(head, keeping, own, work))
+    unkept = work.write(unkept, "unkept")
     members = clusters.components(unkept, "a", "b", work).withColumnRenamed("id", "loc_id")
     placed = members.join(head.locations, "loc_id")
     changed = git.changed_lines(spark, root, base) if base else spark.createDataFrame([], "path string, from_line int, to_line int")
@@ -145,6 +148,27 @@ def _verdict(spark, root, options, head: Sweep, declared: Contract, base, old, v
     return result
 
 
+def _twins(head: Sweep, keeping: DataFrame, own: DataFrame, work: Workspace) -> DataFrame:
+    """Pairs of identical units that kept matches hide, with the score of the kept match; each meets its own settings."""
+    whole = head.matches.join(keeping.select("match_id"), "match_id", "left_semi").where("wa and wb")
+    groups = head.units.select("entry_id", F.col("root_digest").alias("group"))
+    x, y = groups.withColumnsRenamed({"entry_id": "ea", "group": "ga"}), groups.withColumnsRenamed({"entry_id": "eb", "group": "gb"})
+    between = whole.select("ea", "eb", "score").join(x, "ea").join(y, "eb")
+    matched = head.locations.where("whole").select("entry_id").distinct()
+    pairs = work.write(contract.unkept_twins(between.select("ga", "gb"), groups.join(matched, "entry_id"), own), "twins")
+    score = between.select(F.least("ga", "gb").alias("g1"), F.greatest("ga", "gb").alias("g2"), "score").groupBy("g1", "g2").agg(F.max("score").alias("kept_score"))
+    told = pairs.join(x, "ea").join(y, "eb").withColumn("g1", F.least("ga", "gb")).withColumn("g2", F.greatest("ga", "gb")).join(score, ["g1", "g2"], "left")
+    told = told.withColumn("score", F.when(F.col("ga") == F.col("gb"), 1.0).otherwise(F.col("kept_score"))).where("score is not null")
+    unit = lambda k: head.units.select(*(F.col(c).alias(f"{c}_{k}") for c in ("entry_id", "start_line", "end_line", "node_count", "threshold", "min_lines", "min_nodes")))
+    both = told.join(unit("a"), F.col("ea") == F.col("entry_id_a")).join(unit("b"), F.col("eb") == F.col("entry_id_b"))
+    lines = F.least(F.col("end_line_a") - F.col("start_line_a"), F.col("end_line_b") - F.col("start_line_b")) + 1
+    fits = (lines >= F.least("min_lines_a", "min_lines_b")) & (F.least("node_count_a", "node_count_b") >= F.least("min_nodes_a", "min_nodes_b"))
+    enough = F.col("score") * 1_000_000 >= F.least("threshold_a", "threshold_b")
+    place = lambda k: F.xxhash64(f"entry_id_{k}", f"start_line_{k}", f"end_line_{k}")
+    rows = both.where(fits & enough).select(F.xxhash64("ea", "eb").alias("match_id"), place("a").alias("a"), place("b").alias("b"), "score")
+    return rows.join(head.matches.select("a", "b").unionByName(head.matches.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti").select("match_id", "a", "b", "score")
+
+
 def _edges(head: Sweep, placed: DataFrame, unkept: DataFrame, ends: DataFrame, work: Workspace) -> DataFrame:
     """Scores of matches, and of each copy with the places of its cluster that it wasn't matched with."""
 

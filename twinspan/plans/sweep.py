@@ -16,8 +16,9 @@ from twinspan.work import Workspace
 
 DEFAULTS = (800_000, 4, 20)
 LOCATION = ["entry_id", "start_line", "end_line"]
-#: A pair's columns: of each side entry, lines, size, whole, signature, first and last node.
-PAIR = [*(c + x for x in "ab" for c in "estzwg"), "fa", "la", "fb", "lb", "kind", "shared_w", "union_w"]
+#: A pair's columns: of each side entry, lines, size, whole, signature, first and last node, and which of its like in the
+#: unit it is.
+PAIR = [*(c + x for x in "ab" for c in "estzwgflo"), "kind", "shared_w", "union_w"]
 
 
 @dataclass
@@ -99,7 +100,7 @@ def _judged(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
 def _side(table: DataFrame, x: str) -> DataFrame:
     """A whole unit as one side of a pair."""
-    return table.select(F.col("entry_id").alias(f"e{x}"), F.col("start_line").alias(f"s{x}"), F.col("end_line").alias(f"t{x}"), F.col("node_count").alias(f"z{x}"), F.lit(True).alias(f"w{x}"), F.lit(None).cast("string").alias(f"g{x}"), F.lit(0).alias(f"f{x}"), (F.col("node_count") - 1).alias(f"l{x}"))
+    return table.select(F.col("entry_id").alias(f"e{x}"), F.col("start_line").alias(f"s{x}"), F.col("end_line").alias(f"t{x}"), F.col("node_count").alias(f"z{x}"), F.lit(True).alias(f"w{x}"), F.lit(None).cast("string").alias(f"g{x}"), F.lit(0).alias(f"f{x}"), (F.col("node_count") - 1).alias(f"l{x}"), F.lit(1).alias(f"o{x}"))
 
 
 def _matches(table: DataFrame, nodes: DataFrame, weighted: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -118,10 +119,11 @@ def _matches(table: DataFrame, nodes: DataFrame, weighted: DataFrame, work: Work
     whole = pairs.join(_side(eligible, "a"), "ea").join(_side(eligible, "b"), "eb")
     # copied subtrees
     inside = nodes.join(eligible.select("entry_id", "path"), "entry_id")
+    inside = fingerprints.ordinals(inside, ["entry_id", "digest"], ["preorder"])
     trees = inside.where((F.col("parent") >= 0) & (F.col("size") >= min_nodes) & (F.col("end_line") - F.col("start_line") + 1 >= min_lines))
-    trees = work.write(trees.select(F.xxhash64("entry_id", "preorder").alias("loc_id"), "entry_id", "preorder", "subtree_end", "path", "start_line", "end_line", "size", F.col("digest").alias("signature")), "subtrees")
+    trees = work.write(trees.select(F.xxhash64("entry_id", "preorder").alias("loc_id"), "entry_id", "preorder", "subtree_end", "path", "start_line", "end_line", "size", "ordinal", F.col("digest").alias("signature")), "subtrees")
     copied = fragments.fragment_pairs(trees)
-    cut = lambda x, k: trees.select(F.col("loc_id").alias(k), F.col("entry_id").alias(f"e{x}"), F.col("start_line").alias(f"s{x}"), F.col("end_line").alias(f"t{x}"), F.col("size").alias(f"z{x}"), F.lit(False).alias(f"w{x}"), F.col("signature").alias(f"g{x}"), F.col("preorder").alias(f"f{x}"), F.col("subtree_end").alias(f"l{x}"))
+    cut = lambda x, k: trees.select(F.col("loc_id").alias(k), F.col("entry_id").alias(f"e{x}"), F.col("start_line").alias(f"s{x}"), F.col("end_line").alias(f"t{x}"), F.col("size").alias(f"z{x}"), F.lit(False).alias(f"w{x}"), F.col("signature").alias(f"g{x}"), F.col("preorder").alias(f"f{x}"), F.col("subtree_end").alias(f"l{x}"), F.col("ordinal").alias(f"o{x}"))
     subtree = copied.join(cut("a", "a"), "a").join(cut("b", "b"), "b").withColumn("kind", F.lit("subtree")).withColumn("shared_w", F.lit(1).cast("bigint")).withColumn("union_w", F.lit(1).cast("bigint"))
     every = whole.select(*PAIR).unionByName(subtree.select(*PAIR)).unionByName(_runs(inside, weighted, work).select(*PAIR))
     told = work.write(_judged(every, table), "judged")
@@ -148,26 +150,36 @@ def _runs(inside: DataFrame, weighted: DataFrame, work: Workspace) -> DataFrame:
         F.min("at").alias("from_at"), F.max("subtree_end").alias("to_at"), F.sum("size").cast("int").alias("z"), F.min("start_line").alias("s"), F.max("end_line").alias("t"), F.array_sort(F.collect_list(F.struct("pos", "digest"))).alias("own")
     )
     held = work.write(held.select("seq_id", "entry_id", "lo", "hi", "from_at", "to_at", "z", "s", "t", fingerprints.run_digest(F.transform("own", lambda x: x["digest"])).alias("g")), "spans")
+    held = work.write(held.join(_run_ordinals(held, sequences), ["seq_id", "lo", "hi"]), "numbered")
     # a run's set is the digests of its statements' subtrees
     sets = held.select("seq_id", "entry_id", "lo", "hi", "from_at", "to_at").join(inside.select("entry_id", F.col("preorder").alias("p"), "digest"), "entry_id").where("p between from_at and to_at").select("seq_id", "lo", "hi", "entry_id", "digest").distinct()
     key = F.struct("seq_id", "lo", "hi").alias("run")
     tokens = work.write(sets.join(weighted, ["entry_id", "digest"]).select(key, "digest", "w"), "run_tokens")
-    packed = held.select(key, F.col("entry_id").alias("e"), "s", "t", "z", F.lit(False).alias("w"), "g", F.col("from_at").alias("f"), F.col("to_at").alias("l"))
+    packed = held.select(key, F.col("entry_id").alias("e"), "s", "t", "z", F.lit(False).alias("w"), "g", F.col("from_at").alias("f"), F.col("to_at").alias("l"), F.col("ordinal").alias("o"))
     pair = long.select(F.struct(F.col("a").alias("seq_id"), F.col("first").alias("lo"), F.col("last").alias("hi")).alias("a"), F.struct(F.col("b").alias("seq_id"), (F.col("first") - F.col("diagonal")).alias("lo"), (F.col("last") - F.col("diagonal")).alias("hi")).alias("b"))
     scored = similarity.scored(pair.distinct(), tokens, "run")
-    side = lambda x: packed.select(F.col("run").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("e", "s", "t", "z", "w", "g", "f", "l")))
+    side = lambda x: packed.select(F.col("run").alias(x), *(F.col(c).alias(f"{c}{x}") for c in "estzwgflo"))
     return scored.join(side("a"), "a").join(side("b"), "b").withColumn("kind", F.lit("run"))
 
 
+def _run_ordinals(held: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(seq_id, lo, hi, ordinal): which of the equal runs in its unit's sequences, in order, each run is."""
+    wanted = held.select("entry_id", "g", (F.col("hi") - F.col("lo") + 1).alias("k")).distinct()
+    at = F.explode(F.when(F.size("digests") >= F.col("k"), F.sequence(F.lit(0), F.size("digests") - F.col("k"))).otherwise(F.array().cast("array<int>"))).alias("lo")
+    spots = wanted.join(sequences, "entry_id").select("entry_id", "g", "k", "seq_id", "preorder", "digests", at)
+    same = spots.where(fingerprints.run_digest(F.slice("digests", F.col("lo") + 1, F.col("k"))) == F.col("g"))
+    numbered = fingerprints.ordinals(same, ["entry_id", "g"], ["preorder", "lo"])
+    return numbered.select("seq_id", "lo", (F.col("lo") + F.col("k") - 1).alias("hi"), "ordinal")
+
+
 def _locations(matches: DataFrame, table: DataFrame) -> DataFrame:
     """The sides of matches, each once, with their units and keys."""
-    side = lambda x: matches.select(F.col(x).alias("loc_id"), F.col(f"e{x}").alias("entry_id"), F.col(f"s{x}").alias("start_line"), F.col(f"t{x}").alias("end_line"), F.col(f"z{x}").alias("size"), F.col(f"w{x}").alias("whole"), F.col(f"g{x}").alias("signature"), F.col(f"f{x}").alias("from_at"), F.col(f"l{x}").alias("to_at"))
+    side = lambda x: matches.select(F.col(x).alias("loc_id"), F.col(f"e{x}").alias("entry_id"), F.col(f"s{x}").alias("start_line"), F.col(f"t{x}").alias("end_line"), F.col(f"z{x}").alias("size"), F.col(f"w{x}").alias("whole"), F.col(f"g{x}").alias("signature"), F.col(f"f{x}").alias("from_at"), F.col(f"l{x}").alias("to_at"), F.col(f"o{x}").alias("ordinal"))
     sides = side("a").unionByName(side("b"))
-    each = sides.groupBy("loc_id", *LOCATION).agg(F.max("size").alias("size"), F.some("whole").alias("whole"), F.min("signature").alias("signature"), F.min("from_at").alias("from_at"), F.max("to_at").alias("to_at"))
+    each = sides.groupBy("loc_id", *LOCATION).agg(F.max("size").alias("size"), F.some("whole").alias("whole"), F.min("signature").alias("signature"), F.min("from_at").alias("from_at"), F.max("to_at").alias("to_at"), F.min_by("ordinal", F.struct("signature", "ordinal")).alias("ordinal"))
     told = each.join(table.select("entry_id", "path", "kind", "identity", "namespace", "language", "root_digest", "primitive"), "entry_id")
-    numbered = fingerprints.ordinals(told, ["entry_id", "signature"], ["start_line", "end_line"])
     unpadded = F.regexp_replace("signature", "^0+(?=.)", "")
     part: Column = F.when(F.col("whole"), F.lit("")).otherwise(F.concat(F.lit("@"), unpadded, F.lit("#"), "ordinal"))
     key = F.concat("path", F.lit("#"), "identity", part)
     structural = F.when(F.col("whole"), F.regexp_replace("root_digest", "^0+(?=.)", "")).otherwise(F.concat(F.regexp_replace("root_digest", "^0+(?=.)", ""), part))
-    return numbered.withColumn("key", key).withColumn("structural", structural)
+    return told.withColumn("key", key).withColumn("structural", structural)
