@@ -132,6 +132,12 @@ _AFTER = dict.fromkeys(("alias", "undef"), "NAME") | dict.fromkeys(("end", "self
 _AFTER |= dict.fromkeys(("return", "break", "next", "rescue"), "MID") | dict.fromkeys(("super", "yield", "defined?", "not"), "ARG")
 _MODIFIERS = {"if", "unless", "while", "until", "rescue"}
 _CLOSING = {")": "(", "]": "[", "}": "{"}
+_INSTANCE = re.compile(r"@@?[^\W\d]\w*")
+_GLOBAL = re.compile(r"\$(?:[^\W\d]\w*|\d+|-\w|[^\s\w])")
+_PERCENT = re.compile(r"%([qQwWiIrsx]?)([^\w\s])")
+_SYMBOL = re.compile(r":(?:[^\W\d]\w*(?:[?!](?!=)|=(?![=~>]))?|@@?\w+|\$\w+|\[\]=?|<=>|===?|=~|![=~]?|\*\*|[-+]@|<<|>>|<=|>=|[-+*/%<>&|^~!`])")
+_NAMED_OPERATOR = re.compile(r"\[\]=?|<=>|===?|=~|![=~]?|\*\*|[-+!~]@|<<|>>|<=|>=|[-+*/%<>&|^~!]")
+_BLANK = re.compile(r"[ \t\r\f\v]*")
 _WORD = re.compile(r"[^\W\d]\w*")
 _NUMBER = re.compile(r"(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO]?[0-7]+(?:_[0-7]+)*(?![.\d])|0[dD]\d+|(?:0|[1-9]\d*(?:_\d+)*)(?:\.\d+(?:_\d+)*)?(?:[eE][+-]?\d+(?:_\d+)*)?)r?i?")
 _OPERATOR = re.compile(r"\*\*=|<=>|===|\.\.\.|<<=|>>=|&&=|\|\|=|&\.|\*\*|==|=~|!=|!~|=>|->|<=|>=|<<|>>|&&|\|\||\.\.|::|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[-+*/%=<>!&|^~?:.,;()\[\]{}]")
@@ -182,7 +188,7 @@ class Lexer:
         return at
 
     def _run(self, at: int, inside: bool, kinds: list[str], places: list[int], ends: list[int]) -> int:
-        text, n = self.text, len(self.text)
+        text, n, blank, named = self.text, len(self.text), _BLANK.match, _WORD.match
         state, opened, conditions, lambdas = "BEG", [], [], []
         piped = 0  # 1 after a block's opening, 2 within its parameters
         while True:
@@ -190,7 +196,7 @@ class Lexer:
             while at < n:
                 c = text[at]
                 if c in " \t\r\f\v":
-                    at += 1
+                    at = blank(text, at).end()
                     space = True
                 elif c == "\\" and text.startswith(("\n", "\r\n"), at + 1):
                     at = text.index("\n", at) + 1
@@ -209,7 +215,7 @@ class Lexer:
                 at += 1
                 if self.heredocs:
                     at = self.bodies(at)
-                while (m := _COMMENT_BLOCK.match(text, at)) is not None:
+                while text.startswith("=begin", at) and (m := _COMMENT_BLOCK.match(text, at)) is not None:
                     end = _COMMENT_END.search(text, m.end())
                     if end is None:
                         raise Unlexable(at)
@@ -220,8 +226,8 @@ class Lexer:
                     continue
                 if opened and opened[-1][0] == "[" or piped == 2:
                     continue
-                m = _LEADING_DOT.match(text, at)
-                if m and m.end() <= n:
+                at = blank(text, at).end()
+                if at < n and text[at] in ".&#\n" and (m := _LEADING_DOT.match(text, at)) and m.end() <= n:
                     continue
                 while conditions and conditions[-1] == len(opened):
                     conditions.pop()
@@ -244,7 +250,7 @@ class Lexer:
             starts = operand or state == "ARG" and space and not follows.isspace()
             kind, after = "", "END"
             if c.isalpha() or c == "_" or c > "\x7f":
-                m = _WORD.match(text, at)
+                m = named(text, at)
                 if m is None:
                     raise Unlexable(at)
                 word = m.group()
@@ -322,12 +328,12 @@ class Lexer:
                     at += 1
                     kind, after = "LABEL", "BEG"
             elif c == "@":
-                m = re.compile(r"@@?[^\W\d]\w*").match(text, at)
+                m = _INSTANCE.match(text, at)
                 if m is None:
                     raise Unlexable(at)
                 at, kind = m.end(), "IVAR"
             elif c == "$":
-                m = re.compile(r"\$(?:[^\W\d]\w*|\d+|-\w|[^\s\w])").match(text, at)
+                m = _GLOBAL.match(text, at)
                 if m is None:
                     raise Unlexable(at)
                 at, kind = m.end(), "GVAR"
@@ -337,7 +343,7 @@ class Lexer:
                 while at < n and text[at] in "imxounse":
                     at += 1
                 kind = "REGEX"
-            elif c == "%" and (operand or state == "ARG" and space and follows not in " \t\n=") and (m := re.compile(r"%([qQwWiIrsx]?)([^\w\s])").match(text, at)):
+            elif c == "%" and (operand or state == "ARG" and space and follows not in " \t\n=") and (m := _PERCENT.match(text, at)):
                 close = _CLOSE.get(m[2], m[2])
                 at = self.string(m.end(), close, m[2] if close != m[2] else "", m[1] not in ("q", "w", "i", "s") or not m[1], begin)
                 if m[1] == "r":
@@ -352,7 +358,7 @@ class Lexer:
             elif c == ":" and text[at + 1 : at + 2] == "'":
                 at = self.string(at + 2, "'", "", False, begin)
                 kind = "SYMBOL"
-            elif c == ":" and text[at + 1 : at + 2] != ":" and not follows.isspace() and (m := re.compile(r":(?:[^\W\d]\w*(?:[?!](?!=)|=(?![=~>]))?|@@?\w+|\$\w+|\[\]=?|<=>|===?|=~|![=~]?|\*\*|[-+]@|<<|>>|<=|>=|[-+*/%<>&|^~!`])").match(text, at)):
+            elif c == ":" and text[at + 1 : at + 2] != ":" and not follows.isspace() and (m := _SYMBOL.match(text, at)):
                 at = m.end()
                 kind, after = "SYMBOL", "NAME" if state == "NAME" and kinds and kinds[-1] == "ALIAS" else "END"
             elif c == "<" and (operand or state == "ARG" and space) and not (kinds and kinds[-1] == "CLASS") and (m := _HEREDOC.match(text, at)):
@@ -366,12 +372,12 @@ class Lexer:
                 at = m.end()
                 after = "BEG"
                 if state == "NAME" and op not in ",;":
-                    m = re.compile(r"\[\]=?|<=>|===?|=~|![=~]?|\*\*|[-+!~]@|<<|>>|<=|>=|[-+*/%<>&|^~!]").match(text, begin)
+                    m = _NAMED_OPERATOR.match(text, begin)
                     if m is None:
                         raise Unlexable(begin)
                     at, kind, after = m.end(), "FNAME", "NAME" if kinds and kinds[-1] == "ALIAS" else "END"
                 elif state == "DOT" and op != "(":
-                    m = re.compile(r"<=>|===?|=~|![=~]?|\*\*|[-+!~]@|<<|>>|<=|>=|\[\]=?|[-+*/%<>&|^~!]").match(text, begin)
+                    m = _NAMED_OPERATOR.match(text, begin)
                     if m is None:
                         raise Unlexable(begin)
                     at, kind, after = m.end(), "IDENT", "ARG"
