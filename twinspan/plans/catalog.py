@@ -192,6 +192,13 @@ def finding_ends(spark: SparkSession, folder: str) -> DataFrame:
     return findings.originals(_clustered(spark, folder, Workspace(spark, "findings"))[0])
 
 
+def finding_payoffs(spark: SparkSession, folder: str) -> DataFrame:
+    """What folding each cluster into its original would save, by recorded scores."""
+    work = Workspace(spark, "findings")
+    placed, edges = _clustered(spark, folder, work)
+    return findings.payoffs(placed, edges, work.write(findings.originals(placed), "ends"))
+
+
 def finding_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return findings.cluster_kinds(_clustered(spark, folder, Workspace(spark, "findings"))[0])
 
@@ -345,7 +352,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         src_filter, src_flags, generated_files, digest_weights, entry_totals, prefix_digests, unit_sim_pairs, unit_sim_pairs_65, mixed_threshold_pairs, basket_sim_pairs, document_sim_pairs,
         explain_pair, identical_groups, identical_star, bucket_representatives, stand_in_pairs, fragment_groups, fragment_pairs, fragment_ordinals, subtree_pairs, run_seeds, run_islands, run_extended, match_pruned,
-        match_clusters, finding_locations, finding_ends, finding_kinds, base_labels, label_counts, findings_ranked, contracted_pairs, top20_contracted, settings_per_unit, settings_floors, ref_hits,
+        match_clusters, finding_locations, finding_ends, finding_payoffs, finding_kinds, base_labels, label_counts, findings_ranked, contracted_pairs, top20_contracted, settings_per_unit, settings_floors, ref_hits,
         most_specific_ref, kept_matches, unknown_refs, markdown_blocks, tree_nodes, source_units, sweep_matches, report_json,
     )
 }

@@ -108,6 +108,12 @@ ORACLES: dict[str, str] = {
     "run_seeds": f"{_GRAMS} SELECT DISTINCT a, i::INT AS i, b, j::INT AS j FROM seed",
     "run_islands": f"""{_GRAMS} SELECT a, b, diagonal::INT AS diagonal, min(i)::INT AS first, (max(i) + 2)::INT AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, diagonal ORDER BY i) AS island
         FROM (SELECT DISTINCT a, b, i - j AS diagonal, i FROM seed)) GROUP BY a, b, diagonal, island""",
+    "run_extended": f"""{_GRAMS}, one AS (SELECT id, unnest(range(0, len(l))) AS i, unnest(l) AS t FROM seq),
+        point AS (SELECT DISTINCT p.a, p.b, x.i - y.i AS d, x.i FROM (SELECT DISTINCT a, b FROM seed) p JOIN one x ON x.id = a JOIN one y ON y.id = b AND x.t = y.t WHERE a <> b OR x.i < y.i),
+        isle AS (SELECT a, b, d, min(i) AS f, max(i) AS t FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, d ORDER BY i) AS g FROM point) GROUP BY a, b, d, g),
+        grown AS (SELECT c.a, c.b, c.d, c.f, c.t, CASE WHEN n.f IS NULL THEN coalesce(p.f, c.f) ELSE c.f END AS f2, coalesce(n.t, c.t) AS t2 FROM isle c LEFT JOIN isle n ON (n.a, n.b, n.d) = (c.a, c.b, c.d) AND n.f = c.t + 2
+        LEFT JOIN isle p ON (p.a, p.b, p.d) = (c.a, c.b, c.d) AND p.t = c.f - 2 WHERE c.t - c.f >= 2)
+        SELECT a, b, d::INT AS diagonal, f::INT AS core_first, t::INT AS core_last, f2::INT AS first, t2::INT AS last FROM grown WHERE a <> b OR abs(d) > t2 - f2""",
     "match_pruned": f"""WITH {_EXISTING}, {_PLACES}, m AS (SELECT match_id, a, b, CASE WHEN p.entry_id > q.entry_id THEN q ELSE p END AS x, CASE WHEN p.entry_id > q.entry_id THEN p ELSE q END AS y,
         (NOT (p.whole AND q.whole), -greatest(p.size, q.size), least(p.key, q.key), greatest(p.key, q.key), match_id) AS k FROM live JOIN place p ON p.loc_id = a JOIN place q ON q.loc_id = b)
         SELECT match_id, a, b FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.x.entry_id = m.x.entry_id AND o.y.entry_id = m.y.entry_id AND o.k < m.k AND (
@@ -116,6 +122,9 @@ ORACLES: dict[str, str] = {
     "match_clusters": f"WITH RECURSIVE {_EXISTING}, {_COMPONENTS} SELECT * FROM comp",
     "finding_locations": f"{_FINDINGS} SELECT component, loc_id, touched, CASE WHEN touched THEN -1 ELSE age END AS age FROM aged",
     "finding_ends": f"{_FINDINGS} SELECT component, arg_min(loc_id, (age, path, start_line, end_line, loc_id)) AS original, arg_max(loc_id, (age, path, start_line, end_line, loc_id)) AS copy FROM aged GROUP BY component",
+    "finding_payoffs": f"""{_FINDINGS}, ends AS (SELECT component, arg_min(loc_id, (age, path, start_line, end_line, loc_id)) AS o, arg_max(loc_id, (age, path, start_line, end_line, loc_id)) AS c FROM aged GROUP BY component),
+        two AS (SELECT a, b, max(score) AS s FROM (SELECT a, b, score FROM live UNION ALL SELECT b, a, score FROM live) GROUP BY a, b)
+        SELECT component, round(sum(size * coalesce(s, 0)), 1) AS payoff FROM aged JOIN ends USING (component) LEFT JOIN two ON a = loc_id AND b = CASE WHEN loc_id = c THEN o ELSE c END WHERE loc_id <> o GROUP BY component""",
     "finding_kinds": f"""{_FINDINGS} SELECT component, count(*) AS members, CASE WHEN bool_and(whole) AND count(DISTINCT kind) = 1 THEN min(kind) ELSE 'fragment' END AS kind,
         count(DISTINCT namespace) + max(CASE WHEN namespace IS NULL THEN 1 ELSE 0 END) AS namespaces, bool_and(touched) AS all_touched, bool_or(touched) AS any_touched, bool_and(whole) AS all_whole,
         bool_and(starts_with(path, 'app/models/') OR starts_with(path, 'app/controllers/')) AS all_mvc FROM aged GROUP BY component""",
