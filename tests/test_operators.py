@@ -264,7 +264,9 @@ def test_kept_matches_hide_no_twins(spark):
 
 def test_trees(spark):
     texts = spark.createDataFrame([(1, "<div data-action='go'><p>a</p><br></div>", "html"), (2, '{"a": [1, 2]}', "json"), (3, "def f(x):\n    return g(x) + 1\n", "python"), (4, "def f(", "python"), (5, None, "json"), (6, "x", None)], "id bigint, c string, l string")
-    nodes = fingerprints.digested(frontends.tree_nodes(texts, "id", "c", "l"))
+    nodes = frontends.tree_nodes(texts, "id", "c", "l")
+    again = fingerprints.digested(nodes.drop("digest", "size", "child_digests"))
+    assert sorted(map(str, again.select(*nodes.columns).collect())) == sorted(map(str, nodes.collect()))
     rows = defaultdict(list)
     for r in nodes.collect():
         rows[r["entry_id"]].append(r)

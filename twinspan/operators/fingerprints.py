@@ -7,6 +7,7 @@ end_line, is_sequence). subtree_end is the last preorder in the node's subtree.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,28 +27,36 @@ def run_digest(digests: Column) -> Column:
     return F.substring(F.sha2(F.unhex(F.array_join(digests, "")), 256), 1, 16)
 
 
+def node_digests(rows: Sequence[tuple[int, int, int, str, str | None]]) -> tuple[list[str], list[int], list[list[str]]]:
+    """Digests, sizes and children's digests of a tree's rows (preorder, parent, pos, kind, label), which come in preorder."""
+    digests: dict[int, bytes] = {}
+    sizes: dict[int, int] = {}
+    children: dict[int, list[tuple[int, int]]] = {}
+    lists: dict[int, list[str]] = {}
+    for at, parent, pos, kind, label in reversed(rows):
+        own = [x for _, x in sorted(children.pop(at, []))]
+        digests[at] = node_digest(kind, label, [digests[x] for x in own])
+        sizes[at] = 1 + sum(sizes[x] for x in own)
+        lists[at] = [digests[x].hex() for x in own]
+        if parent >= 0:
+            children.setdefault(parent, []).append((pos, at))
+    order = [r[0] for r in rows]
+    return [digests[x].hex() for x in order], [sizes[x] for x in order], [lists[x] for x in order]
+
+
 def digested(nodes: DataFrame) -> DataFrame:
     """Add digest (16 hexadecimal digits), size and child_digests to a nodes table.
 
-    One shuffle by entry; an entry's tree is built in one task, as it comes from one file.
+    One shuffle by entry; an entry's tree is built in one task, as it comes from one file. Front ends, which hold the tree
+    when they make its rows, add the same columns without a shuffle.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema) + ", digest string, size int, child_digests array<string>"
 
     def bottom_up(tree: pd.DataFrame) -> pd.DataFrame:
         tree = tree.sort_values("preorder", kind="stable")
-        digests: dict[int, bytes] = {}
-        sizes: dict[int, int] = {}
-        children: dict[int, list[tuple[int, int]]] = {}
-        lists: dict[int, list[str]] = {}
-        rows = list(zip(tree["preorder"], tree["parent"], tree["pos"], tree["kind"], tree["label"], strict=True))
-        for at, parent, pos, kind, label in reversed(rows):
-            own = [x for _, x in sorted(children.pop(at, []))]
-            digests[at] = node_digest(kind, None if label is None or label != label else label, [digests[x] for x in own])
-            sizes[at] = 1 + sum(sizes[x] for x in own)
-            if parent is not None and parent == parent and parent >= 0:
-                children.setdefault(int(parent), []).append((pos, at))
-            lists[at] = [digests[x].hex() for x in own]
-        return tree.assign(digest=[digests[x].hex() for x in tree["preorder"]], size=[sizes[x] for x in tree["preorder"]], child_digests=[lists[x] for x in tree["preorder"]])
+        rows = [(int(a), -1 if p is None or p != p else int(p), int(o), k, None if x is None or x != x else x) for a, p, o, k, x in zip(tree["preorder"], tree["parent"], tree["pos"], tree["kind"], tree["label"], strict=True)]
+        digests, sizes, lists = node_digests(rows)
+        return tree.assign(digest=digests, size=sizes, child_digests=lists)
 
     return nodes.groupBy("entry_id").applyInPandas(bottom_up, schema)
 

@@ -313,7 +313,7 @@ def markdown_blocks(spark: SparkSession, folder: str) -> DataFrame:
 def _trees(spark: SparkSession, folder: str) -> DataFrame:
     rows = counting_rows(table(spark, folder, "source_files").select("file_id", "file_path", "content", "rev"), "file_id")
     kind = F.coalesce(*(F.when(F.col("file_path").rlike(p), F.lit(k)) for k, p in LANGUAGES.items()))
-    return fingerprints.digested(frontends.tree_nodes(rows.withColumn("kind", kind), "file_id", "content", "kind"))
+    return frontends.tree_nodes(rows.withColumn("kind", kind), "file_id", "content", "kind")
 
 
 def tree_nodes(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Front ends: texts to tables of tree nodes, by language.
 
 Rows are those of ``twinspan.operators.fingerprints``: (entry_id, preorder, subtree_end, parent, pos, depth, kind, label,
-start_line, end_line, is_sequence). Plain text and baskets need no parser and stay in the engine; the others are parsed by
+start_line, end_line, is_sequence), with digest, size and child_digests. Plain text and baskets need no parser and stay in the engine; the others are parsed by
 the executors, a text at a time.
 """
 
@@ -17,7 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODES = "entry_id bigint, preorder int, subtree_end int, parent int, pos int, depth int, kind string, label string, start_line int, end_line int, is_sequence boolean"
+from twinspan.operators.fingerprints import node_digests
+
+NODES = "entry_id bigint, preorder int, subtree_end int, parent int, pos int, depth int, kind string, label string, start_line int, end_line int, is_sequence boolean, digest string, size int, child_digests array<string>"
+#: Their types in Arrow, but for the entry's.
+NODE_TYPES = (*(pa.int32(),) * 5, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.list_(pa.string()))
 #: A tree while it is built: kind, label, first and last line, children, whether they are a run of statements.
 Tree = tuple[str, str | None, int, int, list, bool]
 
@@ -39,6 +43,12 @@ def flattened(tree: Tree) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
+def tree_rows(tree: Tree) -> list[tuple]:
+    """Rows of a tree in preorder, with digests."""
+    rows = flattened(tree)
+    return [(*r, *d) for r, d in zip(rows, zip(*node_digests([(r[0], r[2], r[3], r[5], r[6]) for r in rows]), strict=True), strict=True)]
+
+
 def _text_digest(kind: str, label: Column, children: Column | None = None) -> Column:
     head = F.concat(F.encode(F.lit(kind), "utf-8"), F.lit(b"\0"), F.encode(label, "utf-8"), F.lit(b"\0"))
     whole = head if children is None else F.concat(head, F.unhex(F.array_join(children, "")))
@@ -161,7 +171,7 @@ def tree_nodes(texts: DataFrame, key: str, text: str, language: str) -> DataFram
     that the front end can't read give none). key is a BIGINT and becomes entry_id."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), *(pa.int32(),) * 5, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
+        types = (pa.int64(), *NODE_TYPES)
         names = [part.split()[0] for part in NODES.split(", ")]
         for batch in batches:
             rows: list[tuple] = []
@@ -170,7 +180,7 @@ def tree_nodes(texts: DataFrame, key: str, text: str, language: str) -> DataFram
                 if front is None or value is None:
                     continue
                 try:
-                    rows += [(own, *r) for r in flattened(front(value))]
+                    rows += [(own, *r) for r in tree_rows(front(value))]
                 except (ValueError, SyntaxError, RecursionError):
                     continue
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinspan.sources import erb, ruby
-from twinspan.sources.frontends import NODES, flattened
+from twinspan.sources.frontends import NODE_TYPES, NODES, tree_rows
 
-UNITS = "file_key string, unit_no int, kind string, identity string, namespace string, name string, start_line int, end_line int, language string, error_line int, error string, nodes array<struct<preorder:int,subtree_end:int,parent:int,pos:int,depth:int,kind:string,label:string,start_line:int,end_line:int,is_sequence:boolean>>"
-_NODE = pa.struct([("preorder", pa.int32()), ("subtree_end", pa.int32()), ("parent", pa.int32()), ("pos", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("label", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("is_sequence", pa.bool_())])
+UNITS = "file_key string, unit_no int, kind string, identity string, namespace string, name string, start_line int, end_line int, language string, error_line int, error string, nodes array<struct<preorder:int,subtree_end:int,parent:int,pos:int,depth:int,kind:string,label:string,start_line:int,end_line:int,is_sequence:boolean,digest:string,size:int,child_digests:array<string>>>"
+_NODE = pa.struct(list(zip([x.split()[0] for x in NODES.split(", ")][1:], NODE_TYPES, strict=True)))
 
 
 def _read(path: str, language: str, text: str) -> list[tuple]:
@@ -20,8 +20,8 @@ def _read(path: str, language: str, text: str) -> list[tuple]:
     try:
         if language == "erb":
             lines = max(text.count("\n") + (bool(text) and not text.endswith("\n")), 1)
-            return [("template", erb.identity(path), None, None, 1, lines, None, None, flattened(erb.template_tree(text)))]
-        return [(u.kind, u.identity, u.namespace, u.name, u.start_line, u.end_line, None, None, flattened(tree)) for u, tree in ruby.unit_trees(text)]
+            return [("template", erb.identity(path), None, None, 1, lines, None, None, tree_rows(erb.template_tree(text)))]
+        return [(u.kind, u.identity, u.namespace, u.name, u.start_line, u.end_line, None, None, tree_rows(tree)) for u, tree in ruby.unit_trees(text)]
     except ruby.Unreadable as e:
         return [(None, None, None, None, None, None, e.line, str(e), None)]
     except RecursionError:
