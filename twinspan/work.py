@@ -6,6 +6,7 @@ They live in the shared folder the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,14 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Have the driver collect its garbage, so that executors delete shuffle files of steps whose results are written.
+
+        Else those files stay until the driver happens to need memory, and all steps' shuffles take disk at once.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that no later step reads."""
         jvm = self.spark._jvm
