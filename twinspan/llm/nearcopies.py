@@ -239,13 +239,17 @@ def near_classes(classes: DataFrame, work: Workspace, num: int, den: int) -> Dat
     line = Line(common, np.arange(BITS))
     line = Line(common, chained(co_occurrence(classes, line), count))
     index = work.write(index_rows(classes, line, num, den), "index")
-    sums = index.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.lit(1) - F.col("less")).alias("n0"), F.sum("less").alias("n1"))
-    sums = work.write(sums.where("m > 1"), "sums")
+    # one sum holds both counts: rows, and above 2**32 those with a token less
+    both = index.groupBy("key").agg(F.sum(F.lit(1).cast("bigint") + F.col("less") * F.lit(2**32).cast("bigint")).alias("_s"))
+    rows, less = F.col("_s").bitwiseAND(F.lit(2**32 - 1).cast("bigint")), F.shiftright("_s", 32)
+    sums = work.write(both.select("key", rows.alias("m"), (rows - less).alias("n0"), less.alias("n1")).where("m > 1"), "sums")
+    work.release()
     total = sums.agg(F.sum("m")).first()[0] or 0
     info = lookup_by_count(index.where("own").select("key", "less", "c", "part"), sums, "key", "m", total)
     info = info.groupBy("c").agg(F.collect_list(F.struct("part", "less", "key", "n0", "n1")).alias("info"))
     shapes = part_sizes(classes, line, num, den)
     looked = work.write(probes(shapes.join(info, "c", "left").select("c", "n", "level", "filled", "info"), count, num, den), "probes")
+    work.release()
     target = index.select("key", F.col("less"), F.col("c").alias("d"), F.col("n").alias("m"))
     fits = (F.col("c") != F.col("d")) & (F.col("m") <= F.col("n")) & (F.col("m") * den >= F.col("n") * num)
     kind = (F.col("less") == 0) | F.col("near")
