@@ -239,10 +239,8 @@ def near_classes(classes: DataFrame, work: Workspace, num: int, den: int) -> Dat
     line = Line(common, np.arange(BITS))
     line = Line(common, chained(co_occurrence(classes, line), count))
     index = work.write(index_rows(classes, line, num, den), "index")
-    # one sum holds both counts: rows, and above 2**32 those with a token less
-    both = index.groupBy("key").agg(F.sum(F.lit(1).cast("bigint") + F.col("less") * F.lit(2**32).cast("bigint")).alias("_s"))
-    rows, less = F.col("_s").bitwiseAND(F.lit(2**32 - 1).cast("bigint")), F.shiftright("_s", 32)
-    sums = work.write(both.select("key", rows.alias("m"), (rows - less).alias("n0"), less.alias("n1")).where("m > 1"), "sums")
+    both = index.groupBy("key").agg(F.sum(F.lit(1) - F.col("less")).alias("n0"), F.sum("less").alias("n1")).withColumn("m", F.col("n0") + F.col("n1"))
+    sums = work.write(both.select("key", "m", "n0", "n1").where("m > 1"), "sums")
     work.release()
     total = sums.agg(F.sum("m")).first()[0] or 0
     info = lookup_by_count(index.where("own").select("key", "less", "c", "part"), sums, "key", "m", total)
