@@ -243,17 +243,20 @@ def near_classes(classes: DataFrame, work: Workspace, num: int, den: int) -> Dat
     sums = work.write(both.select("key", "m", "n0", "n1").where("m > 1"), "sums")
     work.release()
     total = sums.agg(F.sum("m")).first()[0] or 0
-    info = lookup_by_count(index.where("own").select("key", "less", "c", "part"), sums, "key", "m", total)
-    info = info.groupBy("c").agg(F.collect_list(F.struct("part", "less", "key", "n0", "n1")).alias("info"))
+    shared = work.write(lookup_by_count(index.select("key", "less", "c", "n", "part", "own"), sums, "key", "m", total).drop("m"), "shared")
+    work.release()
+    info = shared.where("own").groupBy("c").agg(F.collect_list(F.struct("part", "less", "key", "n0", "n1")).alias("info"))
     shapes = part_sizes(classes, line, num, den)
     looked = work.write(probes(shapes.join(info, "c", "left").select("c", "n", "level", "filled", "info"), count, num, den), "probes")
     work.release()
-    target = index.select("key", F.col("less"), F.col("c").alias("d"), F.col("n").alias("m"))
     fits = (F.col("c") != F.col("d")) & (F.col("m") <= F.col("n")) & (F.col("m") * den >= F.col("n") * num)
     kind = (F.col("less") == 0) | F.col("near")
-    met = looked.join(target, "key").where(fits & kind).select("c", "d")
-    if not looked.where("void").isEmpty():
-        met = met.unionByName(looked.where("void").join(_void_rows(classes, line, num, den), "key").where(fits).select("c", "d"))
+    target = lambda rows: rows.select("key", "less", F.col("c").alias("d"), F.col("n").alias("m"))
+    met = looked.where("not void").join(target(shared), "key").where(fits & kind).select("c", "d")
+    void = looked.where("void")
+    if not void.isEmpty():
+        met = met.unionByName(void.join(target(index), "key").where(fits & kind).select("c", "d"))
+        met = met.unionByName(void.join(_void_rows(classes, line, num, den), "key").where(fits).select("c", "d"))
     return verified(met.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct(), classes, num, den)
 
 
