@@ -54,6 +54,28 @@ def test_large_nodes_are_compared_in_blocks(spark):
     assert len(run(spark, rows)) == 150 * 149 // 2
 
 
+def test_large_family_at_the_threshold(spark):
+    """A family of many more records than a node may hold, most of its pairs at exactly 0.80, is found to the planned recall."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(62) for _ in range(36)]
+    rows = []
+    for k in range(700):
+        out = rng.sample(base, 2)
+        rows.append((k, k, sorted([*(x for x in base if x not in out), rng.getrandbits(62), rng.getrandbits(62)])))
+    true = brute(rows, 4, 5, 5)
+    assert len(true) == 700 * 699 // 2
+    got = run(spark, rows)
+    assert got <= true
+    assert len(true - got) <= 0.0005 * len(true)
+
+
+def test_no_hash_function_is_drawn_twice(spark):
+    sets = spark.createDataFrame([(k, [k, k + 1, k + 2]) for k in range(50)], "c bigint, digests array<bigint>")
+    for trees in (13, 69):
+        drawn = [r["drawn"] for r in setjoin.embedded(sets, "digests", trees).collect()]
+        assert len(set(zip(*drawn, strict=True))) == trees * setjoin.LEVELS
+
+
 def test_repeated_rows_and_empty(spark):
     rows = [(1, 1, [1, 2, 3, 4, 5]), (1, 1, [1, 2, 3, 4, 5]), (2, 2, [5, 4, 3, 2, 1]), (3, 2, [1, 2, 3, 4, 5])]
     assert run(spark, rows) == {(1, 2), (1, 3)}

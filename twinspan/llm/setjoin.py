@@ -5,12 +5,12 @@ min-wise hash functions. A tree splits its records at every node on one randomly
 token of least hash share a child. Nodes of at most ``small`` records are compared by brute force, after filters on set
 sizes and on a sketch of one bit per hash function; larger ones are split further. A pair of similarity j meets in a tree
 with probability j to the depth at which its node gets small; ``trees`` repeats that until pairs at the threshold are found
-with probability ``recall`` even where nodes get small only at depth DEPTH_PLANNED. Candidates are verified exactly.
+with probability ``recall`` even where nodes are split LEVELS times. No node is split further, as every split parts pairs
+for good, and no two splits draw the same function, so trees miss a pair independently. Candidates are verified exactly.
 
 A node's path depends on the record alone, so a level is one shuffle by node, not a pass over the data by the driver.
-Nodes that stay large at the last level hold records that agree on every hash drawn there; they are compared whole, in
-blocks of ``small`` against ``small`` spread over tasks. Records of equal sets are one class until the end, when pairs of
-classes become pairs of records.
+Nodes that stay large at the last level are compared whole, in blocks of BLOCK against BLOCK spread over tasks. Records of
+equal sets are one class until the end, when pairs of classes become pairs of records.
 """
 
 from __future__ import annotations
@@ -30,14 +30,16 @@ from twinspan.sources.tables import table
 from twinspan.work import Workspace
 
 HASHES = 128
-LEVELS = 6
-DEPTH_PLANNED = 3
+#: Splits of a tree, at most; the trees are counted for all of them.
+LEVELS = 3
+#: Records in a block of a node that is compared whole.
+BLOCK = 512
 SEED = 20180416
 #: Standard deviations of the sketch's distance that a pair at the threshold may lie above its mean.
 SIGMAS = 6.0
 
 
-def tree_count(threshold: float, recall: float, depth: int = DEPTH_PLANNED) -> int:
+def tree_count(threshold: float, recall: float, depth: int = LEVELS) -> int:
     """Trees needed so that a pair at the threshold meets in one of them with probability recall."""
     return max(1, ceil(log(1 - recall) / log(1 - threshold**depth)))
 
@@ -61,9 +63,10 @@ def embedded(sets: DataFrame, array: str, trees: int, levels: int = LEVELS, seed
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
-        factors = rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
-        terms = rng.integers(0, 2**64, HASHES, dtype=np.uint64)
-        chosen = np.stack([rng.permutation(HASHES)[:levels] for _ in range(trees)])
+        functions = max(HASHES, trees * levels)
+        factors = rng.integers(0, 2**64, functions, dtype=np.uint64) | np.uint64(1)
+        terms = rng.integers(0, 2**64, functions, dtype=np.uint64)
+        chosen = rng.permutation(functions)[: trees * levels]
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
@@ -71,10 +74,10 @@ def embedded(sets: DataFrame, array: str, trees: int, levels: int = LEVELS, seed
                 tokens = _mixed(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                least = np.stack([_mixed(np.minimum.reduceat(tokens * factors[i] + terms[i], starts)) for i in range(HASHES)])
-                bits = (least & np.uint64(1)) << (np.arange(HASHES, dtype=np.uint64) % np.uint64(64))[:, None]
+                least = np.stack([_mixed(np.minimum.reduceat(tokens * factors[i] + terms[i], starts)) for i in range(functions)])
+                bits = (least[:HASHES] & np.uint64(1)) << (np.arange(HASHES, dtype=np.uint64) % np.uint64(64))[:, None]
                 halves = [np.bitwise_or.reduce(bits[k : k + 64]).view(np.int64) for k in (0, 64)]
-                drawn = (least[chosen.reshape(-1)] >> np.uint64(32)).astype(np.uint32).view(np.int32).T
+                drawn = (least[chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32).T
                 offsets = np.arange(0, batch.num_rows + 1, dtype=np.int32) * (trees * levels)
                 columns = [pa.array(h) for h in halves] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(drawn).reshape(-1)))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
@@ -113,7 +116,7 @@ def similar_classes(classes: DataFrame, work: Workspace, num: int, den: int, rec
             break
         rest = active.join(large, "node")
         if last:
-            found.append(work.write(_blocks(rest, small, limit, num, den).distinct(), "pairs"))
+            found.append(work.write(_blocks(rest, limit, num, den).distinct(), "pairs"))
         else:
             active = work.write(rest.select("c", "n", "s0", "s1", "t", "path", F.expr(f"xxhash64(t, slice(path, 1, {level + 2}))").alias("node")), "active")
     pairs = found[0]
@@ -122,9 +125,9 @@ def similar_classes(classes: DataFrame, work: Workspace, num: int, den: int, rec
     return verified(pairs.distinct(), classes, num, den)
 
 
-def _blocks(rest: DataFrame, small: int, limit: int, num: int, den: int) -> DataFrame:
-    """Candidate pairs of nodes of any size m: every block of about small records meets every other in a task of its own."""
-    k = F.greatest(F.ceil(F.col("m") / F.lit(small)).cast("int"), F.lit(1))
+def _blocks(rest: DataFrame, limit: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs of nodes of any size m: every block of about ``block`` records meets every other in a task of its own."""
+    k = F.greatest(F.ceil(F.col("m") / F.lit(block)).cast("int"), F.lit(1))
     cut = rest.select("node", "c", "n", "s0", "s1", k.alias("k"), F.pmod(F.xxhash64("c"), k).cast("int").alias("own"))
     left = cut.select("*", F.explode(F.sequence(F.col("own"), F.col("k") - 1)).alias("other"))
     right = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("other"))
