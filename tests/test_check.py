@@ -138,3 +138,17 @@ def test_templates():
     for bad in ("<p>", "<% if a %>", "</p>", "<%= foo( %>"):
         with pytest.raises(ruby.Unreadable):
             erb.template_tree(bad)
+
+
+def test_run_of_many_copies_with_one_on_one_line(spark, tmp_path):
+    """51 copies of a run, the one in the longest body on one line: the other 50 are still found."""
+    root = str(tmp_path)
+    run = [line.strip() for line in BODY.splitlines()][:4]
+    filler = [f"step_{k}(:a{k}, {k} => [{k}, :b{k}], with: other_{k}.call({k}))" for k in range(12)]
+    put(root, "m0.rb", klass("M0", "m0", "    " + "; ".join(run) + "\n" + "".join(f"    {x}\n" for x in filler)))
+    for k in range(1, 51):
+        own = [f"case v{k}", *(f"when {j + 20} then go(:w{j}, x: {j}, y: [{k}])" for j in range(k % 5 + 3)), "end", f"@w{k} = {{ a: {k}, b: [{k}, :c], d: f({k}) }}", f"@v{k} = g({k}) {{ |z| z + {k} }} if h({k}, :q{k})"]
+        put(root, f"m{k}.rb", klass(f"M{k}", f"m{k}", "".join(f"    {x}\n" for x in run + own)))
+    _, said = call(spark, root, "--threshold", "0.9")
+    held = {x["path"] for found in said["findings"] for x in [found["copy"], *found["existing"]] if found["kind"] == "fragment"}
+    assert held >= {f"m{k}.rb" for k in range(1, 51)}

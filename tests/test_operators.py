@@ -111,6 +111,13 @@ def test_seed_caps(spark):
     assert len(star) == 50 and all(900 in (r["a"], r["b"]) for r in star)
 
 
+def test_seed_hub_spans_most_lines(spark):
+    """The longest sequence, all on one line, is no hub for 50 that span three lines."""
+    rows = [(0, list("abcz"), [1, 1, 1, 1], [1, 1, 1, 1])] + [(k, list("abc"), [1, 2, 3], [1, 2, 3 + (k == 7)]) for k in range(1, 51)]
+    star = fragments.run_seeds(spark.createDataFrame(rows, "seq_id bigint, digests array<string>, starts array<int>, ends array<int>")).collect()
+    assert len(star) == 50 and all(7 in (r["a"], r["b"]) for r in star)
+
+
 def extended(x, y, first, last, d):
     """Grow forward, then, with nothing gained, backward, over one differing statement."""
     same = lambda i: 0 <= i < len(x) and 0 <= i - d < len(y) and x[i] == y[i - d]

@@ -1,7 +1,7 @@
 """Copied fragments and statement runs: equality joins on digests, and their gapped extension.
 
 Locations: (loc_id, entry_id, path, start_line, end_line, size, signature, ...). Sequences: (seq_id, digests), the digests
-of a run of sibling statements.
+of a run of sibling statements, and where known (starts, ends), the statements' first and last lines.
 """
 
 from __future__ import annotations
@@ -31,10 +31,13 @@ def fragment_pairs(locations: DataFrame, cap: int = FRAGMENT_CAP) -> DataFrame:
 
 def run_seeds(sequences: DataFrame, cap: int = SEED_CAP) -> DataFrame:
     """(gram, a, i, b, j): places of equal three digests, (a, i) before (b, j); where more than cap occur, those with the
-    one in the longest sequence (of equals the first)."""
-    grams = sequences.select("seq_id", F.size("digests").alias("length"), F.expr("explode(transform(if(size(digests) >= 3, sequence(0, size(digests) - 3), array()), i -> struct(cast(i as int) as at, array_join(slice(digests, cast(i as int) + 1, 3), ' ') as gram)))").alias("g"))
-    grams = grams.select("seq_id", "length", F.col("g.at").alias("at"), F.col("g.gram").alias("gram"))
-    place = F.struct((-F.col("length")).alias("l"), "seq_id", "at")
+    one that spans most lines, as one squeezed onto few fails the floor of lines with all others. Sequences without lines
+    give the one in the longest sequence. Of equals the first."""
+    known = {"starts", "ends"} <= set(sequences.columns)
+    grams = sequences.select("seq_id", F.size("digests").alias("length"), *(["starts", "ends"] if known else []), F.expr("explode(transform(if(size(digests) >= 3, sequence(0, size(digests) - 3), array()), i -> struct(cast(i as int) as at, array_join(slice(digests, cast(i as int) + 1, 3), ' ') as gram)))").alias("g"))
+    reach = F.expr("ends[g.at + 2] - starts[g.at]") if known else F.col("length")
+    grams = grams.select("seq_id", reach.alias("reach"), F.col("g.at").alias("at"), F.col("g.gram").alias("gram"))
+    place = F.struct((-F.col("reach")).alias("l"), "seq_id", "at")
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min(place).alias("hub")).where("n >= 2")
     small = grams.join(counts.where(F.col("n") <= cap).select("gram"), "gram")
     x, y = small.alias("x"), small.alias("y")

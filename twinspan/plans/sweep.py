@@ -140,7 +140,10 @@ def _runs(inside: DataFrame, weighted: DataFrame, work: Workspace) -> DataFrame:
     """Runs of statements that two sequences share, but for one differing statement: the extended run, and its core."""
     sequences = inside.where("is_sequence and size(child_digests) >= 3").select(F.xxhash64("entry_id", "preorder").alias("seq_id"), "entry_id", "preorder", F.col("child_digests").alias("digests"))
     sequences = work.write(sequences, "sequences")
-    runs = work.write(fragments.extended_runs(fragments.run_seeds(sequences.select("seq_id", "digests")), sequences.select("seq_id", "digests")), "runs")
+    placed = inside.select("entry_id", F.col("parent").alias("preorder"), F.struct("pos", "start_line", "end_line").alias("kid")).join(sequences.select("seq_id", "entry_id", "preorder"), ["entry_id", "preorder"])
+    lines = placed.groupBy("seq_id").agg(F.array_sort(F.collect_list("kid")).alias("kids")).select("seq_id", F.col("kids.start_line").alias("starts"), F.col("kids.end_line").alias("ends"))
+    seeds = fragments.run_seeds(sequences.select("seq_id", "digests").join(lines, "seq_id"))
+    runs = work.write(fragments.extended_runs(seeds, sequences.select("seq_id", "digests")), "runs")
     long = runs.select("a", "b", "diagonal", "first", "last").unionByName(runs.select("a", "b", "diagonal", F.col("core_first").alias("first"), F.col("core_last").alias("last"))).distinct()
     # an entry's own children give where a run's statements begin and end in preorder
     kids = inside.select("entry_id", F.col("parent").alias("preorder"), "pos", F.col("preorder").alias("at"), "subtree_end", "size", "start_line", "end_line", "digest").join(sequences.select("seq_id", "entry_id", "preorder"), ["entry_id", "preorder"])
