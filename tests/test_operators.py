@@ -104,6 +104,33 @@ def test_fragment_caps(spark):
     assert len(star) == 100 and {r["a"] for r in star} == {0}
 
 
+def test_large_groups_keep_the_components_of_all_pairs(spark):
+    """Groups of over 100 with a floor of 10 lines for some, hubs of 4 lines, and places that share lines with the hubs."""
+    rng = random.Random(9)
+    rows = []
+    for signature in range(6):
+        for k in range(40):
+            lines, floors, path, start = rng.choice([4, 6, 9, 12, 15]), rng.choice([(4, 20), (10, 20), (5, 40)]), f"f{rng.randint(0, 3 * signature)}", rng.randint(1, 40)
+            if k == 0:
+                lines, floors = 4, (10, 20)
+            rows.append((100 * signature + k, f"s{signature}", path, start, start + lines - 1, 30, *floors))
+    # the copy that overlaps the first and the second hub of the file, and one elsewhere
+    rows += [(900, "t", "f", 1, 5, 30, 4, 20), (901, "t", "f", 5, 9, 30, 4, 20), (902, "t", "f", 9, 13, 30, 4, 20), (903, "t", "g", 1, 5, 30, 4, 20)]
+    df = spark.createDataFrame(rows, "loc_id bigint, signature string, path string, start_line int, end_line int, size int, min_lines int, min_nodes int")
+
+    def allowed(x, y):
+        apart = x[2] != y[2] or x[3] > y[4] or y[3] > x[4]
+        lines, nodes = min(x[6], y[6]), min(x[7], y[7])
+        return x[1] == y[1] and apart and min(x[4] - x[3], y[4] - y[3]) + 1 >= lines and min(x[5], y[5]) >= nodes
+
+    true = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and allowed(x, y)}
+    got = [(r["a"], r["b"]) for r in fragments.fragment_pairs(df, cap=3).collect()]
+    assert len(got) == len(set(got)) and set(got) <= true and len(got) < 9 * len(rows)
+    assert joined(got) == joined(true)
+    spoke = spark.createDataFrame([(k, "s", f"f{k}", 1, 4 if k == 0 else 12, 30, 10, 20) for k in range(101)], df.schema)
+    assert len(joined((r["a"], r["b"]) for r in fragments.fragment_pairs(spoke).collect() if r["a"] > 0)) == 100
+
+
 def test_seed_caps(spark):
     rows = lambda n: spark.createDataFrame([(k, ["a", "b", "c"]) for k in range(n)] + [(900, ["a", "b", "c", "z"]), (901, []), (902, ["a"])], "seq_id bigint, digests array<string>")
     assert fragments.run_seeds(rows(49)).count() == 50 * 49 // 2

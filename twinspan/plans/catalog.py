@@ -128,12 +128,12 @@ def fragment_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def _subtrees(spark: SparkSession, folder: str) -> DataFrame:
     """The subtrees, but whole trees, of the ERB, JSON and Python files that are large enough for a fragment."""
     places = _trees(spark, folder).where("parent >= 0 and size >= 20")
-    return places.select(F.xxhash64("entry_id", "preorder").alias("loc_id"), F.col("entry_id").cast("string").alias("path"), "start_line", "end_line", F.col("digest").alias("signature"))
+    return places.select(F.xxhash64("entry_id", "preorder").alias("loc_id"), F.col("entry_id").cast("string").alias("path"), "start_line", "end_line", "size", F.col("digest").alias("signature"))
 
 
 def subtree_pairs(spark: SparkSession, folder: str) -> DataFrame:
     places = Workspace(spark, "subtrees").write(_subtrees(spark, folder), "places")
-    return fragments.fragment_pairs(places)
+    return fragments.fragment_pairs(places.withColumns({"min_lines": F.lit(1), "min_nodes": F.lit(20)}))
 
 
 def fragment_ordinals(spark: SparkSession, folder: str) -> DataFrame:

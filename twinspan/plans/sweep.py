@@ -118,10 +118,10 @@ def _matches(table: DataFrame, nodes: DataFrame, weighted: DataFrame, work: Work
     pairs = near.select("a", "b", "shared_w", "union_w").unionByName(same).dropDuplicates(["a", "b"]).withColumnsRenamed({"a": "ea", "b": "eb"}).withColumn("kind", F.lit("unit"))
     whole = pairs.join(_side(eligible, "a"), "ea").join(_side(eligible, "b"), "eb")
     # copied subtrees
-    inside = nodes.join(eligible.select("entry_id", "path"), "entry_id")
+    inside = nodes.join(eligible.select("entry_id", "path", "min_lines", "min_nodes"), "entry_id")
     inside = fingerprints.ordinals(inside, ["entry_id", "digest"], ["preorder"])
     trees = inside.where((F.col("parent") >= 0) & (F.col("size") >= min_nodes) & (F.col("end_line") - F.col("start_line") + 1 >= min_lines))
-    trees = work.write(trees.select(F.xxhash64("entry_id", "preorder").alias("loc_id"), "entry_id", "preorder", "subtree_end", "path", "start_line", "end_line", "size", "ordinal", F.col("digest").alias("signature")), "subtrees")
+    trees = work.write(trees.select(F.xxhash64("entry_id", "preorder").alias("loc_id"), "entry_id", "preorder", "subtree_end", "path", "start_line", "end_line", "size", "ordinal", F.col("digest").alias("signature"), "min_lines", "min_nodes"), "subtrees")
     copied = fragments.fragment_pairs(trees)
     cut = lambda x, k: trees.select(F.col("loc_id").alias(k), F.col("entry_id").alias(f"e{x}"), F.col("start_line").alias(f"s{x}"), F.col("end_line").alias(f"t{x}"), F.col("size").alias(f"z{x}"), F.lit(False).alias(f"w{x}"), F.col("signature").alias(f"g{x}"), F.col("preorder").alias(f"f{x}"), F.col("subtree_end").alias(f"l{x}"), F.col("ordinal").alias(f"o{x}"))
     subtree = copied.join(cut("a", "a"), "a").join(cut("b", "b"), "b").withColumn("kind", F.lit("subtree")).withColumn("shared_w", F.lit(1).cast("bigint")).withColumn("union_w", F.lit(1).cast("bigint"))
