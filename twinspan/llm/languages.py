@@ -1,22 +1,31 @@
 """Problem 8: missing or wrong document language labels.
 
-Sentences are told by a hierarchy of linear classifiers: one-versus-one-family support vector machines give the language
-family, then one-versus-one-language machines within it give the language. Features of a sentence are the mean of its
-words' features (the word, and its runs of two to four letters), hashed. A linear score is then the mean of scores of
-words, which are kept per word, so telling a sentence costs a lookup per word.
+Sentences are told by a hierarchy of linear support vector machines. The first step tells the language family, the second
+the language within it. Both are one-versus-one: a step with k choices has k (k - 1) / 2 machines, each fitted only to the
+sentences of its two choices, and the choice that wins most machines is taken (of equals the one with most margin). The
+confidence couples the machines' margins into a probability of each choice, and multiplies those of the two steps.
+
+Features of a sentence are the mean of its words' features (the word, and its runs of two to four letters), hashed. A
+linear score is then the mean of scores of words, which are kept per word, so a batch of sentences costs a lookup per word
+and one sum per sentence.
 
 Headings, fenced and indented code, score lines, identifiers, paths, numbers and inline code are no text of a language.
-A sentence ends with a full stop, exclamation or question mark and has at least LEAST_WORDS words.
+A sentence ends with a mark of Unicode's property Sentence_Terminal or an ellipsis and has at least LEAST_WORDS words; in
+scripts without blanks between words every two neighbouring letters count as one, a mark needs no blank after it, and Thai
+and Lao, which have no marks, are read by the line.
 
-The model is fitted at the driver on a bounded sample of labelled documents: at most TRAIN_DOCS of each language, those of
-least hash. Labels may be wrong, so it is fitted twice, the second time without sentences that the first fit contradicts.
+The model is fitted at the driver on a bounded sample of labelled documents: at most TRAIN_DOCS of each language, and of
+their sentences at most TRAIN_SENTENCES, each time those of least hash. Labels may be wrong, so it is fitted twice, the second time without sentences that the first fit contradicts.
+Only languages seen in the sample get machines. A language that FAMILIES doesn't list joins the others of its script.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 from zlib import crc32
 
 import numpy as np
@@ -27,32 +36,61 @@ from pyspark.sql import functions as F
 
 from twinspan.sources.tables import table
 
-TRAIN_DOCS = 200
+TRAIN_DOCS, TRAIN_SENTENCES = 200, 4000
 DIMENSIONS = 1 << 16
 EPOCHS = 4
 LEAST_WORDS = 3
 SEED = 8
-#: Language families, by code; a language that none lists is a family of its own.
+#: Bounds of what is sent to every executor: rows of the table of languages, and bytes of the machines' weights.
+MOST_CODES, MOST_BYTES = 4096, 256 << 20
+#: Words and tokens whose scores and parts a worker remembers.
+REMEMBERED = 200_000
+#: Language families, by code.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv"), "romance": ("fr", "es", "pt", "it"), "slavic": ("pl", "ru")}
+_FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes}
 
+_CLOSING = r"\"'»”)\]\p{Pe}\p{Pf}\p{Cf}"
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}"
 _FENCE = regex.compile(r"^[\s\p{Cf}]*(```|~~~)")
 _SKIPPED = regex.compile(r"^[\s\p{Cf}]*(?:#{1,6}(?:\s|$)|\d+(?:\.\d+)?\s+\S+:\d+)")
 _MARKER = regex.compile(r"^[\s\p{Cf}>]*(?:[-*+]\s+|\d+[.)]\s+)?")
-_ENDS = regex.compile(r"(?<=[.!?…][\"'»”)\]\p{Cf}]*)\s+")
-_COMPLETE = regex.compile(r"[.!?…][\"'»”)\]\s\p{Cf}\p{So}\p{Sk}\p{M}]*$")
+_ENDS = regex.compile(rf"[\p{{Sentence_Terminal}}…][{_CLOSING}]*\s+|[。！？｡][{_CLOSING}]*(?=[^\s{_CLOSING}\p{{Sentence_Terminal}}…])")
+_COMPLETE = regex.compile(rf"[\p{{Sentence_Terminal}}…][{_CLOSING}\s\p{{So}}\p{{Sk}}\p{{M}}]*$|[\p{{Thai}}\p{{Lao}}]")
 _INLINE = regex.compile(r"`[^`]*`")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*")
+_PAIRS = regex.compile(rf"[{_UNSPACED}]\p{{M}}*[{_UNSPACED}]")
 _FORMAT = regex.compile(r"\p{Cf}+")
 _NAME = regex.compile(r"[\d_/:#\\{}=<>]|\p{L}\.\p{L}|\p{Ll}\p{Lu}")
+_SCRIPTS = {x: regex.compile(rf"\p{{{x}}}") for x in ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hangul", "Thai")}
+
+_parts: dict[str, tuple[str, ...]] = {}
+
+
+def _words_of(token: str) -> tuple[str, ...]:
+    """The words of a text without blanks; remembered, as texts use the same words again and again."""
+    bare = token.strip(".,;:!?…()[]\"“”«»*")
+    out: list[str] = []
+    if bare and not _NAME.search(bare):
+        for word in _WORD.findall(bare):
+            word = word.lower().replace("’", "'")
+            out += [word] if word.isascii() else _PAIRS.findall(word, overlapped=True) or [word]
+    if len(_parts) >= REMEMBERED:
+        _parts.clear()
+    if len(token) <= 64:
+        _parts[token] = tuple(out)
+    return tuple(out)
 
 
 def words(sentence: str) -> list[str]:
     """The lower-case words of a sentence, without identifiers, paths, numbers and code."""
+    if "`" in sentence:
+        sentence = _INLINE.sub(" ", sentence)
+    if not sentence.isascii():
+        sentence = _FORMAT.sub("", sentence)
     out: list[str] = []
-    for token in _FORMAT.sub("", _INLINE.sub(" ", sentence)).split():
-        token = token.strip(".,;:!?…()[]\"“”«»*")
-        if token and not _NAME.search(token):
-            out += [w.lower().replace("’", "'") for w in _WORD.findall(token)]
+    for token in sentence.split():
+        known = _parts.get(token)
+        out += _words_of(token) if known is None else known
     return out
 
 
@@ -65,7 +103,7 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
         if _FENCE.match(line):
             fenced = not fenced
             continue
-        if fenced or _SKIPPED.match(line):
+        if fenced or line.isspace() or _SKIPPED.match(line):
             continue
         begin = _MARKER.match(line).end()
         body = line[begin:]
@@ -87,9 +125,51 @@ def features(word: str, dimensions: int = DIMENSIONS) -> list[int]:
     return [crc32(g.encode()) % dimensions for g in grams]
 
 
+def coupled(margins: np.ndarray, pairs: np.ndarray, choices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The choice of each row and its probability, from the margins (columns) of the machines between pairs of choices.
+
+    Most machines won decides, of equals the greater sum of margins, of these the lower number. The probability is that of
+    pairwise coupling, 1 / (sum of 1 / r - (k - 2)) over the machines of the choice, scaled to a sum of one.
+    """
+    rows = len(margins)
+    if choices == 1:
+        return np.zeros(rows, dtype=np.int64), np.ones(rows)
+    votes, gained, inverse = np.zeros((rows, choices)), np.zeros((rows, choices)), np.full((rows, choices), 2.0 - choices)
+    for k, (i, j) in enumerate(pairs):
+        m = margins[:, k]
+        won = m > 0
+        votes[:, i] += won
+        votes[:, j] += ~won
+        gained[:, i] += m
+        gained[:, j] -= m
+        sure = 1 / (1 + np.exp(-np.clip(2 * m, -30, 30)))
+        inverse[:, i] += 1 / sure
+        inverse[:, j] += 1 / (1 - sure)
+    most = np.where(votes == votes.max(axis=1, keepdims=True), gained, -np.inf)
+    best = np.argmax(most, axis=1)
+    share = 1 / inverse
+    return best, share[np.arange(rows), best] / share.sum(axis=1)
+
+
+@dataclass
+class Step:
+    """One choice: its machines are columns of the weights from ``first`` on, one for each pair of choices."""
+
+    choices: list[int]
+    first: int
+
+    @property
+    def pairs(self) -> np.ndarray:
+        return np.array(list(combinations(range(len(self.choices)), 2)), dtype=np.int64).reshape(-1, 2)
+
+    @property
+    def columns(self) -> slice:
+        return slice(self.first, self.first + len(self.choices) * (len(self.choices) - 1) // 2)
+
+
 @dataclass
 class Model:
-    """Weights of the machines, a column each: families first, then languages."""
+    """Weights of the machines, a column each: those between families first, then those within each family."""
 
     families: list[str]
     languages: list[str]
@@ -97,55 +177,85 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     dimensions: int = DIMENSIONS
-    known: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def score(self, word: str) -> np.ndarray:
+    known: dict[str, int] = field(default_factory=dict)
+    scores: list[np.ndarray] = field(default_factory=list)
+
+    @classmethod
+    def blank(cls, languages: list[str], scripts: dict[str, str] | None = None, dimensions: int = DIMENSIONS) -> Model:
+        """A model of the languages with every weight zero; scripts tell the families of those that FAMILIES doesn't list."""
+        family = [_FAMILY_OF.get(x) or "script " + (scripts or {}).get(x, "?") for x in languages]
+        names = sorted(set(family))
+        model = cls(names, languages, [names.index(x) for x in family], np.zeros((0, 0), dtype=np.float32), np.zeros(0), dimensions)
+        machines = sum(len(step.pairs) for step in model.steps())
+        if machines * dimensions * 4 > MOST_BYTES:
+            raise ValueError(f"{machines} machines of {dimensions} weights take more than {MOST_BYTES} bytes: split FAMILIES further")
+        model.weights, model.bias = np.zeros((dimensions, machines), dtype=np.float32), np.zeros(machines)
+        return model
+
+    def steps(self) -> list[Step]:
+        """The choice between families, then the choice within each."""
+        out = [Step(list(range(len(self.families))), 0)]
+        for f in range(len(self.families)):
+            out.append(Step([k for k, g in enumerate(self.family_of) if g == f], out[-1].columns.stop))
+        return out
+
+    def place(self, word: str) -> int:
+        """Where the word's scores are."""
         found = self.known.get(word)
         if found is None:
             own = features(word, self.dimensions)
-            found = self.weights[own].sum(axis=0) / math.sqrt(len(own))
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[word] = found
+            found = self.known[word] = len(self.scores)
+            self.scores.append((self.weights[own].sum(axis=0) / math.sqrt(len(own))).astype(np.float64))
         return found
 
+    def tell_all(self, own: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The language (its number) of each sentence, given by its words, and a confidence from 0 to 1."""
+        if len(self.known) >= REMEMBERED:
+            self.known, self.scores = {}, []
+        sizes = np.array([len(x) for x in own], dtype=np.int64)
+        known, places = self.known, []
+        for sentence in own:
+            for word in sentence:
+                found = known.get(word)
+                places.append(self.place(word) if found is None else found)
+        if not places:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        scores, places = np.array(self.scores), np.array(places)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        margins = np.stack([np.add.reduceat(scores[places, k], starts) for k in range(scores.shape[1])], axis=1) if scores.shape[1] else np.zeros((len(own), 0))
+        margins = margins / sizes[:, None] + self.bias
+        first, *inner = self.steps()
+        family, sure = coupled(margins[:, first.columns], first.pairs, len(first.choices))
+        out = np.zeros(len(own), dtype=np.int64)
+        for f, step in enumerate(inner):
+            some = np.flatnonzero(family == f)
+            best, share = coupled(margins[some, step.columns], step.pairs, len(step.choices))
+            out[some] = np.array(step.choices)[best]
+            sure[some] *= share
+        return out, sure
+
     def tell(self, own: list[str]) -> tuple[str, float]:
         """The language of a sentence's words, and a confidence from 0 to 1."""
-        total = self.bias.copy()
-        for word in own:
-            total += self.score(word) / len(own)
-        groups = total[: len(self.families)]
-        family = int(np.argmax(groups))
-        best, margin = -1, -np.inf
-        second = -np.inf
-        for k, f in enumerate(self.family_of):
-            if f == family:
-                value = total[len(self.families) + k]
-                if value > margin:
-                    best, margin, second = k, value, margin
-                elif value > second:
-                    second = value
-        gap = _gap(groups, family)
-        inner = 1.0 if second == -np.inf else _logistic(margin - second)
-        return self.languages[best], (1.0 if gap is None else _logistic(gap)) * inner
-
-
-def _gap(values: np.ndarray, best: int) -> float | None:
-    others = np.delete(values, best)
-    return float(values[best] - others.max()) if len(others) else None
-
-
-def _logistic(x: float) -> float:
-    return 1 / (1 + math.exp(-min(max(2 * x, -50), 50)))
-
-
-def fitted(samples: list[tuple[str, list[str]]], languages: list[str], dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Machines fitted to (language, words) by averaged stochastic subgradient descent on the hinge loss."""
-    family = {code: name for name, codes in FAMILIES.items() for code in codes}
-    names = sorted({family.get(x, x) for x in languages})
-    family_of = [names.index(family.get(x, x)) for x in languages]
-    columns = len(names) + len(languages)
-    model = Model(names, languages, family_of, np.zeros((dimensions, columns), dtype=np.float32), np.zeros(columns), dimensions)
+        best, sure = self.tell_all([own])
+        return self.languages[best[0]], float(sure[0])
+
+
+def fitted(samples: list[tuple[str, list[str]]], dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """Machines fitted to (language, words) by averaged stochastic subgradient descent on the hinge loss. A sentence counts
+    for the machines between its family and the others, and for those between its language and the others of its family."""
+    languages = sorted({x for x, _ in samples})
+    letters: dict[str, Counter[str]] = {x: Counter() for x in languages if x not in _FAMILY_OF}
+    for language, own in samples:
+        if language in letters:
+            letters[language].update(next((s for s, known in _SCRIPTS.items() if known.match(w)), "other") for w in own)
+    model = Model.blank(languages, {x: min(c, key=lambda s: (-c[s], s)) for x, c in letters.items() if c}, dimensions)
+    first, *inner = model.steps()
+    played: list[tuple[np.ndarray, np.ndarray]] = []  # of each language: the machines it counts for, and its side in them
+    for k, f in enumerate(model.family_of):
+        sides = [(first.first + c, 1.0 if i == f else -1.0) for c, (i, j) in enumerate(first.pairs) if f in (i, j)]
+        at = inner[f].choices.index(k)
+        sides += [(inner[f].first + c, 1.0 if i == at else -1.0) for c, (i, j) in enumerate(inner[f].pairs) if at in (i, j)]
+        played.append((np.array([x for x, _ in sides], dtype=np.int64), np.array([x for _, x in sides], dtype=np.float32)))
     index: dict[str, tuple[np.ndarray, float]] = {}
     rows = []
     for language, own in samples:
@@ -158,21 +268,18 @@ def fitted(samples: list[tuple[str, list[str]]], languages: list[str], dimension
             values.append(np.full(len(index[word][0]), index[word][1] / len(own), dtype=np.float32))
         rows.append((languages.index(language), np.concatenate(which), np.concatenate(values)))
     rng = np.random.default_rng(seed)
-    weights, bias, summed, summed_bias, steps = model.weights, model.bias, np.zeros_like(model.weights), np.zeros(columns), 0
-    same = np.array([[f == g for g in family_of] for f in family_of])
+    weights, bias, summed, summed_bias, steps = model.weights, model.bias, np.zeros_like(model.weights), np.zeros_like(model.bias), 0
     for epoch in range(epochs):
         rate = 2.0 / (1 + epoch)
         for k in rng.permutation(len(rows)):
             language, which, values = rows[k]
-            target = np.full(columns, -1.0, dtype=np.float32)
-            target[family_of[language]] = target[len(names) + language] = 1
-            active = np.concatenate([np.ones(len(names), dtype=bool), same[language]])
-            margin = target * (values @ weights[which] + bias)
-            wrong = np.flatnonzero(active & (margin < 1))
+            machines, target = played[language]
+            margin = target * (values @ weights[which[:, None], machines] + bias[machines])
+            wrong = np.flatnonzero(margin < 1)
             if len(wrong):
                 step = rate * target[wrong]
-                np.add.at(weights, (which[:, None], wrong[None, :]), values[:, None] * step[None, :])
-                bias[wrong] += 0.05 * step
+                np.add.at(weights, (which[:, None], machines[wrong][None, :]), values[:, None] * step[None, :])
+                bias[machines[wrong]] += 0.05 * step
         if epoch:
             summed += weights
             summed_bias += bias
@@ -182,10 +289,11 @@ def fitted(samples: list[tuple[str, list[str]]], languages: list[str], dimension
     return model
 
 
-def fitted_twice(samples: list[tuple[str, list[str]]], languages: list[str]) -> Model:
+def fitted_twice(samples: list[tuple[str, list[str]]]) -> Model:
     """A fit, and another without the samples whose label the first contradicts."""
-    first = fitted(samples, languages)
-    return fitted([(x, own) for x, own in samples if first.tell(own)[0] == x], languages)
+    first = fitted(samples)
+    told, _ = first.tell_all([own for _, own in samples])
+    return fitted([x for x, k in zip(samples, told, strict=True) if first.languages[k] == x[0]])
 
 
 def label_code(label: Column, codes: dict[str, str]) -> Column:
@@ -196,8 +304,10 @@ def label_code(label: Column, codes: dict[str, str]) -> Column:
 
 
 def known_codes(language_codes: DataFrame) -> dict[str, str]:
-    """Code, three-letter code and English name of each language (a fixed table of a few rows), lower case, to its code."""
-    rows = language_codes.where("code is not null").limit(1000).collect()
+    """Code, three-letter code and English name of each language, lower case, to its code; at most MOST_CODES languages."""
+    rows = language_codes.where("code is not null").limit(MOST_CODES + 1).collect()
+    if len(rows) > MOST_CODES:
+        raise ValueError(f"the table of languages has more than {MOST_CODES} rows")
     return {str(x).strip().lower(): r["code"] for r in rows for x in (r["english_name"], r["code3"], r["code"]) if x}
 
 
@@ -213,9 +323,11 @@ def training_model(documents: DataFrame, codes: dict[str, str], docs: int = TRAI
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["code", "words"])
 
     counts = chosen.select("_code", "text").mapInArrow(split, "code string, words string").groupBy("words", "code").agg(F.count("*").alias("n"))
-    rows = counts.groupBy("words").agg(F.max_by("code", F.struct("n", "code")).alias("code")).collect()  # of equal sentences the label most have
+    told = counts.groupBy("words").agg(F.max_by("code", F.struct("n", "code")).alias("code"))  # of equal sentences the label most have
+    least = Window.partitionBy("code").orderBy(F.xxhash64("words"), "words")
+    rows = told.withColumn("_k", F.row_number().over(least)).where(F.col("_k") <= TRAIN_SENTENCES).collect()
     samples = sorted((r["code"], r["words"].split(" ")) for r in rows)
-    return fitted_twice(samples, sorted(set(codes.values()))) if samples else None
+    return fitted_twice(samples) if samples else None
 
 
 def language_segments(documents: DataFrame, language_codes: DataFrame, docs: int = TRAIN_DOCS) -> DataFrame:
@@ -233,20 +345,23 @@ def language_segments(documents: DataFrame, language_codes: DataFrame, docs: int
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         item = pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("sentences", pa.int32()), ("confidence", pa.float64())])
-        for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                found: list[dict] = []
-                for start, end, parts in sentences(text) if text and own else []:
-                    lang, sure = own.tell(parts)
-                    if found and found[-1]["lang"] == lang:
-                        last = found[-1]
-                        last["confidence"] = (last["confidence"] * last["sentences"] + sure) / (last["sentences"] + 1)
-                        last["end"], last["sentences"] = end, last["sentences"] + 1
-                    else:
-                        found.append({"lang": lang, "start": start, "end": end, "sentences": 1, "confidence": sure})
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(item))], names=["doc_id", "code", "segments"])
+        for whole in batches:
+            for at in range(0, max(whole.num_rows, 1), 512):
+                batch = whole.slice(at, 512)
+                parts = [sentences(text) if text and own else [] for text in batch.column(2).to_pylist()]
+                flat = [x for each in parts for x in each]
+                doc = np.repeat(np.arange(len(parts)), [len(each) for each in parts])
+                langs, sure = own.tell_all([x[2] for x in flat]) if flat else (np.zeros(0, np.int64), np.zeros(0))
+                # a segment begins where the document or the language changes
+                begins = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (langs[1:] != langs[:-1])]) if flat else np.zeros(0, np.int64)
+                ends = np.r_[begins[1:], len(flat)][: len(begins)]
+                start, end = np.array([x[0] for x in flat], dtype=np.int32), np.array([x[1] for x in flat], dtype=np.int32)
+                n = (ends - begins).astype(np.int32)
+                names = np.array(own.languages if own else [], dtype=object)
+                fields = [pa.array(names[langs[begins]], pa.string()), pa.array(start[begins]), pa.array(end[ends - 1]), pa.array(n), pa.array(np.add.reduceat(sure, begins) / n if flat else sure)]
+                offsets = np.r_[0, np.cumsum(np.bincount(doc[begins], minlength=len(parts)))].astype(np.int32)
+                segments = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, fields=list(item)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), segments], names=["doc_id", "code", "segments"])
 
     rows = documents.select("doc_id", label_code(F.col("lang"), codes).alias("code"), "text")
     return rows.mapInArrow(tell, f"doc_id {kind}, code string, segments array<struct<{struct.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double')}>>")
