@@ -1,19 +1,24 @@
 """Problem 7: filling fixed-capacity containers with items, by best-fit decreasing.
 
-Items are dealt to shards of bounded size by a hash of their key; in a shard, best-fit decreasing keeps the open
-containers' remaining capacities in a segment tree and finds the tightest container that takes an item in logarithmic
-time. Each shard leaves a few containers short of full. Their items go, as a whole, into a next round with fewer shards,
-until one shard is left, so the space lost doesn't grow with the number of shards.
+Items are taken from the largest to the smallest, and each goes into the open container with the least room that takes it.
+A segment tree over remaining capacities finds that container in logarithmic time. Which of equal items, and which of
+equally full containers, is taken makes no difference to what follows, so the rule is run on counts: on how many items have
+each size, and on ranges of equally full containers. A range of n containers with room r takes n * (r // size) items of a
+size at once, as a container that took one is then the tightest until no more go in. This halves a range's room at least,
+so the plan has at most about capacity * log2(capacity) rows, whatever the number of items, and is made at the driver from
+at most capacity + 1 counts. It is the packing of best-fit decreasing over all items, not one of shards put together.
+
+Items find their places by their rank among those of their size. Ranks come from a window over (size, bucket), whose
+buckets have about BUCKET items each, and sums of the buckets' counts, so no task holds all items of a common size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinspan.llm.tokens import VOCABULARY, encoder
@@ -21,29 +26,34 @@ from twinspan.sources.tables import table
 from twinspan.work import Workspace
 
 CAPACITY = 2048
-#: Items of a shard: a bound on the memory of one task.
-SHARD = 100_000
-#: Containers filled less than this go into the next round.
-FULL = 0.995
+#: Largest capacity: a bound on the counts and the plan, which are kept at the driver.
+MOST_CAPACITY = 1 << 20
+#: Items of a bucket: a bound on the memory of one task.
+BUCKET = 100_000
+#: Bits of a rank in a plan's keys.
+_RANK = 42
 
 
 class RemainingTree:
-    """Segment tree over remaining capacities 0..capacity: how many open containers have each."""
+    """Segment tree over remaining capacities 0..capacity: how many ranges of open containers have each."""
 
     def __init__(self, capacity: int):
         self.leaves = 1 << max(capacity, 1).bit_length()
         self.counts = [0] * (2 * self.leaves)
-        self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.open: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
 
-    def add(self, remaining: int, container: int) -> None:
-        self.open[remaining].append(container)
+    def add(self, remaining: int, first: int, containers: int) -> None:
+        """Containers from number ``first`` on, each with that much room."""
+        if not containers:
+            return
+        self.open[remaining].append((first, containers))
         i = remaining + self.leaves
         while i:
             self.counts[i] += 1
             i >>= 1
 
-    def take(self, size: int) -> tuple[int, int] | None:
-        """The (remaining, container) with the least remaining capacity of at least size, taken out of the tree."""
+    def take(self, size: int) -> tuple[int, int, int] | None:
+        """The (remaining, first, containers) with the least remaining capacity of at least size, taken out of the tree."""
         counts, i = self.counts, size + self.leaves
         while not counts[i]:
             while i & 1:  # a right child: what is right of it lies right of its parent
@@ -58,36 +68,47 @@ class RemainingTree:
             if not counts[i]:
                 i += 1
         remaining = i - self.leaves
-        container = self.open[remaining].pop()
+        first, containers = self.open[remaining].pop()
         while i:
             counts[i] -= 1
             i >>= 1
-        return remaining, container
+        return remaining, first, containers
 
 
-def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The container of each size, numbered from 0; sizes must come in decreasing order and fit the capacity."""
-    tree, out, used = RemainingTree(capacity), np.empty(len(sizes), dtype=np.int64), 0
-    for k, size in enumerate(sizes.tolist()):
-        found = tree.take(size)
-        if found is None:
-            found = capacity, used
-            used += 1
-        remaining, container = found
-        tree.add(remaining - size, container)
-        out[k] = container
-    return out
+def planned(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """The plan of best-fit decreasing and how many containers it opens.
 
-
-def _packer(capacity: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "_key", "_row", "piece"], ascending=[False, True, True, True], kind="stable")
-        at = best_fit_decreasing(group["size"].to_numpy(), capacity)
-        filled = np.bincount(at, weights=group["size"].to_numpy(), minlength=1).astype(np.int64)[at]
-        prefix = f"{level}-{int(group['_shard'].iloc[0])}-"
-        return group.assign(container=[prefix + str(x) for x in at], filled=filled)[["container", "_row", "_key", "piece", "start", "size", "filled"]]
-
-    return pack
+    counts: how many items have each size, 1 to capacity. The plan's rows are (size, rank, each, container): items of a
+    size from that rank on lie, ``each`` to a container, in the containers from that number on.
+    """
+    tree, plan, used = RemainingTree(capacity), [], 0
+    for size in sorted(counts, reverse=True):
+        left, rank = counts[size], 0
+        while left:
+            room, first, containers = tree.take(size) or (capacity, used, -(-left // (capacity // size)))
+            if first == used:
+                used += containers
+            each = room // size
+            whole, rest = min(divmod(left, each), (containers, 0))
+            if whole:
+                plan.append((size, rank, each, first))
+                tree.add(room - each * size, first, whole)
+            if rest:
+                plan.append((size, rank + whole * each, rest, first + whole))
+                tree.add(room - rest * size, first + whole, 1)
+            tree.add(room, first + whole + (rest > 0), containers - whole - (rest > 0))
+            rank, left = rank + whole * each + rest, left - whole * each - rest
+    return np.array(plan, dtype=np.int64).reshape(-1, 4), used
+
+
+def placed(plan: np.ndarray, used: int, sizes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The container of each item, by its size and its rank among those of its size; items of size 0 go round all."""
+    keys = (plan[:, 0] << _RANK) + plan[:, 1]
+    order = np.argsort(keys)
+    at = order[np.maximum(np.searchsorted(keys[order], (sizes << _RANK) + ranks, side="right") - 1, 0)] if len(plan) else np.zeros(len(sizes), np.int64)
+    if not len(plan):
+        return np.zeros(len(sizes), dtype=np.int64)
+    return np.where(sizes > 0, plan[at, 3] + (ranks - plan[at, 1]) // plan[at, 2], ranks % max(used, 1))
 
 
 def token_counts(documents: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
@@ -102,47 +123,38 @@ def token_counts(documents: DataFrame, key: str, text: str, path: str = VOCABULA
     return documents.select(key, text).mapInArrow(count, f"`{key}` {documents.schema[key].dataType.simpleString()}, size bigint")
 
 
-def packed(items: DataFrame, key: str, size: str, work: Workspace, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+def packed(items: DataFrame, key: str, size: str, work: Workspace, capacity: int = CAPACITY, bucket: int = BUCKET) -> DataFrame:
     """(container, key, piece, start, size): every item in one container, or, if larger than one, cut at the capacity.
 
     Pieces are numbered from 0; start is where a piece begins in its item. Only items larger than the capacity are cut:
     into full pieces, each a container of its own, and a rest that is packed like any item. A null, zero or negative size
-    takes no room, and the item is still placed. Equal sizes are taken in the order of their keys. Containers are strings
-    of round, shard and number.
+    takes no room; such items are placed evenly over all containers (over one, if there is nothing else). Containers are
+    numbered from 0. Keys may be null or repeated; one of equal items is as good as another.
     """
-    if capacity < 1 or shard < 1:
-        raise ValueError("capacity and shard must be at least 1")
+    if not 1 <= capacity <= MOST_CAPACITY or bucket < 1:
+        raise ValueError(f"capacity must be from 1 to {MOST_CAPACITY}, and a bucket at least 1")
     n = F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("bigint"), F.lit(0))
-    pieces = items.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), n.alias("_n"))
-    last = F.expr(f"greatest(_n - 1, 0) div {capacity}")
-    pieces = work.write(pieces, "items").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
+    rows = work.write(items.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), n.alias("_n")), "items")
+    pieces = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"greatest(_n - 1, 0) div {capacity}"))).alias("piece"))
     pieces = pieces.select("_row", "_key", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("_n") - F.col("piece") * capacity).alias("size"))
-    whole = pieces.where(F.col("size") == capacity)
-    done = [whole.select(F.concat(F.lit("w-"), F.col("_row"), F.lit("-"), F.col("piece")).alias("container"), "_key", "piece", "start", "size")]
-    left, rounds = pieces.where(F.col("size") < capacity), 0
-    left = work.write(left, "left")
-    key_type = items.schema[key].dataType.simpleString()
-    schema = f"container string, _row bigint, _key {key_type}, piece bigint, start bigint, size bigint, filled bigint"
-    while count := left.count():
-        shards = -(-count // shard)
-
-        dealt = left.withColumn("_shard", F.pmod(F.xxhash64("_row", "piece", F.lit(rounds)), F.lit(shards)))
-        result = work.write(dealt.groupBy("_shard").applyInPandas(_packer(capacity, rounds), schema), "packed")
-        final = shards == 1
-        done.append((result if final else result.where(F.col("filled") >= FULL * capacity)).select("container", "_key", "piece", "start", "size"))
-        if final:
-            break
-        left = result.where(F.col("filled") < FULL * capacity).select("_row", "_key", "piece", "start", "size")
-        if (rest := left.count()) == count or rest > shard and rest > 0.9 * count:
-            # nearly nothing fills up: the items themselves leave the room unused, and more rounds would not help
-            done.append(result.where(F.col("filled") < FULL * capacity).select("container", "_key", "piece", "start", "size"))
-            break
-        left = work.write(left, "left")
-        rounds += 1
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.withColumnRenamed("_key", key)
+    counts = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
+    plan, used = planned({s: c for s, c in counts.items() if s}, capacity)
+    buckets = max(-(-sum(counts.values()) // bucket), 1)
+    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("_row", "piece"), F.lit(buckets)))
+    before = Window.partitionBy("size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = pieces.groupBy("size", "_bucket").agg(F.count("*").alias("n")).select("size", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("size", "_bucket").orderBy("_row", "piece")
+    ranked = pieces.withColumn("_rank", F.row_number().over(own) - 1).join(sums, ["size", "_bucket"])
+    ranked = ranked.select("_key", "piece", "start", "size", (F.col("_rank") + F.col("_before")).alias("_rank"))
+    shared = items.sparkSession.sparkContext.broadcast((plan, used))  # its rows are bounded by the capacity
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = placed(*shared.value, *(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4)))
+            yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns[:4]], names=["container", key, "piece", "start", "size"])
+
+    kind = items.schema[key].dataType.simpleString()
+    return ranked.mapInArrow(place, f"container bigint, `{key}` {kind}, piece bigint, start bigint, size bigint")
 
 
 def p7_containers(spark, sf_dir: str) -> DataFrame:
