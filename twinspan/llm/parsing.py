@@ -3,15 +3,10 @@
 Bundled grammars of Ruby, HTML with Ruby in tags, JSON and Python give LALR(1) tables; each file's whole token stream is
 parsed by its language's tables, and the first token that no text with that beginning can have is the file's error. There is
 no recovery, so a file has one error at most. The language is the one its extension names. Names need not be defined.
-
-An exact check follows for Python, whose own compiler is at hand: an error that its parser doesn't confirm is dropped, so a
-gap in the bundled grammar flags nothing.
 """
 
 from __future__ import annotations
 
-import ast
-import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +16,7 @@ from pyspark.sql import functions as F
 
 from twinspan.grammars import erb_text, lr
 from twinspan.llm.grammars import json_text, python_text
-from twinspan.sources.tables import counting_rows, table
+from twinspan.sources.tables import table
 
 #: Extensions and their languages.
 EXTENSIONS = {"rb": "ruby", "erb": "erb", "json": "json", "py": "python"}
@@ -45,10 +40,9 @@ def first_error(text: str, language: str) -> tuple[int, str] | None:
         return None if k is None else _message(kinds, k, _line(text, places[k] if k < len(places) else len(text)))
     if language == "python":
         kinds, lines = python_text.tokens(text)
-        k = lr.parse(tables, kinds)
-        if k is None or _python_reads(text):
-            return None
-        return _message(kinds, k, lines[k] if k < len(lines) else _line(text, len(text)))
+        checked = {i: r[0] for i, r in enumerate(tables.rules) if r[0] in python_text.CHECKED}
+        k = lr.parse(tables, kinds, lambda rule, first, last: rule not in checked or python_text.fits(kinds, checked[rule], first, last))
+        return None if k is None else _message(kinds, k, lines[k] if k < len(lines) else _line(text, len(text)))
     if language == "ruby":
         place = erb_text.ruby_error(text)
         return None if place is None else (_line(text, place), f"unexpected {_seen(text, place)}")
@@ -83,63 +77,60 @@ def _seen(text: str, place: int) -> str:
     return repr(text[place : place + 20].split("\n")[0]) if place < len(text) else "end of the file"
 
 
-def _python_reads(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-
-
 def language_of(path: Column) -> Column:
     """The language that a path's extension names; null for others."""
     pairs = F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair))
     return F.try_element_at(pairs, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
 
 
+def judged(files: DataFrame, key: str, path: str, content: str, *others: str) -> DataFrame:
+    """(key, others, language, line_no, message), a row for each row: line and message are null where a file parses, and
+    where there is nothing to parse; language is null where there is nothing to parse. Parsed where read: no shuffle."""
+    kept = [key, *dict.fromkeys(others)]
+    language = F.when(F.col(content).isNotNull(), language_of(F.col(path)))
+    rows = files.select(*(F.col(c) for c in kept), language.alias("_language"), F.when(language.isNotNull(), F.col(content)).alias("_text"))
+    kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in kept)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = batch.column(len(kept)).to_pylist()
+            found = [first_error(text, language) if language else None for language, text in zip(told, batch.column(len(kept) + 1).to_pylist(), strict=True)]
+            lines, messages = (pa.array([x and x[k] for x in found], kind) for k, kind in enumerate((pa.int32(), pa.string())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept) + 1], lines, messages], names=[*kept, "language", "line_no", "message"])
+
+    return rows.mapInArrow(judge, f"{kinds}, language string, line_no int, message string")
+
+
 def parse_errors(files: DataFrame, key: str, path: str, content: str) -> DataFrame:
     """(key, language, line_no, message) of the files that do not parse.
 
     Files with null content, a null path or another extension have no error. Empty content is judged like any other.
     Files are parsed where they are read: no shuffle. Extra columns are ignored.
     """
-    kind = files.schema[key].dataType.simpleString()
-    rows = files.select(F.col(key), language_of(F.col(path)).alias("language"), F.col(content).alias("_text")).where("language is not null and _text is not null")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k, (language, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                found = first_error(text, language)
-                if found:
-                    out.append((k, language, *found))
-            keys = batch.column(0).take(pa.array([x[0] for x in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.string())], names=[key, "language", "line_no", "message"])
-
-    return rows.mapInArrow(judge, f"`{key}` {kind}, language string, line_no int, message string")
+    return judged(files, key, path, content).where("message is not null")
 
 
-def _files(spark, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "source_files").select("file_id", "repo", "file_path", "content", "rev")
-    return counting_rows(files, "file_id")
+def _files(spark, sf_dir: str, *others: str) -> DataFrame:
+    """(file_id, others, language, line_no, message) of the counting rows. Every row is judged where it is read, so only
+    verdicts are shuffled to find those that count."""
+    files = table(spark, sf_dir, "source_files").where("file_id is not null")
+    each = judged(files.select("file_id", "repo", "file_path", "content", "rev"), "file_id", "file_path", "content", "rev", *others)
+    told = [*others, "language", "line_no", "message"]
+    last = F.max_by(F.struct(*told), F.coalesce("rev", F.lit(-(2**31)))).alias("r")
+    return each.groupBy("file_id").agg(last).select("file_id", *(F.col(f"r.{c}").alias(c) for c in told))
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
     """The files whose counting row doesn't parse."""
-    return parse_errors(_files(spark, sf_dir), "file_id", "file_path", "content").select("file_id")
+    return _files(spark, sf_dir).where("message is not null").select("file_id")
 
 
 def p2_errors(spark, sf_dir: str) -> DataFrame:
     """The first error of each file that doesn't parse."""
-    return parse_errors(_files(spark, sf_dir), "file_id", "file_path", "content")
+    return _files(spark, sf_dir).where("message is not null")
 
 
 def p2_rates(spark, sf_dir: str) -> DataFrame:
     """Per repository and language: files with content, those that do not parse, and their share."""
-    files = _files(spark, sf_dir).withColumn("language", language_of(F.col("file_path"))).where("language is not null and content is not null")
-    bad = parse_errors(files, "file_id", "file_path", "content").select("file_id", F.lit(1).alias("bad"))
-    each = files.select("file_id", "repo", "language").join(bad, "file_id", "left")
-    rates = each.groupBy("repo", "language").agg(F.count("*").alias("files"), F.count("bad").alias("failing"))
+    rates = _files(spark, sf_dir, "repo").where("language is not null").groupBy("repo", "language").agg(F.count("*").alias("files"), F.count("message").alias("failing"))
     return rates.withColumn("rate", F.round(F.col("failing") / F.col("files"), 6))
