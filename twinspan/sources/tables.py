@@ -17,3 +17,10 @@ def counting_rows(df: DataFrame, key: str, rev: str = "rev") -> DataFrame:
     """
     w = Window.partitionBy(key).orderBy(F.col(rev).desc_nulls_last())
     return df.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt to as many tasks as the session has cores where the source has fewer pieces (as one small
+    file has); for steps that spend much more time on a row than reading it takes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
