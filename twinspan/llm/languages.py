@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinspan.sources.tables import table
+from twinspan.sources.tables import spread, table
 
 TRAIN_DOCS, TRAIN_SENTENCES = 200, 4000
 DIMENSIONS = 1 << 16
@@ -363,7 +363,7 @@ def language_segments(documents: DataFrame, language_codes: DataFrame, docs: int
                 segments = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, fields=list(item)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), segments], names=["doc_id", "code", "segments"])
 
-    rows = documents.select("doc_id", label_code(F.col("lang"), codes).alias("code"), "text")
+    rows = spread(documents.select("doc_id", label_code(F.col("lang"), codes).alias("code"), "text"))
     return rows.mapInArrow(tell, f"doc_id {kind}, code string, segments array<struct<{struct.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double')}>>")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinspan.llm.tokens import VOCABULARY, encoder
-from twinspan.sources.tables import table
+from twinspan.sources.tables import spread, table
 from twinspan.work import Workspace
 
 CAPACITY = 2048
@@ -159,7 +159,7 @@ def packed(items: DataFrame, key: str, size: str, work: Workspace, capacity: int
 
 def p7_containers(spark, sf_dir: str) -> DataFrame:
     """Every document's place in containers of 2,048 tokens of byte_bpe_50k."""
-    sizes = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    sizes = token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
     return packed(sizes, "doc_id", "size", Workspace(spark, "p7"))
 
 

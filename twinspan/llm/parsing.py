@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from twinspan.grammars import erb_text, lr
 from twinspan.llm.grammars import json_text, python_text
-from twinspan.sources.tables import table
+from twinspan.sources.tables import spread, table
 
 #: Extensions and their languages.
 EXTENSIONS = {"rb": "ruby", "erb": "erb", "json": "json", "py": "python"}
@@ -114,7 +114,7 @@ def _files(spark, sf_dir: str, *others: str) -> DataFrame:
     """(file_id, others, language, line_no, message) of the counting rows. Every row is judged where it is read, so only
     verdicts are shuffled to find those that count."""
     files = table(spark, sf_dir, "source_files").where("file_id is not null")
-    each = judged(files.select("file_id", "repo", "file_path", "content", "rev"), "file_id", "file_path", "content", "rev", *others)
+    each = judged(spread(files.select("file_id", "repo", "file_path", "content", "rev")), "file_id", "file_path", "content", "rev", *others)
     told = [*others, "language", "line_no", "message"]
     last = F.max_by(F.struct(*told), F.coalesce("rev", F.lit(-(2**31)))).alias("r")
     return each.groupBy("file_id").agg(last).select("file_id", *(F.col(f"r.{c}").alias(c) for c in told))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspan.operators.skew import lookup_by_count
-from twinspan.sources.tables import table
+from twinspan.sources.tables import spread, table
 from twinspan.work import Workspace
 
 #: Rank file of the tokenizer byte_bpe_50k.
@@ -195,5 +195,5 @@ def encoded(documents: DataFrame, key: str, text: str, work: Workspace, path: st
 
 def p6_ids(spark, sf_dir: str) -> DataFrame:
     """Every document's ids by byte_bpe_50k."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return encoded(documents, "doc_id", "text", Workspace(spark, "p6"))
