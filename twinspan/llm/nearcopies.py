@@ -7,7 +7,12 @@ put next to each other and the line is cut into partitions. Two sets of similari
 some partition the two differ in at most T tokens. A record (the larger of a pair) spends t + 1 over its partitions as
 T = -1 (not probed), 0 (same tokens there) or 1 (one token more or less), by dynamic programming on how many candidates each
 choice brings, counted in the index of all records. Probes meet the index, and candidates are verified exactly, so no pair is
-missed and none is wrong. Sizes are served by lines cut into twice, four times ... as many partitions.
+missed and none is wrong. Sizes are served by lines cut into twice, four times ... as many partitions, without an end.
+
+A line of more than BLOCK partitions is planned in blocks of as many: the units of t + 1 go to the blocks in which they cost
+least, and the dynamic program runs within each block, so time and memory are in proportion to a record's size. Empty
+partitions are never probed, as nearly all records share them. The few records whose filled partitions can't take t + 1 (all
+tokens on one bit, say) find their candidates by the tokens they hold instead: a partner holds one of their rarest ones.
 
 Links between classes of equal sets, their members and recorded matches are then grouped by the operator of problem 3.
 """
@@ -29,13 +34,16 @@ from twinspan.sources.tables import counting_rows, table
 from twinspan.work import Workspace
 
 #: Bits of a vector, those of them for common tokens, and places on the line within one bit.
-BITS, COMMON_BITS, FINE = 192, 48, 1024
-#: A token is common when more than one in COMMON records holds it; there are at most COMMON times the mean set size.
-COMMON = 100
-#: Partitions of the smallest records' line.
-PARTS = 24
-#: Most partitions of a line.
-LEVELS = 12
+BITS, COMMON_BITS, FINE = 192, 48, 1 << 20
+#: A token is common when more than one in COMMON records holds it, and of those the MOST_COMMON that most hold. Only which
+#: bit a token sets depends on it.
+COMMON, MOST_COMMON = 100, 1 << 16
+#: Partitions of the smallest records' line, and of a block that is planned as a whole.
+PARTS, BLOCK = 24, 768
+#: Bytes of back pointers of one dynamic program, tokens taken in one step, and index rows of one piece of a key.
+PLAN_BYTES, STEP_TOKENS, PIECE = 32 << 20, 1 << 20, 4096
+#: A cost that is never paid.
+FAR = 1 << 50
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -52,7 +60,7 @@ def difference(n: np.ndarray, num: int, den: int) -> np.ndarray:
 def levels_of(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """The level, 0, 1, ... of the line with enough partitions for sets of n tokens."""
     need = difference(n, num, den) + 1
-    return np.minimum(np.ceil(np.log2(np.maximum(need / PARTS, 1))).astype(np.int64), LEVELS)
+    return np.ceil(np.log2(np.maximum(need / PARTS, 1))).astype(np.int64)
 
 
 class Line:
@@ -83,12 +91,22 @@ def _flat(batch: pa.RecordBatch, array: str) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes
 
 
+def _steps(batches: Iterator[pa.RecordBatch], array: str) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most 8192, and of about STEP_TOKENS tokens."""
+    for batch in batches:
+        sizes = batch.column(batch.schema.get_field_index(array)).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.maximum(np.cumsum(sizes) // STEP_TOKENS, 0) + np.arange(len(sizes)) // 8192 * (1 << 40)
+        begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
+        for at, end in zip(begins, [*begins[1:], len(group)], strict=False):
+            yield batch.slice(at, end - at)
+
+
 def co_occurrence(classes: DataFrame, line: Line) -> np.ndarray:
     """How many records set both of two bits, over all records: BITS x BITS."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.zeros((BITS, BITS))
-        for batch in batches:
+        for batch in _steps(batches, "digests"):
             tokens, sizes = _flat(batch, "digests")
             vectors = np.zeros((batch.num_rows, BITS), dtype=np.float32)
             vectors[np.repeat(np.arange(batch.num_rows), sizes), line.bits(tokens)] = 1
@@ -124,26 +142,27 @@ def index_rows(classes: DataFrame, line: Line, num: int, den: int) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 8192):
-                batch = whole.slice(at, 8192)
-                tokens, sizes = _flat(batch, "digests")
-                ids = batch.column(batch.schema.get_field_index("c")).to_numpy(zero_copy_only=False)
-                low, high = levels_of(sizes, num, den), levels_of(sizes * den // num, num, den)
-                for step in range(int((high - low).max(initial=-1)) + 1):
-                    level = low + step
-                    some = np.repeat(level <= high, sizes)
-                    owner, own = np.repeat(np.arange(len(sizes)), sizes)[some], tokens[some]
-                    part = line.parts(own, PARTS << level[owner])
-                    value = _mixed(own + np.uint64(3))
-                    group, inverse = np.unique(np.stack([owner, part]), axis=1, return_inverse=True) if len(own) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                    total = np.zeros(group.shape[1], dtype=np.uint64)
-                    np.add.at(total, inverse.ravel(), value)
-                    exact = _key(level[group[0]], group[1], total)
-                    fewer = _key(level[owner], part, total[inverse.ravel()] - value)
-                    who = np.concatenate([group[0], owner])
-                    columns = [np.concatenate([exact, fewer]).view(np.int64), np.repeat([0, 1], [len(exact), len(fewer)]).astype(np.int8), ids[who], sizes[who].astype(np.int32), np.concatenate([group[1], part]).astype(np.int32), np.full(len(who), step == 0)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "less", "c", "n", "part", "own"])
+        for batch in _steps(batches, "digests"):
+            tokens, sizes = _flat(batch, "digests")
+            ids = batch.column(batch.schema.get_field_index("c")).to_numpy(zero_copy_only=False)
+            low, high = levels_of(sizes, num, den), levels_of(sizes * den // num, num, den)
+            for step in range(int((high - low).max(initial=-1)) + 1):
+                level = low + step
+                some = np.repeat(level <= high, sizes)
+                owner, own = np.repeat(np.arange(len(sizes)), sizes)[some], tokens[some]
+                part = line.parts(own, PARTS << level[owner])
+                value = _mixed(own + np.uint64(3))
+                order = np.lexsort((part, owner))
+                first = np.flatnonzero(np.r_[True, (owner[order][1:] != owner[order][:-1]) | (part[order][1:] != part[order][:-1])]) if len(own) else np.zeros(0, np.int64)
+                total = np.add.reduceat(value[order], first) if len(own) else value
+                inverse = np.empty(len(own), dtype=np.int64)
+                inverse[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(own)]))
+                at = order[first]
+                exact = _key(level[owner[at]], part[at], total)
+                fewer = _key(level[owner], part, total[inverse] - value)
+                who = np.concatenate([owner[at], owner])
+                columns = [np.concatenate([exact, fewer]).view(np.int64), np.repeat([0, 1], [len(exact), len(fewer)]).astype(np.int8), ids[who], sizes[who].astype(np.int32), np.concatenate([part[at], part]).astype(np.int32), np.full(len(who), step == 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "less", "c", "n", "part", "own"])
 
     return classes.select("c", "digests").mapInArrow(rows, "key bigint, less tinyint, c bigint, n int, part int, own boolean")
 
@@ -152,7 +171,7 @@ def part_sizes(classes: DataFrame, line: Line, num: int, den: int) -> DataFrame:
     """(c, n, level, filled): how many of a class's tokens lie in each partition at its own level."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches, "digests"):
             tokens, sizes = _flat(batch, "digests")
             level = levels_of(sizes, num, den)
             count = PARTS << level
@@ -168,8 +187,17 @@ def part_sizes(classes: DataFrame, line: Line, num: int, den: int) -> DataFrame:
 def allocated(cost0: np.ndarray, cost1: np.ndarray, need: np.ndarray) -> np.ndarray:
     """T of each partition (columns) of each record (rows), -1, 0 or 1: sum(T + 1) >= need at the least cost.
 
-    cost0 and cost1 are the candidates that T = 0 and T = 1 bring; need is at most twice the number of partitions.
+    cost0 and cost1 are the candidates that T = 0 and T = 1 bring, FAR where that isn't possible; need can be met.
     """
+    rows, parts = cost0.shape
+    out = np.empty((rows, parts), dtype=np.int64)
+    each = max(1, PLAN_BYTES // (parts * (int(need.max(initial=0)) + 1)))
+    for at in range(0, rows, each):
+        out[at : at + each] = _allocated(cost0[at : at + each], cost1[at : at + each], need[at : at + each])
+    return out
+
+
+def _allocated(cost0: np.ndarray, cost1: np.ndarray, need: np.ndarray) -> np.ndarray:
     rows, parts = cost0.shape
     most = int(need.max(initial=0))
     far = np.iinfo(np.int64).max // 4
@@ -195,47 +223,102 @@ def allocated(cost0: np.ndarray, cost1: np.ndarray, need: np.ndarray) -> np.ndar
     return out
 
 
-def probes(shapes: DataFrame, classes_count: int, num: int, den: int) -> DataFrame:
-    """(key, c, n, near, void): what each class looks up. near: also index rows with one token less; void: key of an empty
-    partition, whose index rows are made only where a class probes them."""
+def dealt(cost0: np.ndarray, cost1: np.ndarray, need: np.ndarray, block: int) -> np.ndarray:
+    """How much of each record's need its blocks of partitions take: the units that cost least, wherever they lie."""
+    rows, parts = cost0.shape
+    second = np.where(cost1 < FAR, cost1 - cost0, FAR)
+    even = (cost1 < FAR) & (second < cost0)  # the second unit is cheaper than the first: neither comes alone
+    units = np.concatenate([np.where(even, cost1 / 2, cost0), np.where(even, cost1 / 2, second)], axis=1)
+    where = np.tile(np.arange(parts) // block, 2)
+    out = np.zeros((rows, parts // block), dtype=np.int64)
+    for r in range(rows):
+        out[r] = np.bincount(where[np.argsort(units[r], kind="stable")[: need[r]]], minlength=parts // block)
+    return out
+
+
+def thresholds(cost0: np.ndarray, cost1: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(T of each partition of each record, which records can meet their need)."""
+    able = (cost0 < FAR).sum(axis=1) + (cost1 < FAR).sum(axis=1) >= need
+    out = np.full(cost0.shape, -1, dtype=np.int64)
+    rows, parts = cost0.shape
+    if not able.any():
+        return out, able
+    if parts <= BLOCK:
+        out[able] = allocated(cost0[able], cost1[able], need[able])
+    else:
+        budget = dealt(cost0[able], cost1[able], need[able], BLOCK)
+        cut = lambda x: x[able].reshape(-1, BLOCK)
+        out[able] = allocated(cut(cost0), cut(cost1), budget.ravel()).reshape(-1, parts)
+    return out, able
+
+
+def probes(shapes: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, c, n, near, m): what each class looks up. near: also index rows with one token less; m: index rows of the key.
+    Classes whose filled partitions can't take their difference have one row without a key."""
+    every = shapes.select("c", F.lit(0).alias("row"), "n", "level", "filled", *(F.lit(0).cast(t).alias(x) for x, t in (("part", "int"), ("less", "int"), ("key", "bigint"), ("n0", "bigint"), ("n1", "bigint"))))
+    every = every.unionByName(info.select("c", F.lit(1).alias("row"), F.lit(0).alias("n"), F.lit(0).alias("level"), F.lit(None).cast("array<int>").alias("filled"), "part", F.col("less").cast("int").alias("less"), "key", "n0", "n1"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096).to_pydict()
-                levels = np.array(batch["level"])
-                for level in np.unique(levels):
-                    some = np.flatnonzero(levels == level)
-                    yield chosen(int(level), [batch["c"][k] for k in some], np.array([batch["n"][k] for k in some]), np.array([batch["filled"][k] for k in some]), [batch["info"][k] or [] for k in some])
-
-    def chosen(level: int, c: list[int], n: np.ndarray, filled: np.ndarray, info: list) -> pa.RecordBatch:
-        rows = [(k, x["part"], x["less"], x["key"], x["n0"], x["n1"]) for k, own in enumerate(info) for x in own]
-        k, part, less, key, n0, n1 = np.array(rows, dtype=np.int64).reshape(-1, 6).T
-        cost0 = np.where(filled > 0, 0, classes_count)
-        same = less == 0
+        held: list[pa.RecordBatch] = []  # rows of one class may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = batch.column(0).to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(c, c[-1]))
+            if held and (last or held[0].column(0)[0].as_py() != c[-1]):
+                yield from chosen([*held, batch.slice(0, last)])
+                held = []
+            elif last:
+                yield from chosen([batch.slice(0, last)])
+            held.append(batch.slice(last))
+        if held:
+            yield from chosen(held)
+
+    def chosen(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        column = lambda name: whole.column(name).to_numpy()
+        shape = column("row") == 0
+        c, n, level = (column(x)[shape].astype(np.int64) for x in ("c", "n", "level"))
+        filled = pa.concat_arrays(whole.column("filled").filter(pa.array(shape)).chunks)
+        starts = np.r_[0, np.cumsum(filled.value_lengths().to_numpy(zero_copy_only=False))]
+        filled = filled.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        part, less, key, n0, n1 = (column(x)[~shape].astype(np.int64) for x in ("part", "less", "key", "n0", "n1"))
+        owner = np.searchsorted(c, column("c")[~shape])
+        bounds = np.searchsorted(owner, np.arange(len(c) + 1))
+        for lv in np.unique(level):
+            same = np.flatnonzero(level == lv)
+            each = max(1, (1 << 21) // (PARTS << int(lv)))
+            for at in range(0, len(same), each):
+                some = same[at : at + each]
+                own = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in some])
+                k = np.repeat(np.arange(len(some)), bounds[some + 1] - bounds[some])
+                full = np.stack([filled[starts[r] : starts[r + 1]] for r in some])
+                yield planned(c[some], n[some], full, k, part[own], less[own], key[own], n0[own], n1[own])
+
+    def planned(c: np.ndarray, n: np.ndarray, filled: np.ndarray, k: np.ndarray, part: np.ndarray, less: np.ndarray, key: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> pa.RecordBatch:
+        cost0, same = np.zeros(filled.shape, dtype=np.int64), less == 0
         np.add.at(cost0, (k[same], part[same]), n0[same] - 1)
-        cost1 = np.where(filled > 0, cost0, 2 * classes_count) + np.where(filled == 1, classes_count, 0)
+        cost1 = cost0.copy()
         np.add.at(cost1, (k[same], part[same]), n1[same])
         np.add.at(cost1, (k[~same], part[~same]), n0[~same])
-        t = allocated(cost0, cost1, difference(n, num, den) + 1)
+        t, able = thresholds(np.where(filled > 0, cost0, FAR), np.where(filled > 1, cost1, FAR), difference(n, num, den) + 1)
         use = np.where(same, t[k, part] >= 0, t[k, part] >= 1)
         near = same & (t[k, part] >= 1)
-        empty = np.nonzero(((filled == 0) & (t >= 0)) | ((filled == 1) & (t >= 1)))
-        void_near = (filled[empty] == 0) & (t[empty] >= 1)
-        void = _key(np.full(len(empty[0]), level), empty[1], np.zeros(len(empty[0]), dtype=np.uint64)).view(np.int64)
-        who = np.concatenate([k[use], empty[0]])
-        ids = np.array(c, dtype=np.int64)
-        columns = [np.concatenate([key[use], void]), ids[who], n[who].astype(np.int32), np.concatenate([near[use], void_near]), np.repeat([False, True], [int(use.sum()), len(empty[0])])]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "c", "n", "near", "void"])
+        who = np.concatenate([k[use], np.flatnonzero(~able)])
+        gone = np.repeat([False, True], [int(use.sum()), int((~able).sum())])
+        pad = np.zeros(int((~able).sum()), dtype=np.int64)
+        columns = [pa.array(np.concatenate([key[use], pad]), mask=gone), pa.array(c[who]), pa.array(n[who].astype(np.int32)), pa.array(np.concatenate([near[use], pad > 0])), pa.array(np.concatenate([(n0 + n1)[use], pad]))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "c", "n", "near", "m"])
 
-    return shapes.mapInArrow(choose, "key bigint, c bigint, n int, near boolean, void boolean")
+    return every.repartition("c").sortWithinPartitions("c", "row").mapInArrow(choose, "key bigint, c bigint, n int, near boolean, m bigint")
 
 
 def near_classes(classes: DataFrame, work: Workspace, num: int, den: int) -> DataFrame:
     """(c, d), c < d: all pairs of classes whose sets are num / den similar or more; classes as in problem 4. Exact."""
     count = classes.count()
-    tokens = classes.select(F.explode("digests").alias("t")).groupBy("t").count().where(F.col("count") * COMMON > count)
-    common = np.array([r["t"] for r in tokens.select("t").collect()], dtype=np.int64).view(np.uint64)  # at most COMMON times the mean set size
+    tokens = work.write(classes.select(F.explode("digests").alias("t")).groupBy("t").agg(F.count("*").alias("held")), "tokens")
+    often = tokens.where(F.col("held") * COMMON > count).orderBy(F.desc("held"), "t").limit(MOST_COMMON)
+    common = np.array([r["t"] for r in often.select("t").collect()], dtype=np.int64).view(np.uint64)  # at most MOST_COMMON
     line = Line(common, np.arange(BITS))
     line = Line(common, chained(co_occurrence(classes, line), count))
     index = work.write(index_rows(classes, line, num, den), "index")
@@ -243,44 +326,36 @@ def near_classes(classes: DataFrame, work: Workspace, num: int, den: int) -> Dat
     sums = work.write(both.select("key", "m", "n0", "n1").where("m > 1"), "sums")
     work.release()
     total = sums.agg(F.sum("m")).first()[0] or 0
-    shared = work.write(lookup_by_count(index.select("key", "less", "c", "n", "part", "own"), sums, "key", "m", total).drop("m"), "shared")
+    shared = work.write(lookup_by_count(index.select("key", "less", "c", "n", "part", "own"), sums, "key", "m", total), "shared")
+    work.drop(index, sums)
     work.release()
-    info = shared.where("own").groupBy("c").agg(F.collect_list(F.struct("part", "less", "key", "n0", "n1")).alias("info"))
-    shapes = part_sizes(classes, line, num, den)
-    looked = work.write(probes(shapes.join(info, "c", "left").select("c", "n", "level", "filled", "info"), count, num, den), "probes")
+    looked = work.write(probes(part_sizes(classes, line, num, den), shared.where("own"), num, den), "probes")
     work.release()
-    fits = (F.col("c") != F.col("d")) & (F.col("m") <= F.col("n")) & (F.col("m") * den >= F.col("n") * num)
+    fits = (F.col("c") != F.col("d")) & (F.col("k") <= F.col("n")) & (F.col("k") * den >= F.col("n") * num)
     kind = (F.col("less") == 0) | F.col("near")
-    target = lambda rows: rows.select("key", "less", F.col("c").alias("d"), F.col("n").alias("m"))
-    met = looked.where("not void").join(target(shared), "key").where(fits & kind).select("c", "d")
-    void = looked.where("void")
-    if not void.isEmpty():
-        met = met.unionByName(void.join(target(index), "key").where(fits & kind).select("c", "d"))
-        met = met.unionByName(void.join(_void_rows(classes, line, num, den), "key").where(fits).select("c", "d"))
-    return verified(met.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct(), classes, num, den)
-
-
-def _void_rows(classes: DataFrame, line: Line, num: int, den: int) -> DataFrame:
-    """(key, d, m): the empty partitions of each class at every level that probes it."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, sizes = _flat(batch, "digests")
-            ids = batch.column(batch.schema.get_field_index("c")).to_numpy(zero_copy_only=False)
-            low, high = levels_of(sizes, num, den), levels_of(sizes * den // num, num, den)
-            starts = np.r_[0, np.cumsum(sizes)]
-            out: list[tuple[np.ndarray, int, int]] = []
-            for r in range(len(sizes)):
-                for level in range(int(low[r]), int(high[r]) + 1):
-                    parts = PARTS << level
-                    own = line.parts(tokens[starts[r] : starts[r + 1]], np.int64(parts))
-                    void = np.setdiff1d(np.arange(parts), own)
-                    out.append((_key(np.full(len(void), level), void, np.zeros(len(void), dtype=np.uint64)).view(np.int64), ids[r], sizes[r]))
-            width = [len(x[0]) for x in out]
-            columns = [np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.int64), np.repeat([x[1] for x in out], width).astype(np.int64), np.repeat([x[2] for x in out], width).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "d", "m"])
-
-    return classes.select("c", "digests").mapInArrow(rows, "key bigint, d bigint, m int")
+    # a key with many index rows is met piece by piece
+    pieces = F.ceil(F.col("m") / F.lit(PIECE)).cast("int")
+    asked = looked.where("key is not null").select("key", "c", "n", "near", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    held = shared.select("key", F.pmod(F.xxhash64("c"), pieces).cast("int").alias("piece"), "less", F.col("c").alias("d"), F.col("n").alias("k"))
+    met = asked.join(held, ["key", "piece"]).where(fits & kind).select("c", "d")
+    rest = looked.where("key is null").select("c")
+    if not rest.isEmpty():
+        met = met.unionByName(by_tokens(rest, classes, tokens, num, den))
+    pairs = work.write(met.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct(), "pairs")
+    work.drop(shared, looked)
+    work.release()
+    return verified(pairs, classes, num, den)
+
+
+def by_tokens(rest: DataFrame, classes: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """(c, d): candidates of some classes by the tokens they hold. A partner that is num / den similar holds that share of a
+    class's tokens at least, so also one of any larger number of them than it may lack; the rarest are taken."""
+    lists = classes.join(rest, "c", "left_semi").select("c", F.size("digests").alias("n"), F.explode("digests").alias("t")).join(tokens, "t")
+    rare = lists.groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("held", "t"))).alias("own"))
+    prefix = F.slice("own", F.lit(1), F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}").cast("int") + 1)
+    asked = rare.select("c", F.explode(prefix).alias("x")).select("c", "x.t")
+    holders = classes.select(F.col("c").alias("d"), F.explode("digests").alias("t"))
+    return asked.join(holders, "t").where("c <> d").select("c", "d").distinct()
 
 
 def near_copies(records: DataFrame, key: str, array: str, work: Workspace, num: int, den: int, least: int = 1, links: DataFrame | None = None) -> DataFrame:
