@@ -7,7 +7,7 @@ are settled by precedence, else a shift wins, else the earlier rule.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 from dataclasses import dataclass, field
 
 END = "$end"
@@ -204,9 +204,10 @@ def build(text: str) -> Tables:
     return Tables(actions, gotos, [(r[0], len(r[1])) for r in rules], conflicts, [r[1] for r in rules])
 
 
-def parse(tables: Tables, tokens: list[str], reduced: Callable[[int, int, int], bool] | None = None) -> int | None:
+def parse(tables: Tables, tokens: list[str], reduced: Callable[[int, int, int], bool] | None = None, asked: Container[int] = range(1 << 30)) -> int | None:
     """Parse the whole token stream: None where it is a text of the grammar, else the index of the first token that no
-    text with this beginning can have. ``reduced(rule, first, last)`` may reject a rule over tokens first..last - 1."""
+    text with this beginning can have. ``reduced(rule, first, last)`` may reject a rule over tokens first..last - 1; it is
+    asked about the rules in ``asked``."""
     actions, gotos, rules = tables.actions, tables.gotos, tables.rules
     stack, starts = [0], [0]
     state, k, n = 0, 0, len(tokens)
@@ -229,7 +230,7 @@ def parse(tables: Tables, tokens: list[str], reduced: Callable[[int, int, int],
             name, size = rules[rule]
             if reduced:
                 begin = starts[-size] if size else k
-                if not reduced(rule, begin, k):
+                if rule in asked and not reduced(rule, begin, k):
                     return k - 1
                 if size:
                     del starts[-size:]
