@@ -27,6 +27,13 @@ def _tables() -> dict[str, lr.Tables]:
     return {"json": lr.build(json_text.GRAMMAR), "python": lr.build(python_text.GRAMMAR), "erb": lr.build(erb_text.GRAMMAR), "ruby": erb_text.ruby_tables()}
 
 
+@lru_cache(maxsize=2)
+def _asked(language: str) -> frozenset[int]:
+    """The rules whose tokens are looked at: elements' tags must be a pair, and Python's ``python_text.CHECKED``."""
+    rules = _tables()[language].rules
+    return frozenset(k for k, r in enumerate(rules) if (r == ("node", 3) if language == "erb" else r[0] in python_text.CHECKED))
+
+
 def _line(text: str, place: int) -> int:
     return text.count("\n", 0, place) + 1
 
@@ -40,8 +47,7 @@ def first_error(text: str, language: str) -> tuple[int, str] | None:
         return None if k is None else _message(kinds, k, _line(text, places[k] if k < len(places) else len(text)))
     if language == "python":
         kinds, lines = python_text.tokens(text)
-        checked = {i: r[0] for i, r in enumerate(tables.rules) if r[0] in python_text.CHECKED}
-        k = lr.parse(tables, kinds, lambda rule, first, last: rule not in checked or python_text.fits(kinds, checked[rule], first, last))
+        k = lr.parse(tables, kinds, lambda rule, first, last: python_text.fits(kinds, tables.rules[rule][0], first, last), _asked(language))
         return None if k is None else _message(kinds, k, lines[k] if k < len(lines) else _line(text, len(text)))
     if language == "ruby":
         place = erb_text.ruby_error(text)
@@ -49,10 +55,9 @@ def first_error(text: str, language: str) -> tuple[int, str] | None:
     kinds, places, names, codes = erb_text.tokens(text)
 
     def reduced(rule: int, first: int, last: int) -> bool:
-        return kinds[first] != "OPEN" or first + 1 > last - 1 or kinds[last - 1] != "CLOSE" or names[first] == names[last - 1] if rule in pairs else True
+        return kinds[first] != "OPEN" or first + 1 > last - 1 or kinds[last - 1] != "CLOSE" or names[first] == names[last - 1]
 
-    pairs = {i for i, r in enumerate(tables.rules) if r == ("node", 3)}
-    k = lr.parse(tables, kinds, reduced)
+    k = lr.parse(tables, kinds, reduced, _asked(language))
     if k is not None:
         return _message(kinds, k, _line(text, places[k] if k < len(places) else len(text)))
     program = "\n".join(code for _, code in codes)
