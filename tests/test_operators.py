@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from twinspan.operators import clusters, contract, findings, fingerprints, fragments, identical, similarity
+from twinspan.operators import clusters, contract, findings, fingerprints, fragments, identical, similarity, skew
 from twinspan.sources import frontends
 from twinspan.work import Workspace
 
@@ -88,6 +88,40 @@ def test_stars_avoid_overlaps_and_null_digests(spark):
     assert got == {(1, 3), (2, 3)}
 
 
+def test_stars_go_both_ways_between_settings(spark):
+    """Every pair across is allowed and none within: all units of both classes are connected."""
+    rows = [unit(k, lines=5, floors=(2, 50)) for k in (1, 2, 3)] + [unit(k, lines=5, floors=(10, 20)) for k in (4, 5, 6)]
+    edges = [(r["a"], r["b"]) for r in identical.identical_stars(spark.createDataFrame(rows, UNIT)).collect()]
+    assert joined(edges) == dict.fromkeys(range(1, 7), 1)
+    assert all(a <= 3 < b for a, b in edges)
+
+
+def test_representatives(spark):
+    rows = [unit(3), unit(1), unit(2, lines=11), unit(7, digest=None), unit(8, digest=None), unit(5, floors=(5, 20))]
+    got = {tuple(r) for r in identical.representatives(spark.createDataFrame(rows, UNIT)).collect()}
+    assert got == {(1, 1), (3, 1), (2, 2), (7, 7), (8, 8), (5, 5)}
+
+
+def test_lookups_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "EASY", 10)
+    monkeypatch.setattr(skew, "HOT", 4)
+    rows = [(1 if k % 3 else k, k) for k in range(100)] + [(None, 5), (None, 6)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint")
+    stats = spark.createDataFrame([(k, -k) for k in range(60)], "k bigint, w bigint")
+    want = {(k, v, -k) for k, v in rows if k is not None and k < 60}
+    assert {tuple(r) for r in skew.lookup(df, stats, "k").collect()} == want
+    left = {tuple(r) for r in skew.lookup(df, stats, ["k"], "left").collect()}
+    assert left == want | {(k, v, None) for k, v in rows if k is None or k >= 60}
+    plan = skew.lookup(df, stats, "k")._jdf.queryExecution().toString()
+    assert "Union" in plan
+
+
+def test_numbers_in_order(spark):
+    df = spark.createDataFrame([(f"{k * 7919 % 1000:04d}",) for k in range(1000)], "x string").repartition(5)
+    got = sorted((r["x"], r["n"]) for r in skew.in_order(df, "x", "n", Workspace(spark, "t")).collect())
+    assert got == [(f"{k:04d}", k) for k in range(1000)]
+
+
 def test_stand_ins(spark):
     reps = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (9, 9)], "entry_id bigint, rep_id bigint")
     star = spark.createDataFrame([("d", 1, 3)], "root_digest string, a bigint, b bigint")
@@ -102,6 +136,8 @@ def test_fragment_caps(spark):
     assert fragments.fragment_pairs(places(100)).count() == 100 * 99 // 2
     star = fragments.fragment_pairs(places(101)).collect()
     assert len(star) == 100 and {r["a"] for r in star} == {0}
+    clashing = places(129).unionByName(spark.createDataFrame([(777, "s", "f0", 4, 8)], places(1).schema))
+    assert len(joined((r["a"], r["b"]) for r in fragments.fragment_pairs(clashing).collect())) == 130
 
 
 def test_large_groups_keep_the_components_of_all_pairs(spark):
@@ -135,7 +171,7 @@ def test_seed_caps(spark):
     rows = lambda n: spark.createDataFrame([(k, ["a", "b", "c"]) for k in range(n)] + [(900, ["a", "b", "c", "z"]), (901, []), (902, ["a"])], "seq_id bigint, digests array<string>")
     assert fragments.run_seeds(rows(49)).count() == 50 * 49 // 2
     star = fragments.run_seeds(rows(50)).collect()
-    assert len(star) == 50 and all(900 in (r["a"], r["b"]) for r in star)
+    assert len(star) == 50 and all(r["a"] == 0 for r in star)
 
 
 def test_seed_hub_spans_most_lines(spark):
@@ -201,7 +237,7 @@ def test_components(spark):
     assert got == joined([e for e in edges if e[0] != e[1]])
     assert clusters.components(df.limit(0), "a", "b", Workspace(spark, "t")).count() == 0
     members = spark.createDataFrame([(7, "b"), (7, "c"), (3, "a"), (9, "d")], "component bigint, key string")
-    assert {tuple(r) for r in clusters.numbered(members, "component", "key").collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
+    assert {tuple(r) for r in clusters.numbered(members, "component", "key", Workspace(spark, "t")).collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
 
 
 LOCATION = "loc_id bigint, component bigint, path string, start_line int, end_line int, size int, whole boolean, kind string, namespace string, identity string, language string, key string, structural string"

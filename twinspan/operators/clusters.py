@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinspan.operators.skew import in_order, lookup
 from twinspan.work import Workspace
 
 
@@ -16,29 +17,28 @@ def components(edges: DataFrame, a: str, b: str, work: Workspace) -> DataFrame:
     """
     lo, hi = F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
     now = work.write(edges.where((F.col(a) != F.col(b))).select(hi, lo).distinct().select(F.col("v").alias("u"), F.col("u").alias("v")), "edges")  # u > v
-    mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(least.select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = now.select(F.col("v").alias("u"), F.col("u").alias("v"))  # each vertex with its larger neighbours
+        large = lookup(up, least.select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = work.write(large.where("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        small = lookup(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         after = work.write(small.distinct(), "edges")
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         work.drop(now, large)
         now = after
-        if seen == mark:
+        # done when every vertex has one edge, to a vertex that has none
+        if now.groupBy("u").count().where("count > 1").isEmpty() and now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break
-        mark = seen
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def numbered(members: DataFrame, component: str, key: str) -> DataFrame:
+def numbered(members: DataFrame, component: str, key: str, work: Workspace) -> DataFrame:
     """(key, cluster): clusters numbered from 0 by their least key, for a snapshot's summary.
 
     Each component has one least key, so the numbers come from a sort of the components alone, not of the members.
     """
-    first = members.groupBy(component).agg(F.min(key).alias("_first"))
-    ranked = first.sort("_first").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF([component, "cluster"])
-    return members.join(ranked, component).select(key, "cluster")
+    rows = work.write(members.select(component, key), "members")
+    ranked = in_order(rows.groupBy(component).agg(F.min(key).alias("_first")), "_first", "cluster", work)
+    return lookup(rows, ranked.select(component, "cluster"), component).select(key, "cluster")

@@ -9,28 +9,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinspan.operators.skew import lookup
+from twinspan.work import Workspace
+
 #: Up to so many occurrences give all pairs, more a star.
 FRAGMENT_CAP, SEED_CAP = 100, 50
 
 
 def fragment_pairs(locations: DataFrame, cap: int = FRAGMENT_CAP) -> DataFrame:
-    """(signature, a, b), a < b: locations of equal signature that don't overlap; where more than cap occur, those with
-    the first, or, where locations have floors (min_lines, min_nodes), stars. Groups over the cap are linear and need no
-    group in one task: the first comes from an aggregation."""
+    """(signature, a, b), a < b: locations of equal signature that don't overlap; where more than cap occur, stars that
+    connect what those pairs would. Locations may have floors (min_lines, min_nodes, and size); without, every place fits.
+    Groups over the cap are linear and need no group in one task."""
     floors = ["size", "min_lines", "min_nodes"] if {"min_lines", "min_nodes"} <= set(locations.columns) else []
     known = locations.where("signature is not null").select("signature", "loc_id", "path", "start_line", "end_line", *floors)
-    counts = known.groupBy("signature").agg(F.count("*").alias("n"), F.min(F.struct("loc_id", "path", "start_line", "end_line")).alias("first")).where("n >= 2")
+    counts = known.groupBy("signature").agg(F.count("*").alias("n")).where("n >= 2")
     small = known.join(counts.where(F.col("n") <= cap).select("signature"), "signature")
     x, y = small.alias("x"), small.alias("y")
     clash = (F.col("x.path") == F.col("y.path")) & (F.col("x.start_line") <= F.col("y.end_line")) & (F.col("y.start_line") <= F.col("x.end_line"))
     every = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.loc_id") < F.col("y.loc_id")) & ~clash)
     every = every.select("x.signature", F.col("x.loc_id").alias("a"), F.col("y.loc_id").alias("b"))
-    large = known.join(counts.where(F.col("n") > cap).select("signature", "first"), "signature")
-    if floors:
-        return every.unionByName(class_stars(large))
-    meets = (F.col("path") == F.col("first.path")) & (F.col("start_line") <= F.col("first.end_line")) & (F.col("first.start_line") <= F.col("end_line"))
-    star = large.where((F.col("loc_id") != F.col("first.loc_id")) & ~meets).select("signature", F.col("first.loc_id").alias("a"), F.col("loc_id").alias("b"))
-    return every.unionByName(star)
+    large = lookup(known, counts.where(F.col("n") > cap).select("signature"), "signature")
+    if not floors:
+        large = large.withColumns({"size": F.lit(1), "min_lines": F.lit(0), "min_nodes": F.lit(0)})
+    return every.unionByName(class_stars(large))
 
 
 def class_stars(locations: DataFrame) -> DataFrame:
@@ -38,33 +39,39 @@ def class_stars(locations: DataFrame) -> DataFrame:
     to a hub of the other class that does and that it doesn't overlap, wherever there is one.
 
     Locations also have size, min_lines and min_nodes. The hub is a class's first; for locations that overlap it the first
-    in another file; where all are in one file, the one that ends first or the one that starts last.
+    in another file; where all are in one file, the one that ends first or the one that starts last. A group's settings
+    classes are few, its locations may be any number: they are looked at one by one.
     """
     clash = lambda h: (F.col("path") == F.col(f"{h}.path")) & (F.col("start_line") <= F.col(f"{h}.end_line")) & (F.col(f"{h}.start_line") <= F.col("end_line"))
-    member = F.struct("loc_id", "path", "start_line", "end_line").alias("m")
-    cut = locations.select("signature", "loc_id", "path", "start_line", "end_line", "size", F.struct("min_lines", "min_nodes").alias("own"))
-    met = cut.join(cut.select("signature", F.col("own").alias("other")).distinct(), "signature")
+    work = Workspace(locations.sparkSession, "stars")
+    own = F.struct("min_lines", "min_nodes").alias("own")
+    cut = work.write(locations.select("signature", "loc_id", "path", "start_line", "end_line", "size", own), "cut")
+    classes = cut.groupBy("signature", "own").agg(F.count("*").alias("n")).groupBy("signature").agg(F.collect_list("own").alias("others"), F.sum("n").alias("n")).where("n >= 2")
+    met = lookup(cut, classes.select("signature", "others"), "signature").withColumn("other", F.explode("others"))
     lines = F.col("end_line") - F.col("start_line") + 1
     met = met.where((lines >= F.least("own.min_lines", "other.min_lines")) & (F.col("size") >= F.least("own.min_nodes", "other.min_nodes")))
-    met = met.select("signature", "own", "other", "loc_id", "path", "start_line", "end_line", member)
+    met = work.write(met.select("signature", "own", "other", "loc_id", "path", "start_line", "end_line", F.struct("loc_id", "path", "start_line", "end_line").alias("m")), "met")
     group = ["signature", "own", "other"]
-    firsts = met.groupBy(*group).agg(F.min("m").alias("h1"))
-    hubs = met.join(firsts, group).groupBy(*group, "h1").agg(
-        F.min(F.when(F.col("path") != F.col("h1.path"), F.col("m"))).alias("h2"), F.min_by("m", F.struct("end_line", "loc_id")).alias("lo"), F.max_by("m", F.struct("start_line", "loc_id")).alias("hi")
+    # of each file first, so that a group's rows are few when they meet
+    of_file = met.groupBy(*group, "path").agg(F.min("m").alias("m"), F.min_by("m", F.struct("end_line", "loc_id")).alias("lo"), F.max_by("m", F.struct("start_line", "loc_id")).alias("hi"))
+    of_file = work.write(of_file, "of_file")
+    firsts = of_file.groupBy(*group).agg(F.min("m").alias("h1"))
+    hubs = lookup(of_file, firsts, group).groupBy(*group, "h1").agg(
+        F.min(F.when(F.col("path") != F.col("h1.path"), F.col("m"))).alias("h2"), F.min_by("lo", F.struct("lo.end_line", "lo.loc_id")).alias("lo"), F.max_by("hi", F.struct("hi.start_line", "hi.loc_id")).alias("hi")
     )
     facing = hubs.select("signature", F.col("own").alias("other"), F.col("other").alias("own"), "h1", "h2", "lo", "hi")
     hub = F.when(~clash("h1"), F.col("h1")).when(F.col("h2").isNotNull(), F.col("h2")).when(~clash("lo"), F.col("lo")).when(~clash("hi"), F.col("hi"))
-    edges = met.join(facing, group).select("signature", "loc_id", hub["loc_id"].alias("h")).where("h is not null")
+    edges = lookup(met, facing, group).select("signature", "loc_id", hub["loc_id"].alias("h")).where("h is not null")
     return edges.select("signature", F.least("h", "loc_id").alias("a"), F.greatest("h", "loc_id").alias("b")).distinct()
 
 
 def run_seeds(sequences: DataFrame, cap: int = SEED_CAP) -> DataFrame:
     """(gram, a, i, b, j): places of equal three digests, (a, i) before (b, j); where more than cap occur, those with the
-    one that spans most lines, as one squeezed onto few fails the floor of lines with all others. Sequences without lines
-    give the one in the longest sequence. Of equals the first."""
+    one that spans most lines, as one squeezed onto few fails the floor of lines with all others; of equals, and where
+    sequences have no lines, the first."""
     known = {"starts", "ends"} <= set(sequences.columns)
-    grams = sequences.select("seq_id", F.size("digests").alias("length"), *(["starts", "ends"] if known else []), F.expr("explode(transform(if(size(digests) >= 3, sequence(0, size(digests) - 3), array()), i -> struct(cast(i as int) as at, array_join(slice(digests, cast(i as int) + 1, 3), ' ') as gram)))").alias("g"))
-    reach = F.expr("ends[g.at + 2] - starts[g.at]") if known else F.col("length")
+    grams = sequences.select("seq_id", *(["starts", "ends"] if known else []), F.expr("explode(transform(if(size(digests) >= 3, sequence(0, size(digests) - 3), array()), i -> struct(cast(i as int) as at, array_join(slice(digests, cast(i as int) + 1, 3), ' ') as gram)))").alias("g"))
+    reach = F.expr("ends[g.at + 2] - starts[g.at]") if known else F.lit(0)
     grams = grams.select("seq_id", reach.alias("reach"), F.col("g.at").alias("at"), F.col("g.gram").alias("gram"))
     place = F.struct((-F.col("reach")).alias("l"), "seq_id", "at")
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min(place).alias("hub")).where("n >= 2")

@@ -7,9 +7,12 @@ n * n; every pair that its own settings allow is connected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinspan.operators.fragments import class_stars
+from twinspan.operators.skew import lookup
+
 
 def identical_groups(units: DataFrame) -> DataFrame:
     """(root_digest, members, first_id) of the digests that two units or more have."""
@@ -17,39 +20,21 @@ def identical_groups(units: DataFrame) -> DataFrame:
     return known.groupBy("root_digest").agg(F.count("*").alias("members"), F.min("entry_id").alias("first_id")).where("members >= 2")
 
 
-
 def identical_stars(units: DataFrame) -> DataFrame:
-    """(root_digest, a, b): per group and pair of settings classes, the first unit that meets the pair's floors joined to
-    every other that does and doesn't overlap it; those that overlap it are joined to the first that doesn't."""
-    lines = F.col("end_line") - F.col("start_line") + 1
-    own = F.struct("min_lines", "min_nodes")
-    cut = units.where("root_digest is not null").select("root_digest", "entry_id", "path", "start_line", "end_line", "node_count", lines.alias("lines"), own.alias("own"))
-    classes = cut.select("root_digest", F.col("own").alias("other")).distinct()
-    met = cut.join(classes, "root_digest")  # a unit for each settings class in its group
-    fits = (F.col("lines") >= F.least("own.min_lines", "other.min_lines")) & (F.col("node_count") >= F.least("own.min_nodes", "other.min_nodes"))
-    member = F.struct("entry_id", "path", "start_line", "end_line")
-    met = met.where(fits).select("root_digest", "own", "other", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), member.alias("m"))
-    group = ["root_digest", "x", "y"]
-    # the hub comes from the lower class; within one class from the class itself
-    hubs = met.where(F.col("own") == F.col("x")).groupBy(*group).agg(F.min("m").alias("hub"))
-    spokes = met.where((F.col("own") == F.col("y")) | (F.col("x") == F.col("y"))).join(hubs, group)
-    clash = (F.col("m.path") == F.col("hub.path")) & (F.col("m.start_line") <= F.col("hub.end_line")) & (F.col("hub.start_line") <= F.col("m.end_line"))
-    direct = spokes.where(~clash).select("root_digest", F.col("hub.entry_id").alias("h"), F.col("m.entry_id").alias("s"))
-    rest = spokes.where(clash & (F.col("m.entry_id") != F.col("hub.entry_id")))
-    second = spokes.where(~clash).groupBy(*group).agg(F.min("m").alias("next"))
-    apart = rest.join(second, group).where(~((F.col("m.path") == F.col("next.path")) & (F.col("m.start_line") <= F.col("next.end_line")) & (F.col("next.start_line") <= F.col("m.end_line"))))
-    indirect = apart.select("root_digest", F.col("next.entry_id").alias("h"), F.col("m.entry_id").alias("s"))
-    edges = direct.unionByName(indirect).where("h <> s")
-    return edges.select("root_digest", F.least("h", "s").alias("a"), F.greatest("h", "s").alias("b")).distinct()
+    """(root_digest, a, b), a < b: per group and pair of settings classes, every unit that meets the pair's floors joined to
+    one of the other class that does and that it doesn't overlap, wherever there is one. See ``fragments.class_stars``."""
+    known = units.where("root_digest is not null")
+    stars = class_stars(known.select(F.col("root_digest").alias("signature"), F.col("entry_id").alias("loc_id"), "path", "start_line", "end_line", F.col("node_count").alias("size"), "min_lines", "min_nodes"))
+    return stars.withColumnRenamed("signature", "root_digest")
 
 
 def representatives(units: DataFrame) -> DataFrame:
     """(entry_id, rep_id): per root digest, settings and lines, the first unit stands for all; units without a digest stand
     for themselves."""
     lines = (F.col("end_line") - F.col("start_line") + 1).alias("lines")
-    cut = units.select("entry_id", F.coalesce("root_digest", F.concat(F.lit("#"), F.col("entry_id"))).alias("bucket"), "threshold", "min_lines", "min_nodes", lines)
-    w = Window.partitionBy("bucket", "threshold", "min_lines", "min_nodes", "lines")
-    return cut.select("entry_id", F.min("entry_id").over(w).alias("rep_id"))
+    own = F.xxhash64("threshold", "min_lines", "min_nodes", lines)  # of a digest's few settings and numbers of lines
+    cut = units.select("entry_id", F.coalesce("root_digest", F.concat(F.lit("#"), F.col("entry_id"))).alias("bucket"), own.alias("own"))
+    return lookup(cut, cut.groupBy("bucket", "own").agg(F.min("entry_id").alias("rep_id")), ["bucket", "own"]).select("entry_id", "rep_id")
 
 
 def stood_in(pairs: DataFrame, reps: DataFrame, star: DataFrame) -> DataFrame:

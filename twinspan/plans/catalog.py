@@ -100,7 +100,11 @@ def identical_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def identical_star(spark: SparkSession, folder: str) -> DataFrame:
-    return identical.identical_stars(inputs.units(spark, folder))
+    """Identical units that their settings allow to pair, with the least unit they are connected to by stars."""
+    work = Workspace(spark, "stars")
+    star = work.write(identical.identical_stars(inputs.units(spark, folder)), "star")
+    linked = clusters.components(star, "a", "b", work).withColumnsRenamed({"id": "entry_id", "component": "group_id"})
+    return linked.join(star.select(F.col("a").alias("group_id"), "root_digest").distinct(), "group_id").select("root_digest", "entry_id", "group_id")
 
 
 def bucket_representatives(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,12 +121,25 @@ def stand_in_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fragment_groups(spark: SparkSession, folder: str) -> DataFrame:
-    rows = inputs.places(spark, folder).where("not whole and signature is not null")
-    return rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("loc_id").alias("first_id")).where("n >= 2")
+    """Lines that occur more than once in the documents."""
+    rows = inputs.line_places(spark, folder)
+    return rows.groupBy("signature").agg(F.count("*").alias("n"), F.min("loc_id").alias("first_id")).where("n >= 2").select("first_id", "n")
 
 
 def fragment_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return fragments.fragment_pairs(inputs.places(spark, folder).where("not whole"))
+    """Pairs of equal lines of the documents; of lines that occur more than 100 times a star."""
+    return fragments.fragment_pairs(Workspace(spark, "lines").write(inputs.line_places(spark, folder), "places")).select("a", "b")
+
+
+def fragment_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Equal lines of the documents, connected by pairs and stars under two settings: lines of two documents with odd numbers
+    are too small for each other's floor, so only pairs with a document of an even number are allowed."""
+    work = Workspace(spark, "lines")
+    rows = inputs.line_places(spark, folder)
+    odd = F.col("path").cast("bigint") % 2 == 1
+    placed = work.write(rows.withColumns({"size": F.lit(5), "min_lines": F.lit(1), "min_nodes": F.when(odd, F.lit(6)).otherwise(F.lit(1))}), "places")
+    edges = work.write(fragments.fragment_pairs(placed, cap=3).join(placed.select(F.col("loc_id").alias("a"), F.col("min_nodes").alias("ma")), "a").join(placed.select(F.col("loc_id").alias("b"), F.col("min_nodes").alias("mb")), "b").where("least(ma, mb) <= 5"), "edges")
+    return clusters.components(edges, "a", "b", work).withColumnsRenamed({"id": "loc_id", "component": "group_id"})
 
 
 def _subtrees(spark: SparkSession, folder: str) -> DataFrame:
@@ -351,7 +368,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         src_filter, src_flags, generated_files, digest_weights, entry_totals, prefix_digests, unit_sim_pairs, unit_sim_pairs_65, mixed_threshold_pairs, basket_sim_pairs, document_sim_pairs,
-        explain_pair, identical_groups, identical_star, bucket_representatives, stand_in_pairs, fragment_groups, fragment_pairs, fragment_ordinals, subtree_pairs, run_seeds, run_islands, run_extended, match_pruned,
+        explain_pair, identical_groups, identical_star, bucket_representatives, stand_in_pairs, fragment_groups, fragment_pairs, fragment_links, fragment_ordinals, subtree_pairs, run_seeds, run_islands, run_extended, match_pruned,
         match_clusters, finding_locations, finding_ends, finding_payoffs, finding_kinds, base_labels, label_counts, findings_ranked, contracted_pairs, top20_contracted, settings_per_unit, settings_floors, ref_hits,
         most_specific_ref, kept_matches, unknown_refs, markdown_blocks, tree_nodes, source_units, sweep_matches, report_json,
     )

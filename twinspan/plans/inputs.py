@@ -59,9 +59,16 @@ def existing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(seq_id, digests): each document's lines."""
+    """(seq_id, digests, starts, ends): each document's lines that aren't blank, and their numbers."""
     found = text_fingerprints(table(spark, folder, "documents").where("doc_id is not null"), "doc_id", "text")
-    return found.select(F.col("doc_id").alias("seq_id"), F.col("lines").alias("digests")).where("size(digests) > 0")
+    return found.select(F.col("doc_id").alias("seq_id"), F.col("lines").alias("digests"), F.col("at").alias("starts"), F.col("at").alias("ends")).where("size(digests) > 0")
+
+
+def line_places(spark: SparkSession, folder: str) -> DataFrame:
+    """(loc_id, signature, path, start_line, end_line): every line of every document as a fragment of one line."""
+    lines = document_lines(spark, folder).select("seq_id", F.explode(F.arrays_zip("digests", "starts")).alias("x"))
+    line = F.col("x.starts")
+    return lines.select((F.col("seq_id") * (1 << 20) + line).alias("loc_id"), F.col("x.digests").alias("signature"), F.col("seq_id").cast("string").alias("path"), line.alias("start_line"), line.alias("end_line"))
 
 
 def changed(spark: SparkSession, folder: str) -> DataFrame:

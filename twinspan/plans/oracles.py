@@ -45,12 +45,13 @@ _LOST = f"""WITH {_EXISTING}, {_PLACES}, old AS (SELECT a, b, coalesce({_SCORE},
     less AS (SELECT sa, sb, count(*) - coalesce((SELECT count(*) FROM head h WHERE h.sa = base.sa AND h.sb = base.sb), 0) AS lost FROM base GROUP BY sa, sb),
     gone AS (SELECT *, row_number() OVER (PARTITION BY sa, sb ORDER BY ka, kb, score) AS k FROM base JOIN less USING (sa, sb) WHERE NOT EXISTS (SELECT 1 FROM head h WHERE h.ka = base.ka AND h.kb = base.kb))
     SELECT ka, kb, round(score, 6) AS score FROM gone WHERE k <= lost"""
-_LINES = r"""line AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda l: list_filter(string_split_regex(l, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')), lambda l: len(l) > 0) AS ws FROM documents WHERE text IS NOT NULL)"""
-_GRAMS = f"""WITH {_LINES}, seq AS (SELECT doc_id AS id, list_transform(ws, lambda l: array_to_string(l, ' ')) AS l FROM line WHERE len(ws) > 0),
-    pos AS (SELECT id, len(l) AS n, unnest(range(0, greatest(len(l) - 2, 0))) AS i, l FROM seq), gram AS (SELECT id, n, i, l[i + 1] || chr(1) || l[i + 2] || chr(1) || l[i + 3] AS g FROM pos),
-    cnt AS (SELECT g, count(*) AS c, min((-n, id, i)) AS hub FROM gram GROUP BY g HAVING count(*) >= 2),
+_LINES = r"""raw AS (SELECT doc_id, list_transform(string_split_regex(text, '\r?\n'), lambda l: list_filter(string_split_regex(l, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS r FROM documents WHERE text IS NOT NULL),
+    line AS (SELECT doc_id, list_filter(r, lambda l: len(l) > 0) AS ws, list_filter(range(1, len(r) + 1), lambda k: len(r[k]) > 0) AS ln FROM raw)"""
+_GRAMS = f"""WITH {_LINES}, seq AS (SELECT doc_id AS id, list_transform(ws, lambda l: array_to_string(l, ' ')) AS l, ln FROM line WHERE len(ws) > 0),
+    pos AS (SELECT id, ln, unnest(range(0, greatest(len(l) - 2, 0))) AS i, l FROM seq), gram AS (SELECT id, ln[i + 1] - ln[i + 3] AS n, i, l[i + 1] || chr(1) || l[i + 2] || chr(1) || l[i + 3] AS g FROM pos),
+    cnt AS (SELECT g, count(*) AS c, min((n, id, i)) AS hub FROM gram GROUP BY g HAVING count(*) >= 2),
     seed AS (SELECT x.id AS a, x.i AS i, y.id AS b, y.i AS j FROM gram x JOIN gram y ON x.g = y.g AND (x.id, x.i) < (y.id, y.i) JOIN cnt ON cnt.g = x.g
-    WHERE c <= 50 OR (-x.n, x.id, x.i) = hub OR (-y.n, y.id, y.i) = hub)"""
+    WHERE c <= 50 OR (x.n, x.id, x.i) = hub OR (y.n, y.id, y.i) = hub)"""
 _REFS = f"""WITH {_UNITS}, ref AS (SELECT identity AS text FROM unit WHERE kind = 'method' UNION SELECT split_part(namespace, '::', 1) FROM unit WHERE namespace IS NOT NULL
     UNION SELECT split_part(namespace, '::', 1) || '::*' FROM unit WHERE contains(namespace, '::')
     UNION SELECT array_to_string(string_split(identity, '/')[1:2], '/') || '/*' FROM unit WHERE kind = 'template'),
@@ -66,14 +67,12 @@ _ALLOWED = r"""(NOT regexp_matches({0}, '(^|/)\.') AND split_part({0}, '/', 1) N
     AND NOT regexp_matches({0}, '^((engines|packs|components|gems)/[^/]+/)?(db|config)/') AND NOT starts_with({0}, 'app/assets/builds/'))"""
 _TEST = r"(regexp_matches({0}, '(^|/)(spec|test)/') OR regexp_matches({0}, '_(spec|test)\.rb$'))"
 _SIMILAR = f"WITH {_SETS}, {_WEIGHTS}, {_PAIRS}"
-_STAR = f"""WITH {_UNITS}, u AS (SELECT root_digest, entry_id, path, start_line, end_line, node_count, end_line - start_line + 1 AS lines, (min_lines, min_nodes) AS own, min_lines AS ml, min_nodes AS mn FROM unit WHERE root_digest IS NOT NULL),
-    cls AS (SELECT DISTINCT root_digest, own AS other, ml AS oml, mn AS omn FROM u),
-    met AS (SELECT u.*, least(own, other) AS x, greatest(own, other) AS y FROM u JOIN cls USING (root_digest) WHERE lines >= least(ml, oml) AND node_count >= least(mn, omn)),
-    hub AS (SELECT root_digest, x, y, min((entry_id, path, start_line, end_line)) AS h FROM met WHERE own = x GROUP BY ALL),
-    spoke AS (SELECT met.root_digest, x, y, entry_id, path, start_line, end_line, h, (path = h[2] AND start_line <= h[4] AND h[3] <= end_line) AS clash FROM met JOIN hub USING (root_digest, x, y) WHERE own = y OR x = y),
-    nxt AS (SELECT root_digest, x, y, min((entry_id, path, start_line, end_line)) AS m FROM spoke WHERE NOT clash GROUP BY ALL),
-    star AS (SELECT root_digest, least(h[1], entry_id) AS a, greatest(h[1], entry_id) AS b FROM spoke WHERE NOT clash AND h[1] <> entry_id
-    UNION SELECT root_digest, least(m[1], entry_id), greatest(m[1], entry_id) FROM spoke JOIN nxt USING (root_digest, x, y) WHERE clash AND entry_id <> h[1] AND m[1] <> entry_id AND NOT (path = m[2] AND start_line <= m[4] AND m[3] <= end_line))"""
+_STAR = f"""WITH RECURSIVE {_UNITS}, u AS (SELECT root_digest, entry_id, path, start_line, end_line, node_count, end_line - start_line + 1 AS lines, min_lines AS ml, min_nodes AS mn FROM unit WHERE root_digest IS NOT NULL),
+    allowed AS (SELECT x.root_digest, x.entry_id AS a, y.entry_id AS b FROM u x JOIN u y ON x.root_digest = y.root_digest AND x.entry_id <> y.entry_id WHERE least(x.lines, y.lines) >= least(x.ml, y.ml)
+    AND least(x.node_count, y.node_count) >= least(x.mn, y.mn) AND NOT (x.path = y.path AND x.start_line <= y.end_line AND y.start_line <= x.end_line))"""
+_SPOTS = r"""spot AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS t, unnest(range(1, len(string_split_regex(text, '\r?\n')) + 1)) AS ln FROM documents WHERE text IS NOT NULL),
+    place AS (SELECT doc_id, ln, doc_id * 1048576 + ln AS id, array_to_string(list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''), ' ') AS t FROM spot WHERE trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')"""
+
 
 ORACLES: dict[str, str] = {
     "src_filter": f"SELECT DISTINCT file_path AS path, {_LANGUAGE.format('file_path')} AS language FROM source_files WHERE {_LANGUAGE.format('file_path')} IS NOT NULL AND {_ALLOWED.format('file_path')} AND NOT {_TEST.format('file_path')}",
@@ -96,14 +95,16 @@ ORACLES: dict[str, str] = {
     "explain_pair": f"""WITH {_SETS}, {_WEIGHTS}, two AS (SELECT d, max(w) AS w, count(*) AS n FROM weighted WHERE id IN (1, 2) GROUP BY d)
         SELECT 1::BIGINT AS a, 2::BIGINT AS b, coalesce(sum(w) FILTER (n = 2), 0)::BIGINT AS shared_w, coalesce(sum(w), 0)::BIGINT AS union_w, count(*) FILTER (n = 2) AS shared_digests, count(*) AS union_digests FROM two""",
     "identical_groups": f"WITH {_UNITS} SELECT root_digest, count(*) AS members, min(entry_id) AS first_id FROM unit WHERE root_digest IS NOT NULL GROUP BY root_digest HAVING count(*) >= 2",
-    "identical_star": f"{_STAR} SELECT * FROM star",
+    "identical_star": f"{_STAR}, reach(d, id, seen) AS (SELECT root_digest, a, a FROM allowed UNION SELECT root_digest, a, b FROM allowed UNION SELECT d, id, b FROM reach JOIN allowed ON seen = a) SELECT d AS root_digest, id AS entry_id, min(seen) AS group_id FROM reach GROUP BY d, id",
     "bucket_representatives": f"WITH {_UNITS} SELECT entry_id, min(entry_id) OVER (PARTITION BY coalesce(root_digest, '#' || entry_id), threshold, min_lines, min_nodes, end_line - start_line) AS rep_id FROM unit",
     "stand_in_pairs": f"""{_STAR}, {_SETS}, {_WEIGHTS.replace("weighted AS (SELECT id, d, df, w FROM held JOIN df USING (d))", "rep AS (SELECT entry_id, min(entry_id) OVER (PARTITION BY coalesce(root_digest, '#' || entry_id), threshold, min_lines, min_nodes, end_line - start_line) AS rep_id FROM unit), weighted AS (SELECT id, d, df, w FROM held JOIN df USING (d) WHERE id IN (SELECT rep_id FROM rep))")}, {_PAIRS},
-        near AS (SELECT * FROM pairs WHERE shared_w * 5 >= union_w * 4), alone AS (SELECT * FROM rep WHERE entry_id <> rep_id AND entry_id NOT IN (SELECT a FROM star UNION SELECT b FROM star))
+        near AS (SELECT * FROM pairs WHERE shared_w * 5 >= union_w * 4), alone AS (SELECT * FROM rep WHERE entry_id <> rep_id AND entry_id NOT IN (SELECT a FROM allowed))
         SELECT * FROM near UNION SELECT least(entry_id, b), greatest(entry_id, b), shared_w, union_w FROM near JOIN alone ON a = rep_id UNION SELECT least(entry_id, a), greatest(entry_id, a), shared_w, union_w FROM near JOIN alone ON b = rep_id""",
-    "fragment_groups": f"WITH {_PLACES} SELECT signature, count(*) AS n, min(loc_id) AS first_id FROM place WHERE NOT whole AND signature IS NOT NULL GROUP BY signature HAVING count(*) >= 2",
-    "fragment_pairs": f"""WITH {_PLACES}, f AS (SELECT *, count(*) OVER (PARTITION BY signature) AS n, min(loc_id) OVER (PARTITION BY signature) AS h FROM place WHERE NOT whole AND signature IS NOT NULL)
-        SELECT x.signature, x.loc_id AS a, y.loc_id AS b FROM f x JOIN f y ON x.signature = y.signature AND x.loc_id < y.loc_id WHERE NOT (x.path = y.path AND x.start_line <= y.end_line AND y.start_line <= x.end_line) AND (x.n <= 100 OR x.loc_id = x.h)""",
+    "fragment_groups": f"WITH {_SPOTS} SELECT min(id) AS first_id, count(*) AS n FROM place GROUP BY t HAVING count(*) >= 2",
+    "fragment_pairs": f"""WITH {_SPOTS}, f AS (SELECT *, count(*) OVER (PARTITION BY t) AS n, min(id) OVER (PARTITION BY t) AS h FROM place)
+        SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.t = y.t AND x.id < y.id WHERE x.n <= 100 OR x.id = x.h""",
+    "fragment_links": f"""WITH {_SPOTS}, g AS (SELECT t, min(id) AS least, min(CASE WHEN doc_id % 2 = 0 THEN id END) AS even, count(*) FILTER (doc_id % 2 = 0) AS evens, count(*) AS n FROM place GROUP BY t)
+        SELECT id AS loc_id, g.least AS group_id FROM place JOIN g USING (t) WHERE n >= 2 AND evens >= 1""",
     "fragment_ordinals": f"WITH {_PLACES} SELECT loc_id, row_number() OVER (PARTITION BY entry_id, signature ORDER BY start_line, end_line, loc_id)::INT AS ordinal FROM place WHERE NOT whole AND signature IS NOT NULL",
     "run_seeds": f"{_GRAMS} SELECT DISTINCT a, i::INT AS i, b, j::INT AS j FROM seed",
     "run_islands": f"""{_GRAMS} SELECT a, b, diagonal::INT AS diagonal, min(i)::INT AS first, (max(i) + 2)::INT AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, diagonal ORDER BY i) AS island

@@ -46,7 +46,7 @@ def sweep(spark, read: DataFrame, contract: Contract, work: Workspace, include_t
     sources = work.write(files.source_files(good, include_tests, "text"), "sources")
     rows = work.write(units.read_units(sources, "path", "path", "language", "text"), "read")
     paths = sources.select(F.col("path").alias("file_key"), "path")
-    listed = work.write(units.numbered_units(rows, paths).select("entry_id", "path", "kind", "identity", "namespace", "name", "start_line", "end_line", "language", "nodes"), "units")
+    listed = work.write(units.numbered_units(rows, paths, work).select("entry_id", "path", "kind", "identity", "namespace", "name", "start_line", "end_line", "language", "nodes"), "units")
     errors = bad.unionByName(units.unit_errors(rows, paths))
     nodes = work.write(units.unit_nodes(listed), "nodes")
     roots = nodes.where("parent < 0").select("entry_id", F.col("digest").alias("root_digest"), F.col("size").alias("node_count"))

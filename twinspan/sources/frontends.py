@@ -56,15 +56,15 @@ def _text_digest(kind: str, label: Column, children: Column | None = None) -> Co
 
 
 def text_fingerprints(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, digests, lines): a text as a tree of lines of words: the distinct digests of its words, lines and whole, and
-    its lines' digests in order. Blank lines have no node; null texts give no row. All inside the engine."""
+    """(key, digests, lines, at): a text as a tree of lines of words: the distinct digests of its words, lines and whole, its
+    lines' digests in order, and their numbers. Blank lines have no node; null texts give no row. All inside the engine."""
     rows = documents.where(F.col(text).isNotNull()).select(key, F.split(text, r"\r?\n").alias("_l"))
-    words = F.transform("_l", lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != ""))
-    rows = rows.select(key, F.filter(words, lambda x: F.size(x) > 0).alias("_w"))
-    digests = rows.select(key, F.transform("_w", lambda x: F.transform(x, lambda w: _text_digest("word", w))).alias("_d"))
-    lines = digests.select(key, "_d", F.transform("_d", lambda x: _text_digest("line", F.lit(""), x)).alias("lines"))
+    words = F.transform("_l", lambda x, i: F.struct(F.filter(F.split(x, r"\s+"), lambda w: w != "").alias("w"), (i + 1).alias("at")))
+    rows = rows.select(key, F.filter(words, lambda x: F.size(x["w"]) > 0).alias("_s")).select(key, F.col("_s.w").alias("_w"), F.col("_s.at").alias("at"))
+    digests = rows.select(key, "at", F.transform("_w", lambda x: F.transform(x, lambda w: _text_digest("word", w))).alias("_d"))
+    lines = digests.select(key, "at", "_d", F.transform("_d", lambda x: _text_digest("line", F.lit(""), x)).alias("lines"))
     whole = _text_digest("text", F.lit(""), F.col("lines"))
-    return lines.select(key, F.array_distinct(F.concat(F.flatten("_d"), "lines", F.array(whole))).alias("digests"), "lines")
+    return lines.select(key, F.array_distinct(F.concat(F.flatten("_d"), "lines", F.array(whole))).alias("digests"), "lines", "at")
 
 
 def basket_sets(rows: DataFrame, key: str, item: str) -> DataFrame:

@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinspan.operators.skew import in_order
 from twinspan.sources import erb, ruby
 from twinspan.sources.frontends import NODE_TYPES, NODES, tree_rows
+from twinspan.work import Workspace
 
 UNITS = "file_key string, unit_no int, kind string, identity string, namespace string, name string, start_line int, end_line int, language string, error_line int, error string, nodes array<struct<preorder:int,subtree_end:int,parent:int,pos:int,depth:int,kind:string,label:string,start_line:int,end_line:int,is_sequence:boolean,digest:string,size:int,child_digests:array<string>>>"
 _NODE = pa.struct(list(zip([x.split()[0] for x in NODES.split(", ")][1:], NODE_TYPES, strict=True)))
@@ -51,11 +53,11 @@ def read_units(files: DataFrame, key: str, path: str, language: str, text: str)
 _BITS = 20
 
 
-def numbered_units(rows: DataFrame, paths: DataFrame) -> DataFrame:
+def numbered_units(rows: DataFrame, paths: DataFrame, work: Workspace) -> DataFrame:
     """(entry_id, path, ...): units numbered in the order of path and place in the file, with gaps between files. paths:
     (file_key, path). Files are ranked by a distributed sort and counts per partition; no task sees all of them."""
     good = rows.where("error is null").join(paths, "file_key")
-    ranked = good.select("path").distinct().sort("path").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("path string, _rank bigint")
+    ranked = in_order(good.select("path").distinct(), "path", "_rank", work)
     order = F.row_number().over(Window.partitionBy("path").orderBy("unit_no"))
     return good.withColumn("_own", order).join(ranked, "path").withColumn("entry_id", F.shiftleft("_rank", _BITS) + F.col("_own")).drop("_own", "_rank")
 
