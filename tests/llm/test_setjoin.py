@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from twinspan.llm import setjoin
 from twinspan.work import Workspace
 
@@ -83,5 +85,61 @@ def test_repeated_rows_and_empty(spark):
 
 
 def test_recall_is_planned():
-    assert setjoin.tree_count(0.8, 0.9999, 3) == 13
+    assert setjoin.tree_count(0.8, 0.9999) == 15
     assert setjoin.sketch_limit(0.8) < 40
+    for threshold in (0.5, 0.6, 0.7, 0.8, 0.9):
+        assert setjoin.branches(threshold) * threshold >= 1.6 and setjoin.survival(threshold) > 0.6
+
+
+@pytest.mark.parametrize("num,den", [(1, 2), (3, 5), (7, 10), (4, 5)])
+def test_recall_at_every_threshold(spark, monkeypatch, num, den):
+    """Pairs just at the threshold, in a crowd of records that share more than half of their tokens and keep nodes large."""
+    rng = random.Random(num)
+    crowd = [rng.getrandbits(62) for _ in range(40)]
+    rows, pairs = [], 300
+    for k in range(pairs):
+        shared = 60 * num // den
+        base = rng.sample(crowd, 20) + [rng.getrandbits(62) for _ in range(shared - 20)]
+        united = shared * den // num
+        left = (united - shared) // 2
+        rows.append((2 * k, 2 * k, sorted(base + [rng.getrandbits(62) for _ in range(left)])))
+        rows.append((2 * k + 1, 2 * k + 1, sorted(base + [rng.getrandbits(62) for _ in range(united - shared - left)])))
+    planted = {(2 * k, 2 * k + 1) for k in range(pairs)}
+    assert planted <= brute(rows[:20], num, den, 5) | {x for x in planted if x[0] >= 20}
+    monkeypatch.setattr(setjoin, "SPLIT_COST", 16)
+    got = run(spark, rows, num, den)
+    assert len(planted & got) >= 0.99 * pairs
+
+
+def test_large_nodes_of_unlike_records_are_split(spark, monkeypatch):
+    """Records that have a few tokens in common share nodes after three splits, which deeper splits take apart."""
+    monkeypatch.setattr(setjoin, "SPLIT_COST", 16)
+    compared = []
+    blocks = setjoin._blocks
+    monkeypatch.setattr(setjoin, "_blocks", lambda rest, *x: compared.append(rest.count()) or blocks(rest, *x))
+    rng = random.Random(8)
+    common = [rng.getrandbits(62) for _ in range(12)]
+    rows = []
+    for k in range(900):
+        own = [rng.getrandbits(62) for _ in range(10)]
+        rows.append((2 * k, 2 * k, sorted(common + own)))
+        if k % 6 == 0:
+            rows.append((2 * k + 1, 2 * k + 1, sorted([*common, *own[1:], rng.getrandbits(62)])))
+    true = {(2 * k, 2 * k + 1) for k in range(0, 900, 6)}
+    got = run(spark, rows)
+    assert got == true
+    assert len(compared) > 3 and sum(compared) < 3 * len(rows)  # over all trees, of which each has every record
+
+
+def test_links_are_counted_as_pairs(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "PIECE", 3)
+    sets = near_sets(4, 40, extra=[list(range(10))] * 9 + [list(range(9))] * 4 + [None, [1, 2]])
+    rows = [(k, k // 3 if k % 7 else None, s) for k, s in enumerate(sets)]
+    df = spark.createDataFrame([(i, o, s, 1, "x", 2) for i, o, s in rows], SCHEMA)
+    pairs = run(spark, rows)
+    assert pairs == brute(rows, 4, 5, 5)
+    links = {r["id"]: r["links"] for r in setjoin.link_counts(df, "id", "own", "digests", Workspace(spark, "t"), 4, 5, 5).collect()}
+    assert links == {i: sum(i in p for p in pairs) for i, _, s in rows if s and len(s) >= 5}
+    classes = {r["id"]: r["class_id"] for r in setjoin.link_counts(df, "id", "own", "digests", Workspace(spark, "t"), 4, 5, 5).collect()}
+    first = {}
+    assert classes == {i: first.setdefault(tuple(sorted(s)), i) for i, _, s in rows if s and len(s) >= 5}

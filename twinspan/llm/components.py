@@ -7,8 +7,8 @@ until no edge is left. A round at least halves the components that still have ed
 
 The graph stays distributed. Each round's map of components to roots is a written table; at the end the maps are composed
 from the last to the first, so the work over all rounds is proportional to the edges. Rows of a map whose parent is
-already a root take no part in later doubling steps. Hot vertices are pre-aggregated where they are grouped and split by
-adaptive skew joins where they are looked up.
+already a root take no part in later doubling steps. Hot vertices, as the hub of a star, are pre-aggregated where they are
+grouped, and where they are looked up their rows stay where they are (``skew.lookup``).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspan.operators.skew import lookup_by_count
+from twinspan.operators.skew import EASY, lookup, lookup_by_count
 from twinspan.sources.tables import table
 from twinspan.work import Workspace
 
@@ -35,7 +35,10 @@ def connected_groups(edges: DataFrame, a: str, b: str, work: Workspace) -> DataF
         maps.append(roots)
         r1 = roots.select(F.col("v").alias("lo"), F.col("p").alias("p_lo"))
         r2 = roots.select(F.col("v").alias("hi"), F.col("p").alias("p_hi"))
-        moved = left.join(r1, "lo").join(r2, "hi").where("p_lo <> p_hi")
+        once = lookup(left, r1, "lo")
+        if left.count() > EASY:  # else no key is hot
+            once = work.write(once, "once")
+        moved = lookup(once, r2, "hi").where("p_lo <> p_hi")
         after = work.write(moved.select(F.least("p_lo", "p_hi").alias("lo"), F.greatest("p_lo", "p_hi").alias("hi")).distinct(), "edges")
         work.drop(left)
         left = after
@@ -44,9 +47,12 @@ def connected_groups(edges: DataFrame, a: str, b: str, work: Workspace) -> DataF
     final = maps.pop()
     while maps:
         later = final.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        final = work.write(maps.pop().join(later, "p", "left").select("v", F.coalesce("q", "p").alias("p")), "map")
+        own = maps.pop()
+        after = work.write(lookup(own, later, "p", how="left").select("v", F.coalesce("q", "p").alias("p")), "map")
+        work.drop(final, own)
+        final = after
     least = final.groupBy("p").agg(F.min("v").alias("group_id"))
-    return final.join(least, "p").select(F.col("v").alias("id"), "group_id")
+    return lookup(final, least, "p").select(F.col("v").alias("id"), "group_id")
 
 
 def _hooked(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -54,7 +60,7 @@ def _hooked(edges: DataFrame, work: Workspace) -> DataFrame:
     both = edges.select(F.col("lo").alias("v"), F.col("hi").alias("w")).union(edges.select("hi", "lo"))
     pick = work.write(both.groupBy("v").agg(F.min("w").alias("p")), "pick")
     of_parent = pick.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-    looked = pick.join(of_parent, "p")
+    looked = lookup(pick, of_parent, "p")
     root = (F.col("pp") == F.col("v")) & (F.col("v") < F.col("p"))
     parent = looked.select("v", F.when(root, F.col("v")).otherwise(F.col("p")).alias("p"))
     hooked = work.write(parent, "hook")
@@ -68,7 +74,7 @@ def _collapsed(hooked: DataFrame, work: Workspace) -> DataFrame:
     parts = [finished]
     open_rows, pointers = hooked.where("v <> p"), hooked
     while True:
-        step = open_rows.join(pointers.select(F.col("v").alias("p"), F.col("p").alias("q")), "p")
+        step = lookup(open_rows, pointers.select(F.col("v").alias("p"), F.col("p").alias("q")), "p")
         step = work.write(step.select("v", F.col("q").alias("p"), (F.col("p") == F.col("q")).alias("done")), "double")
         parts.append(step.where("done").select("v", "p"))
         open_rows = step.where("not done").select("v", "p")

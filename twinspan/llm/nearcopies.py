@@ -315,6 +315,7 @@ def probes(shapes: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_classes(classes: DataFrame, work: Workspace, num: int, den: int) -> DataFrame:
     """(c, d), c < d: all pairs of classes whose sets are num / den similar or more; classes as in problem 4. Exact."""
+    classes = classes.select("c", "digests")
     count = classes.count()
     tokens = work.write(classes.select(F.explode("digests").alias("t")).groupBy("t").agg(F.count("*").alias("held")), "tokens")
     often = tokens.where(F.col("held") * COMMON > count).orderBy(F.desc("held"), "t").limit(MOST_COMMON)

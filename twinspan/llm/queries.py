@@ -23,6 +23,7 @@ QUERIES = {
     "p2_rates": parsing.p2_rates,
     "p3_found": components.p3_found,
     "p4_found": setjoin.p4_found,
+    "p4_links": setjoin.p4_links,
     "p5_found": nearcopies.p5_found,
     "p6_ids": tokens.p6_ids,
     "p7_containers": packing.p7_containers,
@@ -47,6 +48,10 @@ ORACLES = {
     "p4_found": f"""WITH {_ENTRIES}, record AS (SELECT entry_id AS id, entry_id AS own, s FROM counted UNION ALL SELECT DISTINCT ON (loc_id) loc_id, entry_id, {_SET} FROM locations WHERE fp_set IS NOT NULL),
     token AS (SELECT id, own, len(s) AS n, unnest(s) AS d FROM record WHERE len(s) >= 5)
     SELECT x.id AS id_a, y.id AS id_b FROM token x JOIN token y ON x.d = y.d AND x.id < y.id WHERE x.own <> y.own GROUP BY x.id, y.id, x.n, y.n HAVING count(*) * 5 >= (x.n + y.n - count(*)) * 4""",
+    "p4_links": f"""WITH {_ENTRIES}, record AS (SELECT entry_id AS id, entry_id AS own, s FROM counted UNION ALL SELECT DISTINCT ON (loc_id) loc_id, entry_id, {_SET} FROM locations WHERE fp_set IS NOT NULL),
+    large AS (SELECT id, own, len(s) AS n, min(id) OVER (PARTITION BY list_sort(s)) AS class_id, s FROM record WHERE len(s) >= 5), token AS (SELECT id, own, n, unnest(s) AS d FROM large),
+    pair AS (SELECT x.id AS a, y.id AS b FROM token x JOIN token y ON x.d = y.d AND x.id <> y.id WHERE x.own <> y.own GROUP BY x.id, y.id, x.n, y.n HAVING count(*) * 5 >= (x.n + y.n - count(*)) * 4)
+    SELECT id, class_id, count(b)::BIGINT AS links FROM large LEFT JOIN pair ON a = id GROUP BY id, class_id""",
     "p5_found": f"""WITH RECURSIVE {_ENTRIES}, {_LIVE}, token AS (SELECT entry_id AS id, len(s) AS n, unnest(s) AS d FROM counted WHERE len(s) >= 5),
     unset AS (SELECT entry_id, fp_set IS NULL AS bare FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY rev DESC) AS r FROM entries) WHERE r = 1),
     whole AS (SELECT DISTINCT loc_id, entry_id, bare FROM locations JOIN unset USING (entry_id) WHERE is_whole),
