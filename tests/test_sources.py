@@ -66,11 +66,22 @@ def test_contract(tmp_path):
     assert got.covers == [("money", "Money::*", "contract/money/README.md", 2)] and got.settings == {"money": {"threshold": 0.6, "min_nodes": 7}}
     assert [c["heading"] for c in got.clauses] == ["Why"] and got.clauses[0]["key"] == documents.clause_key("money", ["B", "A"])
     messages = " | ".join(e[2] for e in got.errors)
-    for part in ("belongs in duplication.md", 'bad value for min-lines: "0"', "unknown setting: size", "repeated setting: threshold", "empty parallel block", "second settings block", "belongs in README.md", "stray file", "contract root", "not valid UTF-8", "symbolic link"):
+    for part in ("should be in duplication.md", 'min-lines can\'t be "0"', "no such setting: size", "threshold is set twice", "without references", "has settings already", "should be in README.md", "is neither in", "in no primitive's folder", "not UTF-8", "symbolic links"):
         assert part in messages
     assert documents.load_contract(root, "absent").clauses == []
 
 
+def test_notes_and_headings():
+    kept = {"#settle": "#settle", "Foo #bar": "Foo #bar", "Foo # bar": "Foo", "Foo #": "Foo", "# all": "", "#": "", "A#b  # c # d": "A#b", "A #x # y": "A #x", "  ": "", "\t#\tq": ""}
+    assert {k: documents.without_note(k) for k in kept} == kept
+    text = "# T\n---\nold prose\n\nTitle\n=====\nwhy one\n```ruby\ncode\n```\nwhy two\n```parallel\n#settle\nA # b\n```\n```covers\nX\n```\n## Shut ##\n---\n~~~~  settings  more\n~~~\n~~~~\n<!-- # Not\n```parallel\n```\n--> # Yes\n# #\n- - -\n```parallel\n```"
+    got = documents.blocks(text)
+    assert [(b.info, b.line, b.heading, b.reason) for b in got] == [
+        ("ruby", 8, "Title", "Title why one"), ("parallel", 12, "Title", "Title why one why two"), ("covers", 16, "Title", "Title"), ("settings", 21, "Shut", "Shut ---"), ("parallel", 30, "", "- - -")
+    ]
+    assert [t for t, _ in got[1].body] == ["#settle", "A # b"] and [t for t, _ in got[3].body] == ["~~~"]
+
+
 @pytest.fixture
 def repository(tmp_path):
     root = str(tmp_path / "r")
@@ -108,6 +119,42 @@ def test_git(spark, repository):
     assert times["a.rb", 1] == 1_700_000_000 and times["a.rb", 2] == 1_700_000_500 and times["new.rb", 1] == float("inf") and len(times) == 6
 
 
+def test_git_in_a_folder_with_moves_and_hostile_settings(spark, repository):
+    """Paths are relative to the folder, moves touch what changed, and a user's settings change nothing."""
+
+    def run(*args):
+        subprocess.run(["git", "-C", repository, "-c", "user.name=t", "-c", "user.email=t@example.org", "-c", "commit.gpgsign=false", *args], check=True, capture_output=True)
+
+    put(repository, "sub/long.rb", "".join(f"line {k}\n" for k in range(40)))
+    run("add", "-A")
+    run("commit", "-qm", "three")
+    base = git.resolve(repository, "HEAD")
+    run("mv", "sub/long.rb", "sub/moved.rb")
+    put(repository, "sub/moved.rb", "".join(f"line {k}\n" for k in range(39)) + "changed\n")
+    put(repository, "sub/café.rb", "x\nz\n")
+    run("add", "-A")
+    run("commit", "-qm", "four")
+    put(repository, "ignored-revs", f"{git.resolve(repository, 'HEAD')}\n")
+    expected = {("moved.rb", 40, 40), ("café.rb", 2, 2)}
+    folder = os.path.join(repository, "sub")
+    before = git.line_times(folder, "café.rb")
+    for key, value in {"diff.renames": "false", "diff.noprefix": "true", "diff.mnemonicPrefix": "true", "core.quotepath": "true", "diff.interHunkContext": "50", "diff.external": "/bin/false", "diff.algorithm": "patience", "blame.ignoreRevsFile": "ignored-revs", "blame.markIgnoredLines": "true", "color.ui": "always", "diff.relative": "true"}.items():
+        run("config", key, value)
+    assert git.prefix(folder) == "sub/" and git.prefix(repository) == "" and git.top(folder) == os.path.realpath(repository)
+    assert git.head_files(folder) == ["café.rb", "moved.rb"]
+    assert [p for p, _ in git.files_at(folder, base)] == ["café.rb", "long.rb"]
+    assert {tuple(r) for r in git.changed_lines(spark, folder, base).collect()} == expected
+    assert git.line_times(folder, "café.rb") == before
+
+
+def test_skipped_files_are_sparse(repository):
+    assert not git.is_sparse(repository)
+    subprocess.run(["git", "-C", repository, "update-index", "--skip-worktree", "a.rb"], check=True)
+    assert git.is_sparse(repository)
+    with pytest.raises(git.GitError):
+        git.head_files(repository)
+
+
 def test_files(spark, tmp_path):
     root = str(tmp_path)
     put(root, "app/a.rb", "x\n")
@@ -134,6 +181,10 @@ def test_cache(spark, tmp_path):
     assert cache.read(spark, str(tmp_path), key) is None
     assert cache.write(tables, str(tmp_path), key)
     assert {n: [tuple(r) for r in t.collect()] for n, t in cache.read(spark, str(tmp_path), key).items()} == rows
+    broken = tables | {"clauses": spark.createDataFrame([(1,)], "key int").selectExpr("cast(raise_error('no') as string) as key")}
+    assert not cache.write(broken, str(tmp_path), "other")
+    assert cache.write(tables, str(tmp_path), key)
+    assert os.listdir(tmp_path) == [key]
     subprocess.run(["rm", "-r", str(tmp_path / key / "pairs")], check=True)
     assert cache.read(spark, str(tmp_path), key) is None
 
@@ -141,13 +192,15 @@ def test_cache(spark, tmp_path):
 def test_reports():
     place = report.Place("app/models/a.rb", 1, 9, "A#x", 30, touched=True)
     other = report.Place("app/models/longer.rb", 11, 19, "B#yy", 31)
-    found = report.Finding("introduced", "method", 0.87654321, place, [(other, 0.87654321), (other, 0.8)], "extend or call B#yy", 26.1)
+    found = report.Finding("introduced", "method", 0.87654321, place, [(other, 0.87654321), (other, 0.8)], "call or extend B#yy", 26.1)
     result = report.Result([found], contracted=[(f"a{k}", "b", 0.5) for k in range(22)], clause_errors=[("c.md", 3, "stale")], notes=["n"], base="0123456789", exit_code=1)
     said = report.render(result, "text")
     assert said.startswith("dry: 1 introduced, 22 contracted, 1 contract error   base 0123456\nnote: n\n\nINTRODUCED  0.88  method\n")
     assert "  new       app/models/a.rb:1-9         A#x\n  existing  app/models/longer.rb:11-19  B#yy  0.88\n" in said and "  and 2 more\n" in said
     assert json.loads(report.render(result, "json"))["counts"] == {"introduced": 1, "kept": 0, "contracted": 22}
     assert report.render(result, "edn").count(":score 0.87654321") == 1
+    odd = report.Result([report.Finding("found", "method", 1.0, report.Place('a"b\\c.rb', 1, 2, "A", 3), [(other, 1.0)], "h", 1.0)])
+    assert ':file "a\\"b\\\\c.rb",' in report.render(odd, "edn")
     assert report.render(report.Result(), "text") == "dry: clean\n"
     with pytest.raises(ValueError):
         report.render(result, "xml")

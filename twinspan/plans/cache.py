@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +24,25 @@ def cache_key(commit: str, normalizer: int, include_tests: bool, prefix: str, co
 
 
 def write(tables: dict[str, DataFrame], root: str, key: str) -> bool:
-    """Write a summary; False, and nothing left behind, where that fails. A marker written last makes it whole."""
+    """Write a summary under a name of its own and then give it its name, so it is there as a whole or not at all. False, and
+    nothing left behind, where that fails."""
     spark = next(iter(tables.values())).sparkSession
-    folder = f"{root.rstrip('/')}/{key}"
+    made, folder = (spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{x}") for x in (f"_{key}-{uuid.uuid4().hex}", key))
+    system = made.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
         for name, schema in SCHEMAS.items():
             columns = [part.split()[0] for part in schema.split(", ")]
-            tables[name].select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}")
-        spark.createDataFrame([(FORMAT, key)], "format int, key string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/complete")
+            tables[name].select(*columns).write.parquet(f"{made.toString()}/{name}")
+        spark.createDataFrame([(FORMAT, key)], "format int, key string").coalesce(1).write.parquet(f"{made.toString()}/complete")
+        system.delete(folder, True)
+        return system.rename(made, folder)
     except Exception:  # noqa: BLE001 - a cache that can't be written is done without
         return False
-    return True
+    finally:
+        try:
+            system.delete(made, True)
+        except Exception:  # noqa: BLE001 - it could not be made either
+            pass
 
 
 def read(spark: SparkSession, root: str, key: str) -> dict[str, DataFrame] | None:

@@ -13,10 +13,10 @@ from twinspan.operators import clusters, contract, findings, similarity
 from twinspan.plans import cache, report
 from twinspan.plans.sweep import Sweep, sweep
 from twinspan.sources import files, git
-from twinspan.sources.documents import Contract, load_contract
+from twinspan.sources.documents import Contract, load_contract, read_contract
 from twinspan.work import Workspace
 
-NORMALIZER = 1
+NORMALIZER = report.NORMALIZER
 
 
 class UsageError(ValueError):
@@ -64,7 +64,7 @@ def _base_commit(root: str, ref: str | None) -> str | None:
 
 def _base(spark: SparkSession, root: str, commit: str, options: Options, work: Workspace) -> dict[str, DataFrame]:
     """The base's summary, from the cache or a sweep of its files."""
-    key = cache.cache_key(commit, NORMALIZER, options.include_tests, "", options.contract, options.overrides)
+    key = cache.cache_key(commit, NORMALIZER, options.include_tests, git.prefix(root), options.contract, options.overrides)
     if options.cache and (found := cache.read(spark, options.cache, key)):
         return found
     declared = _contract_at(root, commit, options.contract)
@@ -76,16 +76,8 @@ def _base(spark: SparkSession, root: str, commit: str, options: Options, work: W
 
 
 def _contract_at(root: str, commit: str, folder: str) -> Contract:
-    import tempfile
-
-    wanted = [(p, b) for p, b in git.files_at(root, commit) if p.startswith(folder.rstrip("/") + "/")]
-    with tempfile.TemporaryDirectory() as place:
-        for (path, _), data in zip(wanted, git.read_blobs(root, [b for _, b in wanted]), strict=True):
-            full = os.path.join(place, path)
-            os.makedirs(os.path.dirname(full), exist_ok=True)
-            with open(full, "wb") as f:
-                f.write(data or b"")
-        return load_contract(place, folder)
+    wanted = [(p, b) for p, b in git.files_at(root, commit) if p.startswith(folder.rstrip("/") + "/") and p.endswith(".md")]
+    return read_contract([(p, data or b"") for (p, _), data in zip(wanted, git.read_blobs(root, [b for _, b in wanted]), strict=True)], folder)
 
 
 def summarize(spark: SparkSession, swept: Sweep, declared: Contract, work: Workspace) -> dict[str, DataFrame]:
@@ -119,7 +111,7 @@ def _verdict(spark, root, options, head: Sweep, declared: Contract, base, old, v
         keeping = work.write(contract.kept(head.matches.select("match_id", "ea", "eb"), own, clauses), "kept")
         named = {(r["path"], r["line"]) for r in head.hits.select("path", "line").distinct().collect()}  # references people wrote
         written = [(p, n, t) for _, t, p, n in declared.covers] + [(c["path"], n, t) for c in declared.clauses for t, n in c["references"]]
-        unnamed = [(p, n, f"{t} names no unit") for p, n, t in sorted(set(written)) if (p, n) not in named]
+        unnamed = [(p, n, f"no unit is called {t}") for p, n, t in sorted(set(written)) if (p, n) not in named]
     unkept = head.matches.join(keeping, "match_id", "left_anti").select("match_id", "a", "b", "score")
     if head.hits is not None:
         unkept = unkept.unionByName(_twins(head, keeping, own, work))
@@ -140,7 +132,7 @@ def _verdict(spark, root, options, head: Sweep, declared: Contract, base, old, v
     if old:
         lost = findings.contracted(old["pairs"], key_pairs(head)).join(old["pairs"].select("ka", "kb", "a", "b").distinct(), ["ka", "kb"])
         result.contracted = [(r["a"], r["b"], r["score"]) for r in lost.orderBy("ka", "kb").collect()]
-    stale = [(r["path"], r["line"], "stale clause: nothing it covers duplicates anything over the threshold; delete it") for r in contract.stale(clauses, keeping).orderBy("path", "line").collect()]
+    stale = [(r["path"], r["line"], "the clause keeps no match and can go") for r in contract.stale(clauses, keeping).orderBy("path", "line").collect()]
     result.clause_errors = [*declared.errors, *unnamed, *stale]
     result.parse_errors = [tuple(r) for r in head.errors.select("path", "line", "message").orderBy("path", "line").collect()]
     failing = sum(f.label in findings.FAILING for f in result.findings)

@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--contract", default="contract")
     p.add_argument("--cache")
     p.add_argument("--root", default=".")
-    p.add_argument("-v", "--version", action="version", version="0.1")
+    p.add_argument("-v", "--version", action="version", version=report.VERSION)
     return p
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+#: Versions of this program, and of the trees that units are turned into.
+VERSION, NORMALIZER = "0.2", 1
 NAMES = {"introduced": "INTRODUCED", "shifted": "SHIFTED", "already_there": "ALREADY THERE", "found": "FOUND"}
 #: Contracted pairs that a text report lists.
 LISTED = 20
@@ -105,7 +107,9 @@ def as_json(result: Result) -> str:
     """Everything, for programs."""
     error = lambda e: dict(zip(("path", "line", "message"), e, strict=True))
     whole = {
+        "version": VERSION,
         "check": "dry",
+        "normalizer": NORMALIZER,
         "base": result.base,
         "exit_code": result.exit_code,
         "counts": counts(result),
@@ -124,9 +128,10 @@ def as_json(result: Result) -> str:
 
 def as_edn(result: Result) -> str:
     """A row for each pair of a copy and another place."""
-    side = lambda p: f'{{:file "{p.path}", :start-line {p.start_line}, :end-line {p.end_line}}}'
+    quoted = lambda x: json.dumps(x, ensure_ascii=False)  # noqa: E731 - EDN escapes strings as JSON does
+    side = lambda p: f'{{:file {quoted(p.path)}, :start-line {p.start_line}, :end-line {p.end_line}}}'
     rows = [
-        f'{{:score {round(s, 12)}\n   :language "{f.copy.language}"\n   :left {side(f.copy)}\n   :right {side(p)}\n   :left-nodes {f.copy.nodes}\n   :right-nodes {p.nodes}}}'
+        f'{{:score {round(s, 12)}\n   :language {quoted(f.copy.language)}\n   :left {side(f.copy)}\n   :right {side(p)}\n   :left-nodes {f.copy.nodes}\n   :right-nodes {p.nodes}}}'
         for f in result.findings
         for p, s in f.others
     ]

@@ -14,8 +14,22 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-#: Configuration that makes git's output the same everywhere.
-PINNED = ("-c", "core.quotepath=true", "-c", "diff.noprefix=false", "-c", "diff.mnemonicPrefix=false", "-c", "color.ui=false")
+#: Settings that make git's output the same whatever a user's own are.
+SETTINGS = {
+    "core.quotepath": "off",
+    "diff.renames": "true",
+    "diff.noprefix": "false",
+    "diff.mnemonicPrefix": "false",
+    "diff.relative": "false",
+    "diff.indentHeuristic": "false",
+    "diff.interHunkContext": "0",
+    "blame.ignoreRevsFile": "",
+    "blame.markIgnoredLines": "false",
+    "blame.markUnblamableLines": "false",
+    "color.ui": "false",
+}
+PINNED = tuple(x for key, value in SETTINGS.items() for x in ("-c", f"{key}={value}"))
+DIFF = ("--relative", "--unified=0", "--no-color", "--no-ext-diff", "--no-textconv", "--find-renames", "--diff-algorithm=myers", "--src-prefix=a/", "--dst-prefix=b/")
 DEFAULT_BRANCHES = ("origin/main", "origin/master", "main", "master")
 _HUNK = re.compile(rb"^@@ -\S+ \+(\d+)(?:,(\d+))? @@")
 _ESCAPE = re.compile(rb"\\([0-7]{3}|.)")
@@ -49,11 +63,22 @@ def resolve(root: str, ref: str) -> str | None:
 
 
 def default_branch(root: str) -> str | None:
-    """origin's HEAD, else the first of the usual names that exists."""
+    """origin's HEAD, if it points to something, else the first of the usual names that exists."""
     try:
-        return run(root, "symbolic-ref", "--short", "refs/remotes/origin/HEAD").decode().strip()
+        named = [run(root, "symbolic-ref", "--short", "refs/remotes/origin/HEAD").decode().strip()]
     except GitError:
-        return next((b for b in DEFAULT_BRANCHES if resolve(root, b)), None)
+        named = []
+    return next((b for b in (*named, *DEFAULT_BRANCHES) if resolve(root, b)), None)
+
+
+def prefix(root: str) -> str:
+    """Where the folder lies in its repository, as "app/"; empty at the top. All paths here are relative to the folder."""
+    return os.fsdecode(run(root, "rev-parse", "--show-prefix")).rstrip("\n")
+
+
+def top(root: str) -> str:
+    """The repository's own folder."""
+    return os.fsdecode(run(root, "rev-parse", "--show-toplevel")).rstrip("\n")
 
 
 def merge_base(root: str, ref: str) -> str | None:
@@ -64,10 +89,13 @@ def merge_base(root: str, ref: str) -> str | None:
 
 
 def is_sparse(root: str) -> bool:
+    """Files of the commit may be missing from the work tree: by configuration, or as some are marked to be skipped."""
     try:
-        return run(root, "config", "--bool", "core.sparseCheckout").strip() == b"true"
+        if run(root, "config", "--bool", "core.sparseCheckout").strip() == b"true":
+            return True
     except GitError:
-        return False
+        pass
+    return any(row.startswith(b"S ") for row in run(root, "ls-files", "-t", "-z").split(b"\0"))
 
 
 def head_files(root: str) -> list[str]:
@@ -85,9 +113,9 @@ def untracked_files(root: str) -> list[str]:
 
 
 def files_at(root: str, commit: str) -> list[tuple[str, str]]:
-    """(path, blob) of a commit's regular files; no symbolic links, no submodules."""
+    """(path, blob) of a commit's regular files under the folder; no symbolic links, no submodules."""
     out = []
-    for row in run(root, "ls-tree", "-r", "-z", "--full-tree", commit).split(b"\0"):
+    for row in run(root, "ls-tree", "-r", "-z", commit).split(b"\0"):
         if row:
             meta, _, path = row.partition(b"\t")
             mode, kind, blob = meta.split()[:3]
@@ -149,8 +177,9 @@ def parse_diff(diff: bytes) -> list[tuple[str, int, int]]:
 
 
 def changed_lines(spark: SparkSession, root: str, base: str) -> DataFrame:
-    """(path, from_line, to_line): lines changed since a commit, and all lines of untracked files."""
-    rows = parse_diff(run(root, "diff", "--unified=0", "--no-color", "--no-ext-diff", "--no-renames", base))
+    """(path, from_line, to_line): lines changed since a commit, and all lines of untracked files. Of a file that was moved
+    only the lines that changed with it count."""
+    rows = parse_diff(run(root, "diff", *DIFF, base, "--"))
     for path in untracked_files(root):
         with open(os.path.join(root, path), "rb") as f:
             data = f.read()
@@ -164,7 +193,7 @@ def line_times(root: str, path: str) -> list[float]:
     """Commit time of each line, infinity where it isn't committed."""
     times: dict[str, float] = {}
     out, commit = [], ""
-    for line in run(root, "blame", "--porcelain", "--", path).split(b"\n"):
+    for line in run(root, "blame", "--porcelain", "--no-ignore-revs-file", "--", path).split(b"\n"):
         if line.startswith(b"\t"):
             out.append(float("inf") if not commit.strip("0") else times[commit])
         elif m := re.match(rb"^([0-9a-f]{40,64}) \d+ \d+", line):

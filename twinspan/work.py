@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a new temporary one, in a local session only, as executors
+    elsewhere would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="twinspan-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
