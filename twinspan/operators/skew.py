@@ -10,7 +10,7 @@ from twinspan.work import Workspace
 #: A key is hot when it holds more than one in HOT of all rows, so there are fewer than HOT hot keys, whatever the data.
 HOT = 2000
 #: Rows that one task takes easily: a key with no more is never hot.
-EASY = 100_000
+EASY = 1_000_000
 
 
 def lookup_by_count(rows: DataFrame, stats: DataFrame, key: str, count: str, total: int) -> DataFrame:
