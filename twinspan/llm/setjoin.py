@@ -164,9 +164,14 @@ def _deeper(rest: DataFrame, classes: DataFrame, work: Workspace, limit: int, nu
 
     Every split node's children take less than SHRINK of its own comparisons, so levels end.
     """
-    found: list[DataFrame] = []
+    rest = work.write(rest.select("node", "m", "c", "n", "s0", "s1"), "deep")
+    worth = F.col("m") * SHRINK > SPLIT_COST  # else no split can pay
+    found = [work.write(_blocks(rest.where(~worth), limit, num, den).distinct(), "pairs")]
+    rest = rest.where(worth)
+    if rest.isEmpty():
+        return found
     b = branches(num / den)
-    active = work.write(lookup(work.write(rest.select("node", "m", "c", "n", "s0", "s1"), "deep"), classes.select("c", "digests"), "c"), "deep")
+    active = work.write(lookup(rest, classes.select("c", "digests"), "c"), "deep")
     while True:
         kid = F.expr(f"explode(transform(sequence(1, {b}), k -> xxhash64(node, k, array_min(transform(digests, x -> xxhash64(x, node, k))))))").alias("kid")
         split = work.write(active.select("*", kid), "split")
