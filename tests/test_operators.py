@@ -260,7 +260,7 @@ def test_payoff_scores_the_copy_with_the_original(spark):
     df = spark.createDataFrame([location(1), location(2, size=20), location(3, size=40)], LOCATION)
     edges = spark.createDataFrame([(1, 3, 0.9), (2, 3, 0.8), (1, 2, 0.5)], "a bigint, b bigint, score double")
     ends = spark.createDataFrame([(1, 1, 3)], "component bigint, original bigint, copy bigint")
-    assert findings.payoffs(df, edges, ends).first()["payoff"] == round(40 * 0.9 + 20 * 0.8, 1)
+    assert findings.payoffs(df, findings.end_scores(df, edges, ends)).first()["payoff"] == round(40 * 0.9 + 20 * 0.8, 1)
 
 
 def test_labels(spark):

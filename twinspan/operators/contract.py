@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from twinspan.functions.references import glob_depth, reference_kind, specificity, template_matches
 
 BROADCAST_REFS = 20_000
+#: Most references that may be wildcards alone, as "*::*".
+MOST_WILD = 1000
 
 
 def reference_hits(refs: DataFrame, units: DataFrame) -> DataFrame:
@@ -43,13 +45,24 @@ def reference_hits(refs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _by_first(names: DataFrame, globs: DataFrame, name: str, mark: str, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Names with the globs that may match them: those whose literal first segment they share, by an equality join, and the
-    few that begin with a wildcard, against all."""
-    first = lambda c: F.element_at(F.split(c, mark), 1)
-    fixed = globs.where(~first("text").contains("*") & ~first("text").contains("?") & ~first("text").contains("["))
-    open_ended = globs.join(fixed.select("ref_id"), "ref_id", "left_anti")
-    keyed = names.withColumn("_first", first(name)).join(small(fixed.withColumn("_first", first("text"))), "_first").drop("_first")
-    return keyed.unionByName(names.join(small(open_ended), F.lit(True)).select(*keyed.columns))
+    """Names with the globs that may match them, by equality joins: on the first segment of globs whose first is literal, and
+    on any segment for the others that have a literal one. Globs of wildcards alone, which may match all names, are few."""
+    parts = F.split("text", mark)
+    literal = F.filter(parts, lambda x: ~x.rlike(r"[*?\[]"))
+    cut = globs.withColumn("_literal", literal)
+    fixed = cut.where((F.size("_literal") > 0) & (F.element_at("_literal", 1) == parts[0])).select("ref_id", "text", parts[0].alias("_first"))
+    inner = cut.where((F.size("_literal") > 0) & (F.element_at("_literal", 1) != parts[0])).select("ref_id", "text", F.element_at("_literal", -1).alias("_part"))
+    wild = [(r["ref_id"], r["text"]) for r in cut.where(F.size("_literal") == 0).select("ref_id", "text").distinct().limit(MOST_WILD + 1).collect()]
+    if len(wild) > MOST_WILD:
+        raise ValueError(f"more than {MOST_WILD} references are wildcards alone")
+    own = F.split(name, mark)
+    keyed = names.withColumn("_first", own[0]).join(small(fixed), "_first").drop("_first")
+    met = names.withColumn("_part", F.explode(F.array_distinct(own))).join(small(inner), "_part").drop("_part")
+    out = keyed.unionByName(met.select(*keyed.columns))
+    if wild:
+        listed = F.array(*(F.struct(F.lit(k).cast(globs.schema["ref_id"].dataType).alias("ref_id"), F.lit(t).alias("text")) for k, t in wild))
+        out = out.unionByName(names.withColumn("_w", F.explode(listed)).select(*names.columns, "_w.ref_id", "_w.text").select(*keyed.columns))
+    return out
 
 
 def unknown_references(refs: DataFrame, hits: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from twinspan.plans import inputs, oracles, report
 from twinspan.plans.sweep import sweep
 from twinspan.sources import documents, frontends, units
 from twinspan.sources.files import source_files
-from twinspan.sources.tables import counting_rows, table
+from twinspan.sources.tables import counting_rows, spread, table
 from twinspan.work import Workspace
 
 FLAGSHIP = "unit_sim_pairs"
@@ -213,7 +213,7 @@ def finding_payoffs(spark: SparkSession, folder: str) -> DataFrame:
     """What folding each cluster into its original would save, by recorded scores."""
     work = Workspace(spark, "findings")
     placed, edges = _clustered(spark, folder, work)
-    return findings.payoffs(placed, edges, work.write(findings.originals(placed), "ends"))
+    return findings.payoffs(placed, findings.end_scores(placed, edges, findings.originals(placed)))
 
 
 def finding_kinds(spark: SparkSession, folder: str) -> DataFrame:
@@ -242,11 +242,12 @@ def findings_ranked(spark: SparkSession, folder: str) -> DataFrame:
     placed, edges = _clustered(spark, folder, work)
     ends = work.write(findings.originals(placed), "ends")
     copy = placed.select(F.col("loc_id").alias("copy"), "path", "start_line", "end_line", "identity", "language", F.col("size").alias("nodes"), F.col("touched").alias("copy_touched"))
-    scored = findings.scores_with(placed, edges, ends, "copy").where("score is not null")
+    scores = work.write(findings.end_scores(placed, edges, ends), "scores")
+    scored = scores.where("with_copy is not null").select("component", "loc_id", F.col("with_copy").alias("score"))
     top = scored.join(placed.select("loc_id", "path", "start_line", "end_line", "identity", "whole"), "loc_id").groupBy("component").agg(
         F.max("score").alias("score"), F.min_by(F.struct("identity", "whole", "path"), F.struct(-F.col("score"), "path", "start_line", "end_line", "loc_id")).alias("o")
     )
-    rows = findings.cluster_kinds(placed).join(ends, "component").join(copy, "copy").join(findings.payoffs(placed, edges, ends), "component", "left").join(findings.labels(placed, *_base(spark, folder)), "component")
+    rows = findings.cluster_kinds(placed).join(ends, "component").join(copy, "copy").join(findings.payoffs(placed, scores), "component", "left").join(findings.labels(placed, *_base(spark, folder)), "component")
     rows = rows.join(top, "component", "left").withColumn("existing", F.col("o.identity")).withColumn("existing_partial", F.coalesce(F.col("o.whole") & paths.base_name(F.col("o.path")).startswith("_"), F.lit(False)))
     rows = rows.withColumn("has_base", F.lit(True)).withColumn("primitive", F.lit(None).cast("string")).withColumn("hint", findings.hints())
     rank = F.array_position(F.array(*map(F.lit, findings.ORDER)), F.col("label"))
@@ -344,12 +345,31 @@ def _snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.concat_ws("/", "repo", "file_path").alias("path"), F.col("content").cast("binary").alias("content")).dropDuplicates(["path"])
 
 
-def source_units(spark: SparkSession, folder: str) -> DataFrame:
-    """Units of the Ruby and ERB files, or the line of a file's error."""
-    rows = _snapshot(spark, folder).select("path", paths.language(F.col("path")).alias("language"), F.col("content").cast("string").alias("text"))
+def _read_units(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spread(_snapshot(spark, folder)).select("path", paths.language(F.col("path")).alias("language"), F.col("content").cast("string").alias("text"))
     return units.read_units(rows, "path", "path", "language", "text").select(F.col("file_key").alias("path"), "kind", "identity", "start_line", "end_line", "error_line", F.size("nodes").alias("nodes"))
 
 
+def source_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Units of the Ruby and ERB files, read from their text; an earlier sweep recorded the same ones."""
+    return _read_units(spark, folder).where("error_line is null").select("path", "kind", "start_line", "end_line")
+
+
+def source_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The identities of methods and macros that an earlier sweep recorded, read from the files' text. It wrote the names of
+    scopes without a colon."""
+    found = _read_units(spark, folder).where("kind <> 'template' and error_line is null")
+    files = counting_rows(table(spark, folder, "source_files").select("file_id", "repo", "file_path", "rev"), "file_id").select("file_id", F.concat_ws("/", "repo", "file_path").alias("path"))
+    known = counting_rows(table(spark, folder, "entries").select("entry_id", "file_id", "unit_kind", "unit_identity", "start_line", "end_line", "rev"), "entry_id").where("unit_identity is not null")
+    both = known.join(files, "file_id").withColumnRenamed("unit_kind", "kind").join(found, ["path", "kind", "start_line", "end_line"])
+    return both.select("entry_id", F.regexp_replace("identity", r"\(:", "(").alias("identity"))
+
+
+def source_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Ruby and ERB files that can't be read, and the line of the first error."""
+    return _read_units(spark, folder).where("error_line is not null").select("path", "error_line")
+
+
 def sweep_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Matches of whole units, fragments and runs in the Ruby and ERB files, from their text alone."""
     swept = sweep(spark, _snapshot(spark, folder), documents.Contract(), Workspace(spark, "sweep"))
@@ -361,7 +381,7 @@ def sweep_matches(spark: SparkSession, folder: str) -> DataFrame:
 def report_json(spark: SparkSession, folder: str) -> DataFrame:
     """The report's rows as JSON objects, in the engine."""
     rows = findings_ranked(spark, folder)
-    return rows.select("component", F.to_json(F.struct(F.col("label").alias("class"), "score", "kind", F.struct("path", "start_line", "end_line", "identity", "nodes", F.col("copy_touched").alias("touched")).alias("copy"), "hint", "payoff")).alias("json"))
+    return rows.select("component", F.to_json(F.struct(F.col("label").alias("class"), "score", "kind", F.struct("path", "start_line", "end_line", "identity", "nodes", F.col("copy_touched").alias("touched")).alias("copy"), "hint", "payoff"), {"ignoreNullFields": "false"}).alias("json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -370,7 +390,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         src_filter, src_flags, generated_files, digest_weights, entry_totals, prefix_digests, unit_sim_pairs, unit_sim_pairs_65, mixed_threshold_pairs, basket_sim_pairs, document_sim_pairs,
         explain_pair, identical_groups, identical_star, bucket_representatives, stand_in_pairs, fragment_groups, fragment_pairs, fragment_links, fragment_ordinals, subtree_pairs, run_seeds, run_islands, run_extended, match_pruned,
         match_clusters, finding_locations, finding_ends, finding_payoffs, finding_kinds, base_labels, label_counts, findings_ranked, contracted_pairs, top20_contracted, settings_per_unit, settings_floors, ref_hits,
-        most_specific_ref, kept_matches, unknown_refs, markdown_blocks, tree_nodes, source_units, sweep_matches, report_json,
+        most_specific_ref, kept_matches, unknown_refs, markdown_blocks, tree_nodes, source_units, source_names, source_errors, sweep_matches, report_json,
     )
 }
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -174,14 +174,15 @@ def _edges(head: Sweep, placed: DataFrame, unkept: DataFrame, ends: DataFrame, w
 
 def _told(placed: DataFrame, edges: DataFrame, ends: DataFrame, labelled: DataFrame, based: bool) -> DataFrame:
     """A row per finding, in the order of a report, its other places in an array."""
-    scores = findings.scores_with(placed, edges, ends, "copy").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    ends_scored = findings.end_scores(placed, edges, ends)
+    scores = ends_scored.where("loc_id <> copy").select("component", "loc_id", F.coalesce("with_copy", F.lit(0.0)).alias("score"))
     place = F.struct("path", "start_line", "end_line", "identity", F.col("size").alias("nodes"), "touched", "language", "whole")
     others = scores.join(placed.select("loc_id", place.alias("p")), "loc_id").groupBy("component").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("p.path").alias("o1"), F.col("p.start_line").alias("o2"), F.col("p.end_line").alias("o3"), "p"))).alias("others")
     )
     copies = ends.join(placed.select(F.col("loc_id").alias("copy"), place.alias("c")), "copy")
     covered = ends.join(placed.select(F.col("loc_id").alias("original"), "primitive"), "original").select("component", "primitive")
-    rows = copies.join(others, "component").join(findings.cluster_kinds(placed), "component").join(findings.payoffs(placed, edges, ends), "component").join(labelled, "component").join(covered, "component")
+    rows = copies.join(others, "component").join(findings.cluster_kinds(placed), "component").join(findings.payoffs(placed, ends_scored), "component").join(labelled, "component").join(covered, "component")
     rows = rows.withColumn("language", F.col("c.language")).withColumn("existing", F.col("others")[0]["p"]["identity"]).withColumn("has_base", F.lit(based))
     rows = rows.withColumn("existing_partial", F.col("others")[0]["p"]["whole"] & path_rules.base_name(F.col("others")[0]["p"]["path"]).startswith("_"))
     rank = F.array_position(F.array(*map(F.lit, findings.ORDER)), F.col("label"))

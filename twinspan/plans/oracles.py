@@ -38,6 +38,31 @@ _BASE = """bykey AS (SELECT DISTINCT repo || '|' || loc_key AS key, cluster_id A
     member AS (SELECT component, loc_id, cluster FROM keyed WHERE cluster IS NOT NULL UNION SELECT component, loc_id, s.cluster FROM aged JOIN byshape s USING (structural)),
     best AS (SELECT component, max(k) AS k FROM (SELECT component, cluster, count(*) AS k FROM member GROUP BY ALL) GROUP BY component),
     labelled AS (SELECT component, CASE WHEN any_touched THEN CASE WHEN new THEN 'introduced' ELSE 'already_there' END WHEN coalesce(k, 0) = n THEN 'already_there' ELSE 'shifted' END AS label FROM one LEFT JOIN best USING (component))"""
+_ENDS = """ends AS (SELECT component, arg_min(loc_id, (age, path, start_line, end_line, loc_id)) AS o, arg_max(loc_id, (age, path, start_line, end_line, loc_id)) AS c FROM aged GROUP BY component),
+    two AS (SELECT a, b, max(score) AS s FROM (SELECT a, b, score FROM live UNION ALL SELECT b, a, score FROM live) GROUP BY a, b)"""
+_RANKED = f"""{_FINDINGS}, {_BASE}, {_ENDS}, paid AS (SELECT component, round(sum(size * coalesce(s, 0)), 1) AS payoff FROM aged JOIN ends USING (component) LEFT JOIN two ON a = loc_id AND b = CASE WHEN loc_id = c THEN o ELSE c END WHERE loc_id <> o GROUP BY component),
+    sort AS (SELECT component, count(*) AS members, CASE WHEN bool_and(whole) AND count(DISTINCT kind) = 1 THEN min(kind) ELSE 'fragment' END AS kind, count(DISTINCT namespace) + max(CASE WHEN namespace IS NULL THEN 1 ELSE 0 END) AS namespaces,
+    bool_and(touched) AS all_touched, bool_and(whole) AS all_whole, bool_and(starts_with(path, 'app/models/') OR starts_with(path, 'app/controllers/')) AS all_mvc FROM aged GROUP BY component),
+    top AS (SELECT component, max(s) AS score, arg_min({{'i': identity, 'p': whole AND starts_with(regexp_extract(path, '[^/]*$'), '_')}}, (-s, path, start_line, end_line, loc_id)) AS e FROM aged JOIN ends USING (component) JOIN two ON a = loc_id AND b = c WHERE loc_id <> c GROUP BY component),
+    ranked AS (SELECT list_position(['introduced', 'shifted', 'already_there', 'found'], label)::INT AS rank, label, component, sort.kind, members, round(score, 6) AS score, coalesce(payoff, 0) AS payoff, path, start_line, end_line, identity, language, size AS nodes, touched AS copy_touched,
+    CASE WHEN all_touched THEN 'new in all places: share one of them before this is merged' WHEN language = 'erb' AND coalesce(e.p, false) THEN 'use the partial ' || e.i WHEN language = 'erb' THEN 'make it a partial or a component' WHEN all_whole THEN 'call or extend ' || e.i
+    WHEN namespaces = 1 THEN 'make it a method' WHEN all_mvc THEN members || ' copies over ' || namespaces || ' classes: make a concern' ELSE members || ' copies over ' || namespaces || ' classes: make a concern or a service object' END AS hint
+    FROM sort JOIN ends USING (component) JOIN labelled USING (component) LEFT JOIN paid USING (component) LEFT JOIN top USING (component) JOIN aged a ON a.loc_id = ends.c)"""
+_BLANK = r"[\s\x0B\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: A scan line by line: the open fence, the heading, the last line of prose and whether it was the line before.
+_FENCED = rf"""WITH RECURSIVE ln AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS k, unnest(list_transform(ls, lambda x: rtrim(x, chr(13)))) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND text <> '')),
+    seen AS (SELECT doc_id, k, t, regexp_replace(t, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS bare, regexp_extract(t, '^ {{0,3}}(`{{3,}}|~{{3,}})', 1) AS f, trim(regexp_extract(t, '^ {{0,3}}(?:`{{3,}}|~{{3,}})(.*)$', 1), ' ' || chr(9)) AS rest,
+    regexp_matches(t, '^ {{0,3}}(=+|-+)[ 	]*$') AS under, regexp_matches(t, '^ {{0,3}}#{{1,6}}([ 	].*)?$') AS atx FROM ln),
+    run AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, '' AS fence, '' AS heading, '' AS last, false AS prose, false AS opened, false AS inside, '' AS bare, '' AS info, '' AS over FROM ln
+    UNION ALL SELECT r.doc_id, s.k, CASE WHEN r.fence = '' AND s.f <> '' AND NOT (s.f[1] = '`' AND contains(s.rest, '`')) THEN s.f WHEN r.fence <> '' AND s.f[1] = r.fence[1] AND len(s.f) >= len(r.fence) AND s.rest = '' THEN '' ELSE r.fence END,
+    CASE WHEN r.fence <> '' OR (s.f <> '' AND NOT (s.f[1] = '`' AND contains(s.rest, '`'))) THEN r.heading WHEN r.prose AND s.under THEN r.last
+    WHEN s.atx THEN regexp_replace(regexp_replace(regexp_extract(s.t, '^ {{0,3}}#{{1,6}}[ 	]+(.*)$', 1), '(^|[ 	]+)#+[ 	]*$', ''), '^{_BLANK}+|{_BLANK}+$', '', 'g') ELSE r.heading END,
+    CASE WHEN r.fence = '' AND s.bare <> '' THEN s.bare ELSE r.last END,
+    r.fence = '' AND s.bare <> '' AND NOT (s.f <> '' AND NOT (s.f[1] = '`' AND contains(s.rest, '`'))) AND NOT (r.prose AND s.under) AND NOT s.atx,
+    r.fence = '' AND s.f <> '' AND NOT (s.f[1] = '`' AND contains(s.rest, '`')), r.fence <> '' AND NOT (s.f[1] = r.fence[1] AND len(s.f) >= len(r.fence) AND s.rest = ''), s.bare, regexp_extract(s.rest, '^[^\s\x{{A0}}]*'), r.heading
+    FROM run r JOIN seen s ON s.doc_id = r.doc_id AND s.k = r.k + 1),
+    part AS (SELECT *, count(*) FILTER (opened) OVER (PARTITION BY doc_id ORDER BY k) AS no, regexp_replace(bare, '(^|{_BLANK}+)#({_BLANK}.*)?$', '') AS noted FROM run),
+    block AS (SELECT doc_id, no, max(CASE WHEN opened THEN k END) AS line, max(CASE WHEN opened THEN info END) AS info, max(CASE WHEN opened THEN over END) AS heading, count(*) FILTER (inside AND noted <> '') AS lines FROM part WHERE no > 0 AND (opened OR inside) GROUP BY doc_id, no)"""
 _LOST = f"""WITH {_EXISTING}, {_PLACES}, old AS (SELECT a, b, coalesce({_SCORE}, 0) AS score FROM matches WHERE rev = 1 AND NOT coalesce(withdrawn, false) AND a IS NOT NULL AND b IS NOT NULL AND a <> b),
     shape AS (SELECT loc_id, key, CASE WHEN signature IS NULL THEN CAST(ordinal AS VARCHAR) WHEN ordinal IS NULL THEN signature ELSE signature || '#' || ordinal END AS structural FROM place),
     base AS (SELECT DISTINCT least(p.key, q.key) AS ka, greatest(p.key, q.key) AS kb, least(coalesce(p.structural, ''), coalesce(q.structural, '')) AS sa, greatest(coalesce(p.structural, ''), coalesce(q.structural, '')) AS sb, score FROM old JOIN shape p ON p.loc_id = a JOIN shape q ON q.loc_id = b),
@@ -140,4 +165,16 @@ ORACLES: dict[str, str] = {
     "most_specific_ref": f"{_REFS} SELECT entry_id, text FROM picked",
     "kept_matches": f"""{_REFS}, {_EXISTING}, {_PLACES} SELECT match_id FROM live JOIN place p ON p.loc_id = a JOIN place q ON q.loc_id = b JOIN picked x ON x.entry_id = p.entry_id JOIN picked y ON y.entry_id = q.entry_id
         WHERE p.entry_id <> q.entry_id AND x.text <> y.text""",
+    "findings_ranked": f"{_RANKED} SELECT * FROM ranked",
+    "report_json": f"""{_RANKED} SELECT component, to_json({{'class': label, 'score': score, 'kind': kind, 'copy': {{'path': path, 'start_line': start_line, 'end_line': end_line, 'identity': identity, 'nodes': nodes, 'touched': copy_touched}}, 'hint': hint, 'payoff': payoff}})::VARCHAR AS json FROM ranked""",
+    "markdown_blocks": f"{_FENCED} SELECT doc_id, (no - 1)::INT AS block_no, info, line::INT AS line, heading, lines::INT AS lines FROM block",
+    "unknown_refs": rf"""{_FENCED}, {_UNITS}, ref AS (SELECT DISTINCT noted AS text FROM part JOIN block USING (doc_id, no) WHERE block.info = 'parallel' AND inside AND noted <> ''),
+    space AS (SELECT DISTINCT namespace FROM unit WHERE namespace IS NOT NULL AND kind <> 'template')
+    SELECT text FROM ref WHERE NOT CASE WHEN contains(text, '/') THEN EXISTS (SELECT 1 FROM unit WHERE kind = 'template' AND regexp_full_match(identity, replace(regexp_escape(text), '\*', '[^/]*')))
+    WHEN regexp_matches(text, '[#.]') THEN EXISTS (SELECT 1 FROM unit WHERE identity = text)
+    ELSE EXISTS (SELECT 1 FROM space WHERE regexp_matches(namespace, '^' || replace(regexp_escape(text), '\*', '[^:]*') || '(::.*)?$')) END""",
+    "source_units": f"""WITH {_UNITS}, file AS (SELECT file_id, repo || '/' || file_path AS path FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY rev DESC) AS r FROM source_files) WHERE r = 1 AND content IS NOT NULL)
+    SELECT file.path, unit_kind AS kind, start_line, end_line FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY rev DESC) AS r FROM entries) e JOIN file USING (file_id) WHERE r = 1""",
+    "source_names": """SELECT entry_id, unit_identity AS identity FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY rev DESC) AS r FROM entries) e
+    JOIN (SELECT file_id FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY rev DESC) AS q FROM source_files) WHERE q = 1 AND content IS NOT NULL) USING (file_id) WHERE r = 1 AND unit_identity IS NOT NULL AND unit_kind <> 'template'""",
 }
