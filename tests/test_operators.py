@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from twinspan.operators import clusters, contract, findings, fingerprints, fragments, identical, similarity, skew
@@ -364,3 +365,16 @@ def test_text_fingerprints_are_tree_digests(spark):
     whole = fingerprints.node_digest("text", "", lines)
     assert {r["id"] for r in got} == {1, 2}
     assert set(got[0]["digests"]) == {x.hex() for x in (word("a"), word("b"), *lines, whole)} and got[0]["lines"] == [x.hex() for x in lines]
+
+
+def test_json_nodes_have_lines():
+    text = '{\n "a": [1, "x:y",\n  {"b": null}],\n "c": {\n }\n}\n'
+    tree = frontends.json_tree(text)
+    assert tree[:4] == ("object", None, 1, 6)
+    a, c = tree[4]
+    assert a[:4] == ("member", "a", 2, 3) and c[:4] == ("member", "c", 4, 5)
+    assert [x[:4] for x in a[4][0][4]] == [("literal", None, 2, 2), ("literal", None, 2, 2), ("object", None, 3, 3)]
+    assert c[4][0][:4] == ("object", None, 4, 5) and frontends.json_tree(" 1 ")[:4] == ("literal", None, 1, 1)
+    for bad in ("", "{", "[1,]"):
+        with pytest.raises(ValueError):
+            frontends.json_tree(bad)

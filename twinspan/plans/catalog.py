@@ -339,6 +339,13 @@ def tree_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return _trees(spark, folder).groupBy("entry_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.count_distinct("digest").alias("digests"), F.max(F.when(F.col("parent") < 0, F.col("digest"))).alias("root"))
 
 
+def json_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each JSON file that reads: its trees' nodes (values and members), sequences, and lines."""
+    rows = counting_rows(table(spark, folder, "source_files").select("file_id", "file_path", "content", "rev"), "file_id").where(F.col("file_path").rlike(LANGUAGES["json"]))
+    nodes = frontends.tree_nodes(rows.withColumn("kind", F.lit("json")), "file_id", "content", "kind")
+    return nodes.groupBy(F.col("entry_id").alias("file_id")).agg(F.count("*").alias("nodes"), F.count_if("is_sequence").alias("sequences"), (F.max("end_line") - F.min("start_line") + 1).alias("lines"))
+
+
 def _snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the Ruby and ERB files, each repository a folder."""
     rows = counting_rows(table(spark, folder, "source_files").select("file_id", "repo", "file_path", "content", "rev"), "file_id").where("content is not null")
@@ -390,7 +397,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         src_filter, src_flags, generated_files, digest_weights, entry_totals, prefix_digests, unit_sim_pairs, unit_sim_pairs_65, mixed_threshold_pairs, basket_sim_pairs, document_sim_pairs,
         explain_pair, identical_groups, identical_star, bucket_representatives, stand_in_pairs, fragment_groups, fragment_pairs, fragment_links, fragment_ordinals, subtree_pairs, run_seeds, run_islands, run_extended, match_pruned,
         match_clusters, finding_locations, finding_ends, finding_payoffs, finding_kinds, base_labels, label_counts, findings_ranked, contracted_pairs, top20_contracted, settings_per_unit, settings_floors, ref_hits,
-        most_specific_ref, kept_matches, unknown_refs, markdown_blocks, tree_nodes, source_units, source_names, source_errors, sweep_matches, report_json,
+        most_specific_ref, kept_matches, unknown_refs, markdown_blocks, tree_nodes, json_nodes, source_units, source_names, source_errors, sweep_matches, report_json,
     )
 }
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -177,4 +177,7 @@ ORACLES: dict[str, str] = {
     SELECT file.path, unit_kind AS kind, start_line, end_line FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY rev DESC) AS r FROM entries) e JOIN file USING (file_id) WHERE r = 1""",
     "source_names": """SELECT entry_id, unit_identity AS identity FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY rev DESC) AS r FROM entries) e
     JOIN (SELECT file_id FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY rev DESC) AS q FROM source_files) WHERE q = 1 AND content IS NOT NULL) USING (file_id) WHERE r = 1 AND unit_identity IS NOT NULL AND unit_kind <> 'template'""",
+    "json_nodes": r"""WITH j AS (SELECT file_id, trim(content, ' ' || chr(9) || chr(10) || chr(13)) AS c, regexp_replace(content, '"(?:[^"\\]|\\.)*"', 's', 'g') AS bare FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY rev DESC) AS r FROM source_files)
+    WHERE r = 1 AND content IS NOT NULL AND suffix(file_path, '.json') AND json_valid(content))
+    SELECT file_id, len(regexp_extract_all(bare, '[^\s{}\[\],:]+')) + len(regexp_extract_all(bare, '[{\[]'))::BIGINT AS nodes, len(regexp_extract_all(bare, '[{\[]'))::BIGINT AS sequences, len(string_split(c, chr(10)))::INT AS lines FROM j""",
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import warnings
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -115,18 +116,45 @@ def html_tree(text: str) -> Tree:
     return tuple(parser.root)
 
 
-def json_tree(text: str) -> Tree:
-    """Objects, arrays and literals of a JSON text; lines aren't kept by the reader, so all are the text's."""
-    last = text.count("\n") + 1
+_JSON = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]|[^\s{}\[\],:"]+|(:)|\n')
 
-    def tree(value: object) -> Tree:
-        if isinstance(value, dict):
-            return ("object", None, 1, last, [("member", k, 1, last, [tree(v)], False) for k, v in value.items()], True)
-        if isinstance(value, list):
-            return ("array", None, 1, last, [tree(v) for v in value], True)
-        return ("literal", None, 1, last, [], False)
 
-    return tree(json.loads(text))
+def json_tree(text: str) -> Tree:
+    """Objects, arrays and literals of a JSON text, with the lines that each takes. A repeated name's members all count."""
+    json.loads(text)  # raises where the text is none
+    line, open_nodes = 1, [["text", None, 1, 1, [], True]]
+    last = ""  # the last string, which a colon makes a name
+    for m in _JSON.finditer(text):
+        token = m.group()
+        if token == "\n":
+            line += 1
+        elif m[1]:
+            held = open_nodes[-1][4].pop()
+            member = ["member", json.loads(last), held[2], line, [], False]
+            open_nodes[-1][4].append(member)
+            open_nodes.append(member)
+        elif token in "}]":
+            open_nodes.pop()[3] = line
+            _shut(open_nodes, line)
+        else:
+            last = token
+            node = [{"{": "object", "[": "array"}.get(token, "literal"), None, line, line, [], token in "{["]
+            open_nodes[-1][4].append(node)
+            if token in "{[":
+                open_nodes.append(node)
+            else:
+                _shut(open_nodes, line)
+    return _frozen(open_nodes[0][4][0])
+
+
+def _shut(open_nodes: list[list], line: int) -> None:
+    """A value has ended: so has the member that it is the value of."""
+    if open_nodes[-1][0] == "member":
+        open_nodes.pop()[3] = line
+
+
+def _frozen(node: list) -> Tree:
+    return (*node[:4], [_frozen(x) for x in node[4]], node[5])
 
 
 #: Fields of Python nodes that name what is called or defined and stay; other names become marks.
