@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from twinspan.functions.digests import effective_sets
 from twinspan.llm.distinctive import entry_sets
-from twinspan.operators.skew import HOT, lookup, lookup_by_count
+from twinspan.operators.skew import EASY, HOT, lookup, lookup_by_count
 from twinspan.sources.tables import table
 from twinspan.work import Workspace
 
@@ -125,8 +125,8 @@ def similar_classes(classes: DataFrame, work: Workspace, num: int, den: int, rec
     active = active.select("c", "n", "s0", "s1", "t", "path", F.expr("xxhash64(t, path[0])").alias("node"))
     found: list[DataFrame] = []
     for level in range(LEVELS):
-        counts = work.write(active.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "counts")
-        little, rest = _by_size(active, counts, small)
+        large = work.write(active.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > small), "large")
+        little, rest = _by_size(active, large)
         found.append(work.write(_pairs(little, limit, num, den), "pairs"))
         if rest is None:
             break
@@ -140,16 +140,17 @@ def similar_classes(classes: DataFrame, work: Workspace, num: int, den: int, rec
     return verified(pairs.distinct(), classes, num, den)
 
 
-def _by_size(rows: DataFrame, counts: DataFrame, small: int) -> tuple[DataFrame, DataFrame | None]:
-    """The rows in nodes of 2 to ``small`` records, and those in larger ones with the node's count m; None if there are none.
-    Rows of hot nodes stay where they are."""
-    large = counts.where(F.col("m") > small)
-    if large.isEmpty():
-        return rows.join(counts.select("node"), "node"), None
-    total = counts.agg(F.sum("m")).first()[0]
-    hot = F.broadcast(large.where(F.col("m") > max(total // HOT, small)))
-    cold = rows.join(hot.select("node"), "node", "left_anti").join(counts, "node")
-    return cold.where(F.col("m") <= small).drop("m"), rows.join(hot, "node").unionByName(cold.where(F.col("m") > small))
+def _by_size(rows: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows in nodes that aren't large, and those in large ones with the node's count m; None if there are none. Rows of
+    hot nodes stay where they are."""
+    total, most = large.agg(F.sum("m"), F.max("m")).first()
+    if total is None:
+        return rows, None
+    if most <= max(total // HOT, EASY):
+        return rows.join(large.select("node"), "node", "left_anti"), rows.join(large, "node")
+    hot = F.broadcast(large.where(F.col("m") > max(total // HOT, EASY)))
+    cold = rows.join(hot.select("node"), "node", "left_anti")
+    return cold.join(large.select("node"), "node", "left_anti"), rows.join(hot, "node").unionByName(cold.join(large, "node"))
 
 
 def _pairs(rows: DataFrame, limit: int, num: int, den: int) -> DataFrame:
@@ -180,8 +181,9 @@ def _deeper(rest: DataFrame, classes: DataFrame, work: Workspace, limit: int, nu
         judged = work.write(sizes.groupBy("node").agg((F.sum(square) + SPLIT_COST * m < SHRINK * m * m).alias("split")), "judged")
         whole = lookup(active.select("node", "m", "c", "n", "s0", "s1"), judged.where("not split").select("node"), "node")
         found.append(work.write(_blocks(whole, limit, num, den).distinct(), "pairs"))
-        counts = work.write(lookup(sizes, judged.where("split").select("node"), "node").select(F.col("kid").alias("node"), F.col("k").alias("m")).where("m > 1"), "counts")
-        little, rest = _by_size(split.drop("node", "m").withColumnRenamed("kid", "node"), counts, small)
+        kids = lookup(split.drop("m"), judged.where("split").select("node"), "node").drop("node").withColumnRenamed("kid", "node")
+        large = lookup(sizes, judged.where("split").select("node"), "node").where(F.col("k") > small)
+        little, rest = _by_size(kids, work.write(large.select(F.col("kid").alias("node"), F.col("k").alias("m")), "large"))
         found.append(work.write(_pairs(little, limit, num, den), "pairs"))
         if rest is None:
             return found
