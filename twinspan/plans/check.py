@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinspan.functions import paths as path_rules
@@ -17,6 +17,8 @@ from twinspan.sources.documents import Contract, load_contract, read_contract
 from twinspan.work import Workspace
 
 NORMALIZER = report.NORMALIZER
+#: Other places that a report lists of one finding; all are in the table of locations.
+OTHERS = 1000
 
 
 class UsageError(ValueError):
@@ -33,6 +35,7 @@ class Options:
     introduced_only: bool = False
     contract: str = "contract"
     cache: str | None = None
+    page: int = 10_000  # rows of each of a report's lists; the result's tables have all
 
 
 def run(spark: SparkSession, options: Options) -> report.Result:
@@ -127,16 +130,24 @@ def _verdict(spark, root, options, head: Sweep, declared: Contract, base, old, v
     ends = work.write(findings.originals(placed).join(shown, "component"), "ends")
     told = _told(placed, _edges(head, placed, unkept, ends, work), ends, labelled, bool(old))
     result = report.Result(base=base, notes=findings.notes(bool(old), bool(options.overrides), options.paths, options.introduced_only))
-    result.findings = [_finding(r) for r in told.collect()]  # a report's findings
-    result.kept = _kept(head, keeping, declared, old)
+    told = work.write(told, "findings")
+    result.totals = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
+    result.findings = [_finding(r) for r in told.orderBy(F.array_position(F.array(*map(F.lit, findings.ORDER)), F.col("label")), F.desc("payoff"), "c.path", "c.start_line", "c.end_line", "c.identity").limit(options.page).collect()]
+    kept = work.write(_kept(head, keeping), "kept")
+    result.kept = _kept_rows(kept.orderBy("_a", "_b").limit(options.page), declared, old)
+    result.totals["kept"] = kept.count()
+    result.tables = {"findings": told, "locations": placed, "kept": kept, "parse_errors": head.errors}
     if old:
         lost = findings.contracted(old["pairs"], key_pairs(head)).join(old["pairs"].select("ka", "kb", "a", "b").distinct(), ["ka", "kb"])
-        result.contracted = [(r["a"], r["b"], r["score"]) for r in lost.orderBy("ka", "kb").collect()]
+        lost = result.tables["contracted"] = work.write(lost, "contracted")
+        result.contracted = [(r["a"], r["b"], r["score"]) for r in lost.orderBy("ka", "kb").limit(options.page).collect()]
+        result.totals["contracted"] = lost.count()
     stale = [(r["path"], r["line"], "the clause keeps no match and can go") for r in contract.stale(clauses, keeping).orderBy("path", "line").collect()]
     result.clause_errors = [*declared.errors, *unnamed, *stale]
-    result.parse_errors = [tuple(r) for r in head.errors.select("path", "line", "message").orderBy("path", "line").collect()]
-    failing = sum(f.label in findings.FAILING for f in result.findings)
-    result.exit_code = findings.exit_code(len(result.findings), failing, len(result.clause_errors), len(result.parse_errors), bool(options.overrides), options.introduced_only)
+    result.parse_errors = [tuple(r) for r in head.errors.select("path", "line", "message").orderBy("path", "line").limit(options.page).collect()]
+    found = {k: result.totals.get(k, 0) for k in findings.ORDER}
+    failing = sum(found[k] for k in findings.FAILING)
+    result.exit_code = findings.exit_code(sum(found.values()), failing, len(result.clause_errors), len(result.parse_errors), bool(options.overrides), options.introduced_only)
     return result
 
 
@@ -173,20 +184,19 @@ def _edges(head: Sweep, placed: DataFrame, unkept: DataFrame, ends: DataFrame, w
 
 
 def _told(placed: DataFrame, edges: DataFrame, ends: DataFrame, labelled: DataFrame, based: bool) -> DataFrame:
-    """A row per finding, in the order of a report, its other places in an array."""
+    """A row per finding, its first OTHERS other places in an array, and how many there are."""
     ends_scored = findings.end_scores(placed, edges, ends)
     scores = ends_scored.where("loc_id <> copy").select("component", "loc_id", F.coalesce("with_copy", F.lit(0.0)).alias("score"))
     place = F.struct("path", "start_line", "end_line", "identity", F.col("size").alias("nodes"), "touched", "language", "whole")
-    others = scores.join(placed.select("loc_id", place.alias("p")), "loc_id").groupBy("component").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("p.path").alias("o1"), F.col("p.start_line").alias("o2"), F.col("p.end_line").alias("o3"), "p"))).alias("others")
-    )
+    each = scores.join(placed.select("loc_id", place.alias("p")), "loc_id").select("component", F.struct((-F.col("score")).alias("s"), F.col("p.path").alias("o1"), F.col("p.start_line").alias("o2"), F.col("p.end_line").alias("o3"), "p").alias("o"))
+    first = each.withColumn("_k", F.row_number().over(Window.partitionBy("component").orderBy("o"))).where(F.col("_k") <= OTHERS)
+    others = first.groupBy("component").agg(F.array_sort(F.collect_list("o")).alias("others"))
     copies = ends.join(placed.select(F.col("loc_id").alias("copy"), place.alias("c")), "copy")
     covered = ends.join(placed.select(F.col("loc_id").alias("original"), "primitive"), "original").select("component", "primitive")
     rows = copies.join(others, "component").join(findings.cluster_kinds(placed), "component").join(findings.payoffs(placed, ends_scored), "component").join(labelled, "component").join(covered, "component")
     rows = rows.withColumn("language", F.col("c.language")).withColumn("existing", F.col("others")[0]["p"]["identity"]).withColumn("has_base", F.lit(based))
     rows = rows.withColumn("existing_partial", F.col("others")[0]["p"]["whole"] & path_rules.base_name(F.col("others")[0]["p"]["path"]).startswith("_"))
-    rank = F.array_position(F.array(*map(F.lit, findings.ORDER)), F.col("label"))
-    return rows.withColumn("hint", findings.hints()).orderBy(rank, F.desc("payoff"), "c.path", "c.start_line", "c.end_line", "c.identity").select("label", "kind", "c", "others", "hint", "payoff", "primitive")
+    return rows.withColumn("hint", findings.hints()).select("component", "label", "kind", "members", "c", "others", "hint", "payoff", "primitive")
 
 
 def _place(p) -> report.Place:  # noqa: ANN001
@@ -195,15 +205,19 @@ def _place(p) -> report.Place:  # noqa: ANN001
 
 def _finding(r) -> report.Finding:  # noqa: ANN001
     others = [(_place(o["p"]), -o["s"]) for o in r["others"]]
-    return report.Finding(r["label"], r["kind"], others[0][1], _place(r["c"]), others, r["hint"], r["payoff"], r["primitive"])
+    return report.Finding(r["label"], r["kind"], others[0][1], _place(r["c"]), others, r["hint"], r["payoff"], r["primitive"], r["members"] - 1 - len(others))
 
 
-def _kept(head: Sweep, keeping: DataFrame, declared: Contract, old: dict | None) -> list[dict]:
-    known = {r["key"] for r in old["clauses"].collect()} if old else None  # clauses people wrote
+def _kept(head: Sweep, keeping: DataFrame) -> DataFrame:
+    """Kept matches with their places and clauses."""
     place = lambda k: head.locations.select(F.col("loc_id").alias(k), F.struct("path", "start_line", "end_line", "identity", F.col("size").alias("nodes"), F.lit(False).alias("touched"), "language").alias(f"_{k}"))
-    rows = head.matches.join(keeping, "match_id").join(place("a"), "a").join(place("b"), "b").orderBy("_a", "_b").collect()
+    return head.matches.join(keeping, "match_id").join(place("a"), "a").join(place("b"), "b").select("score", "clause_id", "_a", "_b")
+
+
+def _kept_rows(kept: DataFrame, declared: Contract, old: dict | None) -> list[dict]:
+    known = {r["key"] for r in old["clauses"].collect()} if old else None  # clauses people wrote
     out = []
-    for r in rows:
+    for r in kept.collect():
         clause = declared.clauses[r["clause_id"]]
         out.append({"score": r["score"], "a": _place(r["_a"]), "b": _place(r["_b"]), "path": clause["path"], "line": clause["line"], "heading": clause["heading"], "new_clause": known is not None and clause["key"] not in known})
     return out

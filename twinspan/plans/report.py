@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+
 #: Versions of this program, and of the trees that units are turned into.
 VERSION, NORMALIZER = "0.2", 1
 NAMES = {"introduced": "INTRODUCED", "shifted": "SHIFTED", "already_there": "ALREADY THERE", "found": "FOUND"}
@@ -38,11 +40,12 @@ class Finding:
     hint: str
     payoff: float
     primitive: str | None = None
+    more: int = 0  # other places that aren't listed
 
 
 @dataclass
 class Result:
-    """What a run found."""
+    """What a run found: the first rows of each list, how many there are of each in all, and tables with all of them."""
 
     findings: list[Finding] = field(default_factory=list)
     kept: list[dict] = field(default_factory=list)  # score, a, b, path, line, heading, new_clause
@@ -52,13 +55,15 @@ class Result:
     notes: list[str] = field(default_factory=list)
     base: str | None = None
     exit_code: int = 0
+    totals: dict[str, int] = field(default_factory=dict)  # of labels, kept and contracted; where missing, what is listed
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def counts(result: Result) -> dict[str, int]:
     out: dict[str, int] = {}
     for f in result.findings:
         out[f.label] = out.get(f.label, 0) + 1
-    return out | {"kept": len(result.kept), "contracted": len(result.contracted)}
+    return out | {"kept": len(result.kept), "contracted": len(result.contracted)} | result.totals
 
 
 def _several(n: int, noun: str) -> str:
@@ -86,14 +91,18 @@ def text(result: Result) -> str:
         out += ["", f"{NAMES[f.label]}  {round(f.score, 2)}  {kind}"]
         first = ("new" if f.copy.touched else "copy", f.copy, None)
         out += _rows([first, *(("existing", p, s if len(f.others) > 1 else None) for p, s in f.others)])
+        if f.more:
+            out.append(f"  and {f.more} more")
         out.append(f"  hint      {f.hint}")
+    if (rest := sum(number.get(k, 0) for k in NAMES) - len(result.findings)) > 0:
+        out += ["", f"and {_several(rest, 'finding')} more"]
     for k in result.kept:
         flag = "  NEW CLAUSE, review its reason" if k["new_clause"] else ""
         out += ["", f"KEPT  {round(k['score'], 2)}  {k['path']}:{k['line']} \"{k['heading']}\"{flag}", *_rows([("side", k["a"], None), ("side", k["b"], None)])]
     if result.contracted:
         out += ["", "CONTRACTED", *(f"  {a} no longer matches {b} ({round(s, 2)} at base)" for a, b, s in result.contracted[:LISTED])]
-        if len(result.contracted) > LISTED:
-            out.append(f"  and {len(result.contracted) - LISTED} more")
+        if number["contracted"] > LISTED:
+            out.append(f"  and {number['contracted'] - LISTED} more")
     if result.clause_errors or result.parse_errors:
         out += ["", *(f"CONTRACT  {p}:{n}: {m}" for p, n, m in result.clause_errors), *(f"PARSE     {p}:{n}: {m}" for p, n, m in result.parse_errors)]
     return "\n".join(out) + "\n"
