@@ -13,3 +13,10 @@ def test_contents_are_shuffled_once_for_reading(spark, tmp_path):
         assert found.count() == 50
     finally:
         spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_names_are_read_without_trees(spark, tmp_path):
+    spark.createDataFrame([(1, "r", "app/a.rb", "ruby", "def f\nend\n", 1)], "file_id bigint, repo string, file_path string, file_language string, content string, rev int").write.parquet(str(tmp_path / "source_files.parquet"))
+    spark.createDataFrame([(7, 1, "method", "Object#f", 1, 2, 1)], "entry_id bigint, file_id bigint, unit_kind string, unit_identity string, start_line int, end_line int, rev int").write.parquet(str(tmp_path / "entries.parquet"))
+    found = catalog.source_names(spark, str(tmp_path))
+    assert "child_digests" not in found._jdf.queryExecution().toString() and [tuple(r) for r in found.collect()] == [(7, "Object#f")]
