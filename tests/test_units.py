@@ -35,3 +35,21 @@ def test_read_units(spark):
     assert [(r[0], r[1], r[2], r[3] and r[3][0], r[4] and len(r[4][0])) for r in found] == [("1", "A#f", None, len(found[0][3]), 2), ("1", "A#g", None, 3, 1), ("2", None, 2, None, None)]
     bare = units.read_units(rows, "k", "p", "l", "t", trees=False)
     assert "nodes" not in bare.columns and bare.count() == 3
+
+
+def test_units_in_order_shuffle_no_tree(spark, tmp_path):
+    """Numbers as a join gives them, which shuffled and wrote all trees twice more."""
+    from pyspark.sql import functions as F
+
+    from twinspan.work import Workspace
+
+    texts = [(f"app/{k % 7}/f{k}.rb", "ruby", "def f(\n" if k % 5 == 0 else RUBY if k % 3 else "x = 1\n") for k in range(60)] + [("app/t.erb", "erb", ERB)]
+    rows = spark.createDataFrame(texts, "path string, language string, text string").repartition(3)
+    work = Workspace(spark, "order")
+    listed, nodes, errors = units.units_in_order(rows, work)
+    old = units.read_units(rows, "path", "path", "language", "text")
+    paths = rows.select(F.col("path").alias("file_key"), "path")
+    own = units.numbered_units(old, paths, work)
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, own.select(listed.columns).collect()))
+    assert sorted(map(repr, nodes.collect())) == sorted(map(repr, units.unit_nodes(own).collect()))
+    assert sorted(map(tuple, errors.collect())) == sorted(map(tuple, units.unit_errors(old, paths).collect())) and errors.count() == 12
